@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, documents(spark, sf_dir, "labels")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -22,6 +29,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, documents(spark, sf_dir, "labels")))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_file import round_trip
 
@@ -48,5 +62,5 @@ WITH n AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_sharding, op9_token_file, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_quality, op5_packing, op6_sharding, op8_toxicity, op9_token_file, op10_exact_dedup)}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
