@@ -29,6 +29,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -62,5 +68,5 @@ WITH n AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op3_quality, op5_packing, op6_sharding, op8_toxicity, op9_token_file, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_quality, op5_packing, op6_sharding, op7_pii, op8_toxicity, op9_token_file, op10_exact_dedup)}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
