@@ -362,7 +362,7 @@ def train(table: list[tuple[str, str]], steps: int = 150, rate: float = 0.15, pe
     return Field(emit, step)
 
 
-_TRIM_LEFT, _TRIM_RIGHT = b"\"'([<", b"\"'.,;:!?)]>*#$%&"
+_TRIM_LEFT, _TRIM_RIGHT = b"\"'<", b"\"'.,;:!?>*#$%&"
 
 
 def added_spans(buf: np.ndarray, offsets: np.ndarray, field: Field) -> dict[int, list[tuple[str, int, int]]]:
@@ -382,6 +382,8 @@ def added_spans(buf: np.ndarray, offsets: np.ndarray, field: Field) -> dict[int,
             a += 1
         while b > a and buf[b - 1] in _TRIM_RIGHT:
             b -= 1
+        if b - a > 2 and buf[a] in b"([" and buf[b - 1] in b")]":
+            a, b = a + 1, b - 1
         if b > a:
             out.setdefault(row, []).append((LABELS[label[i]], a - int(offsets[row]), b - int(offsets[row])))
     return out
