@@ -114,5 +114,5 @@ def test_find(spark):
     assert by[50] == "secret:12:44"
     assert by[51] == "email:6:26"
     assert by[52] == "phone:5:19"
-    assert by[12] == "email:11:30,ip:34:44,phone:46:63,card:70:89"
+    assert by[12] == "email:11:31,ip:35:45,phone:47:64,card:71:90"
     assert pii.find(frame(spark, [])).count() == 0
