@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
@@ -53,3 +54,35 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     """Partitions of about per_partition rows each: follows the data and has no upper limit."""
     return max(least, -(-rows // per_partition))
+
+
+#: A group is hot when it holds over 1/HOT_SHARE of the rows: there are fewer than HOT_SHARE such groups, whatever the input.
+HOT_SHARE = 1000
+
+
+def with_groups(rows: DataFrame, keys: list[str], least: int = 1, **aggregates) -> DataFrame:
+    """rows with n__ (their group's size) and the named aggregates; groups under `least` rows are left out.
+
+    Groups are aggregated before they are shuffled.
+    """
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n__"), *(x.alias(n) for n, x in aggregates.items())).where(F.col("n__") >= least)
+    return meet_groups(rows, staged(groups, "groups"), keys)
+
+
+def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of their group, one of groups (staged, with sizes n__); rows of no group are left out.
+
+    Hot groups are broadcast, fewer than HOT_SHARE rows by their definition, so their rows stay where they are;
+    the others meet their rows by a shuffle of small groups.
+    """
+    total = groups.agg(F.sum("n__")).first()[0] or 0
+    hot_from = int(total) // HOT_SHARE + 1
+    hot = groups.where(F.col("n__") > hot_from)
+    extra = [c for c in groups.columns if c not in keys]
+    names = {k: f"{k}__key" for k in keys}
+    match = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    marked = rows.join(F.broadcast(hot.withColumnsRenamed(names)), match, "left")
+    in_hot = marked.where("n__ is not null").select(*rows.columns, *extra)
+    rest = marked.where("n__ is null").select(*rows.columns)
+    cold = groups.where(F.col("n__") <= hot_from).withColumnsRenamed(names)
+    return in_hot.unionByName(rest.join(cold, match).select(*rows.columns, *extra))

@@ -22,6 +22,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_deleted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -74,5 +80,5 @@ WITH n AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op3_quality, op5_packing, op6_sharding, op7_pii, op8_toxicity, op9_token_file, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op3_quality, op4_line_dedup, op5_packing, op6_sharding, op7_pii, op8_toxicity, op9_token_file, op10_exact_dedup)}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
