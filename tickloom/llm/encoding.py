@@ -1,8 +1,10 @@
 """Encoding with public tokenizers, each distinct piece of text once.
 
-A text is cut where a cut can't change its ids, each piece that wasn't seen before goes to the tokenizers
-library, and ids are gathered by numpy. Texts with white space that could bind across a cut are encoded
-whole.
+A text is cut where a cut can't change its ids. Pieces are found and hashed by numpy over the text's bytes; a
+piece that is new is taken apart into a word and its closing marks, and only new words go to the tokenizers
+library, many in one call; the ids of known pieces are gathered. Pieces are told apart by 64-bit hashes.
+Texts with white space that could bind across a cut, or that Python's and the tokenizer's classes may see
+differently, are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,109 +13,246 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces kept in a worker; beyond it the table starts afresh.
-CACHE_PIECES = 1_500_000
+from . import textops as T
 
-#: White space that is next to a space: byte-level patterns may join it across the cut.
-_NEAR_SPACE = re.compile(r" \s|\s ")
-#: What Python and the tokenizer's pattern may class differently as white space.
-_ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Most pieces and most words that a worker holds, and the share of the oldest (mostly the frequent ones) that stays beyond that.
+MOST_PIECES, MOST_WORDS, KEPT_SHARE = 1_500_000, 300_000, 0.4
+#: Words joined in one call.
+JOINED = 1000
 
+#: Marks that never bind to a letter or digit before them (an apostrophe can).
+_MARKS = ",.;:!?&%$#*\"()[]-"
+#: For each mode, what stands between joined words (one id, found in no such word), and the words that may be joined.
+_BETWEEN = {"byte": ("\n", re.compile(r" \S+")), "word": (" | ", re.compile(r"[^\s|]+"))}
+_ONLY_SPACE = np.zeros(256, bool)
+_ONLY_SPACE[0x20] = True
+_BLANK = T.SPACE.copy()
+_BLANK[0x1C:0x20] = True
 
-class _Index(dict):
-    """Piece -> number; a new piece gets the next one and is queued."""
+
+def odd_places(buf: np.ndarray) -> np.ndarray:
+    """Where white space beyond 0x20 and 0x09-0x0D stands in UTF-8."""
+    n = len(buf)
+    at = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)) | ((buf >= 0x1C) & (buf < 0x20)))
+    if not len(at):
+        return at
+    a, b, c = buf[at], buf[np.minimum(at + 1, n - 1)], buf[np.minimum(at + 2, n - 1)]
+    odd = (a < 0x20) | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    odd |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    return at[odd]
+
+
+class _Ids:
+    """Ids of numbered keys, in a row."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.queue: list[str] = []
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.offset = np.zeros(1 << 12, np.int64)
+        self.n = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.offset[self.n])
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(used // 2 + len(ids), np.uint32)])
+        if self.n + len(lengths) >= len(self.offset):
+            self.offset = np.concatenate([self.offset[: self.n + 1], np.zeros(self.n // 2 + len(lengths) + 1, np.int64)])
+        self.flat[used : used + len(ids)] = ids
+        self.offset[self.n + 1 : self.n + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.n += len(lengths)
 
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.queue.append(piece)
-        return n
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the keys, and how many each has."""
+        start = self.offset[index]
+        size = self.offset[index + 1] - start
+        return T.ragged(self.flat, start, size), size
+
+    def keep(self, n: int) -> None:
+        self.flat, self.offset, self.n = self.flat[: int(self.offset[n])].copy(), self.offset[: n + 1].copy(), n
+
+
+class _Hashes:
+    """Hash -> number, by open addressing in numpy arrays."""
+
+    def __init__(self, hashes: np.ndarray | None = None):
+        self.n = 0
+        self.order = np.zeros(1 << 12, T.U)  # hash of each number
+        self.slot_hash = np.zeros(1 << 13, T.U)
+        self.slot_number = np.full(1 << 13, -1, np.int32)
+        if hashes is not None:
+            self.add(hashes)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers, -1 for new ones."""
+        mask = T.U(len(self.slot_hash) - 1)
+        slot = (h & mask).astype(np.int64)
+        out = self.slot_number[slot]
+        left = np.flatnonzero((out >= 0) & (self.slot_hash[slot] != h))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & int(mask)
+            got = self.slot_number[slot]
+            out[left] = got
+            more = (got >= 0) & (self.slot_hash[slot] != h[left])
+            left, slot = left[more], slot[more]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers distinct new hashes in their order."""
+        if self.n + len(h) > len(self.order):
+            self.order = np.concatenate([self.order[: self.n], np.zeros(self.n // 2 + len(h), T.U)])
+        self.order[self.n : self.n + len(h)] = h
+        first, self.n = self.n, self.n + len(h)
+        if 2 * self.n > len(self.slot_hash):
+            size = 1 << (4 * self.n - 1).bit_length()
+            self.slot_hash, self.slot_number, first = np.zeros(size, T.U), np.full(size, -1, np.int32), 0
+        mask = len(self.slot_hash) - 1
+        todo = np.arange(first, self.n, dtype=np.int32)
+        slot = (self.order[todo] & T.U(mask)).astype(np.int64)
+        while len(todo):
+            free = self.slot_number[slot] < 0
+            self.slot_number[slot[free]] = todo[free]  # of those that want one slot, one gets it
+            self.slot_hash[slot[free]] = self.order[todo[free]]
+            lost = self.slot_number[slot] != todo
+            # the last writer's hash stands with its number
+            self.slot_hash[slot] = self.order[self.slot_number[slot]]
+            todo, slot = todo[lost], (slot[lost] + 1) & mask
 
 
 class Encoder:
     """mode 'byte': a byte-level BPE whose pieces begin at single spaces; 'word': one that drops white space."""
 
-    def __init__(self, path: str, mode: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, mode: str, most_pieces: int = MOST_PIECES, most_words: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.mode, self.cache_pieces = mode, cache_pieces
-        self._reset()
+        self.mode, self.most_pieces, self.most_words = mode, most_pieces, most_words
+        self.hashes, self.pieces, self.words, self.word_ids = _Hashes(), _Ids(), {}, _Ids()
+        self.between, self.joinable = _BETWEEN[mode]
+        self.between_id = self._encode([self.between])[0]
 
-    @property
-    def vocab_size(self) -> int:
-        return self.tokenizer.get_vocab_size()
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _reset(self) -> None:
-        self.index = _Index()
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.offset = np.zeros(1, np.int64)
+    def _encode_words(self, words: list[str]) -> None:
+        """Adds the ids of words: those that may be joined in few calls, the others each for itself."""
+        fit = self.joinable.fullmatch
+        joined = [k for k, w in enumerate(words) if fit(w)] if len(self.between_id) == 1 else []
+        order, flat, sizes = [], [], []
+        for a in range(0, len(joined), JOINED):
+            some = joined[a : a + JOINED]
+            ids = np.array(self._encode([self.between.join([words[k] for k in some])])[0], np.uint32)
+            cut = ids == self.between_id[0]
+            cuts = np.flatnonzero(cut)
+            if len(cuts) == len(some) - 1:
+                order += some
+                flat.append(ids[~cut])
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+        rest = np.ones(len(words), bool)
+        rest[order] = False
+        if rest.any():
+            alone = np.flatnonzero(rest).tolist()
+            each = self._encode([words[k] for k in alone])
+            order += alone
+            flat.append(np.array([x for e in each for x in e], np.uint32))
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        size = np.concatenate(sizes)
+        back = np.argsort(np.array(order))
+        self.word_ids.add(T.ragged(np.concatenate(flat), (np.cumsum(size) - size)[back], size[back]), size[back])
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for a in range(0, len(texts), 8192):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of new pieces."""
+        if len(self.words) > self.most_words:
+            n = int(self.most_words * KEPT_SHARE)
+            self.words = dict(zip(list(self.words)[:n], range(n), strict=False))
+            self.word_ids.keep(len(self.words))
+        words, unseen, at, counts, lower = self.words, [], [], [], self.mode == "word"
+
+        def number(word: str) -> int:
+            k = words.get(word)
+            if k is None:
+                k = words[word] = len(words)
+                unseen.append(word)
+            return k
+
+        for piece in new:
+            if lower and piece.isascii():
+                piece = piece.lower()
+            word = piece.rstrip(_MARKS)
+            if word and len(word) < len(piece) and (word[-1].isalpha() or word[-1] in "0123456789"):
+                at += (number(word), number(piece[len(word) :]))
+                counts.append(2)
+            else:
+                at.append(number(piece))
+                counts.append(1)
+        if unseen:
+            self._encode_words(unseen)
+        ids, size = self.word_ids.gather(np.array(at, np.int64))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        self.pieces.add(ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])]))
+
+    def _whole(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts must be encoded whole."""
+        odd = odd_places(buf)
+        if self.mode == "byte" and len(buf):
+            space, blank = buf == 0x20, _BLANK[buf]
+            near = np.flatnonzero((space[:-1] & blank[1:]) | (blank[:-1] & space[1:]))
+            first, last = offsets[:-1][offsets[:-1] < offsets[1:]], offsets[1:][offsets[:-1] < offsets[1:]] - 1
+            odd = np.concatenate([odd, near, near + 1, first[space[first]], last[space[last]]])
+        out = np.zeros(len(offsets) - 1, bool)
+        out[np.searchsorted(offsets, odd, "right") - 1] = True
         return out
 
-    def _flush(self) -> None:
-        queue = self.index.queue
-        if not queue:
-            return
-        ids = self._encode(queue)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        need = self.used + int(lengths.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(need, len(self.flat)), np.uint32)])
-        self.flat[self.used : need] = np.fromiter((x for e in ids for x in e), np.uint32, need - self.used)
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(lengths)])
-        self.used = need
-        queue.clear()
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """The text's pieces, None if it must be encoded whole."""
-        if self.mode == "word":
-            return None if _ODD_SPACE.search(text) else text.split()
-        if _NEAR_SPACE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array | list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and offsets (one more than texts). end_id: appended to each; null: empty."""
-        if len(self.index) > self.cache_pieces:
-            self._reset()
-        look, at, counts, whole = self.index.__getitem__, [], [], {}
-        for i, text in enumerate(texts):
-            pieces = self._pieces(text) if text else []
-            if pieces is None:
-                whole[i] = np.array(self._encode([text])[0], np.uint32)
-                pieces = []
-            at.extend(map(look, pieces))
-            counts.append(len(pieces))
-        self._flush()
-        index = np.array(at, np.int64)
-        start, size = self.offset[index], self.offset[index + 1] - self.offset[index]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(start - (ends - size), size) + np.arange(total)]
-        piece_of_text = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        offsets = np.concatenate([[0], ends])[piece_of_text]
-        if whole or end_id is not None:
-            tail = np.array([] if end_id is None else [end_id], np.uint32)
-            parts = []
-            for i in range(len(texts)):
-                parts += [whole[i] if i in whole else ids[offsets[i] : offsets[i + 1]], tail]
-            lengths = np.fromiter((len(parts[2 * i]) + len(tail) for i in range(len(texts))), np.int64, len(texts))
-            ids = np.concatenate(parts) if parts else ids
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, offsets
+        if isinstance(column, list):
+            column = pa.array(column, pa.string())
+        buf, off = T.string_buffers(column)
+        done = [self._some(buf[off[a] : off[b]], off[a : b + 1] - off[a], end_id) for a, b in T.slices(off, 1 << 20)]
+        if not done:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        return np.concatenate([i for i, _ in done]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in done]))])
+
+    def _some(self, buf: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts in a row, and how many each has."""
+        if self.hashes.n > self.most_pieces:
+            n = int(self.most_pieces * KEPT_SHARE)
+            self.hashes = _Hashes(self.hashes.order[:n].copy())
+            self.pieces.keep(n)
+        w = T.Words(buf, offsets, space=_ONLY_SPACE if self.mode == "byte" else T.SPACE, lower=False)
+        h, rows = w.hash, len(offsets) - 1
+        if self.mode == "byte":
+            head = np.zeros(len(h), bool)
+            head[w.first[:-1][w.counts() > 0]] = True  # no space stands before a text's first piece
+            h = np.where(head, T.mix(h + T.U(1)), h)
+        index = self.hashes.find(h).astype(np.int64)
+        if (index < 0).any():
+            missing = np.flatnonzero(index < 0)
+            new, where = np.unique(h[missing], return_index=True)
+            where = missing[np.sort(where)]  # as they come
+            data = buf.tobytes()
+            lead = ["" if self.mode == "word" or head[k] else " " for k in where.tolist()]
+            self._learn([x + data[a:b].decode() for x, a, b in zip(lead, w.start[where].tolist(), w.end[where].tolist(), strict=True)])
+            self.hashes.add(h[where])
+            index[missing] = self.hashes.find(h[missing])
+        ids, size = self.pieces.gather(index)
+        whole = self._whole(buf, offsets)
+        ends = np.concatenate([[0], np.cumsum(size)])[w.first]
+        tail = 0 if end_id is None else 1
+        if not whole.any():
+            count = np.diff(ends)
+            if not tail:
+                return ids, count
+            return np.insert(ids, ends[1:], np.uint32(end_id)), count + 1
+        end = np.array([end_id] * tail, np.uint32)
+        parts = []
+        for k in range(rows):
+            got = np.array(self._encode([buf[offsets[k] : offsets[k + 1]].tobytes().decode()])[0], np.uint32) if whole[k] else ids[ends[k] : ends[k + 1]]
+            parts += [got, end]
+        return np.concatenate(parts), np.fromiter((len(parts[2 * k]) + tail for k in range(rows)), np.int64, rows)
 
 
 _held: dict[tuple[str, str], Encoder] = {}

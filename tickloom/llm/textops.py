@@ -69,14 +69,14 @@ def slices(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
 
 
 class Words:
-    """Words of some rows: start and end in the buffer, row, hash."""
+    """Words of some rows: start and end in the buffer, row, hash. space: what ends a word; lower: hash A-Z as a-z."""
 
     __slots__ = ("start", "end", "row", "hash", "first", "rows")
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, hashed: bool = True, space: np.ndarray = SPACE, lower: bool = True):
         self.rows = len(offsets) - 1
         n = len(buf)
-        solid = ~SPACE[buf]
+        solid = ~space[buf]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
@@ -93,13 +93,19 @@ class Words:
         if hashed:
             f, i = _powers(max(n, 1))
             total = np.zeros(n + 1, U)
-            np.cumsum((LOWER[buf].astype(U) + U(1)) * f[:n], out=total[1:])
+            np.cumsum(((LOWER[buf] if lower else buf).astype(U) + U(1)) * f[:n], out=total[1:])
             self.hash = mix((total[self.end] - total[self.start]) * i[self.start] if n else np.zeros(0, U))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
 
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each, in a row."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive word hashes, whatever their rows; len(h) - n + 1 values."""
     if len(h) < n:

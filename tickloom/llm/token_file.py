@@ -155,7 +155,7 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, mode: str = "byte",
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 piece = batch.slice(a, 512)
-                ids, off = enc.encode(piece.column(1).to_pylist(), end_id)
+                ids, off = enc.encode(piece.column(1), end_id)
                 if writer is None:
                     system, base = open_fs(folder)
                     name = f"{base}/part-{part:06d}.tok"
