@@ -22,7 +22,7 @@ from .common import staged
 
 WINDOW, OPEN_WINDOWS, LEAST_CUT = 4096, 32, 16
 #: Partitions whose leftovers are merged in one task: at most MERGED * OPEN_WINDOWS windows of ids.
-MERGED = 64
+MERGED = 8
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -120,7 +120,7 @@ def pack(df: DataFrame, tokenizer: str, mode: str = "word", end_id: int = 2, win
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 piece = batch.slice(a, 512)
-                ids, off = enc.encode(piece.column(1).to_pylist(), end_id)
+                ids, off = enc.encode(piece.column(1), end_id)
                 for k, doc in enumerate(piece.column(0).to_pylist()):
                     for done in packer.add(doc, ids[off[k] : off[k + 1]].copy()):
                         held += rows_of(done, part << 28 | number)
