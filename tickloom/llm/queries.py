@@ -15,6 +15,12 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score, train
 
@@ -80,5 +86,5 @@ WITH n AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op3_quality, op4_line_dedup, op5_packing, op6_sharding, op7_pii, op8_toxicity, op9_token_file, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_jaccard, op3_quality, op4_line_dedup, op5_packing, op6_sharding, op7_pii, op8_toxicity, op9_token_file, op10_exact_dedup)}
 ORACLES = {"op10_exact_dedup": OP10_SQL}
