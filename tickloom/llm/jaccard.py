@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import partitions_for, staged, with_groups
+from .common import meet_groups, partitions_for, staged, with_groups
 from .components import components
 from .signature_tree import Tree, across, bitmap
 
@@ -279,9 +279,23 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     reached = classes.join(comps, F.col("cid") == F.col("v"), "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp"))
     lowest = with_groups(reached, ["comp"], component_id=F.min("least")).select("cid", "component_id")
     sizes = some.groupBy("cid").agg(F.count(F.lit(1)).alias("n__"))
-    from .common import meet_groups
-
     full = meet_groups(some.select("id", "n", "cid"), staged(sizes.join(lowest, "cid"), "reached"), ["cid"]).select("id", "n", "component_id")
     none = described.where("cid is null").select("id", "n", F.col("id").alias("component_id"))
     null = docs.where(F.col(text_col).isNull()).select(F.col(id_col).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("n"), F.col(id_col).cast("bigint").alias("component_id"))
     return full.unionByName(none).unionByName(null).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of alike ones: the least id (a null one last); all columns stay as they are.
+
+    Rows equal in id and text count as one document and stay or go together. Texts without words always stay.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    described, common = _described(rows, shingle)
+    _, comps = link_classes(rows, described, common, shingle, percent)
+    own = F.struct(F.col("id").isNull().alias("null"), "id", "th")
+    members = described.where("cid is not null").select("id", "th", "cid", own.alias("own"))
+    comp = staged(members.groupBy("cid").agg(F.count(F.lit(1)).alias("n__"), F.min("own").alias("first")).join(comps, F.col("cid") == F.col("v"), "left").select("cid", "n__", "first", F.coalesce("comp", "cid").alias("comp")), "comps")
+    lowest = with_groups(comp.drop("n__"), ["comp"], keep=F.min("first")).drop("n__").join(comp.select("cid", F.col("n__").alias("size__")), "cid").select("cid", F.col("size__").alias("n__"), "keep")
+    lost = meet_groups(members, staged(lowest, "kept"), ["cid"]).where(F.col("own") != F.col("keep")).select(F.col("id").alias("i__"), F.col("th").alias("h__")).distinct()
+    return docs.join(staged(lost, "lost"), F.col(id_col).cast("bigint").eqNullSafe(F.col("i__")) & (F.xxhash64(text_col) == F.col("h__")), "left_anti")
