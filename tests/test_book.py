@@ -243,3 +243,38 @@ def test_fingerprint_sees_every_level():
     assert a.fingerprint(0, 64) == b.fingerprint(0, 64)
     b.new_order(2, "B", 3, 1)
     assert a.fingerprint(0, 64) != b.fingerprint(0, 64)
+
+
+def test_slot_arena():
+    from tickloom.operators.slots import SlotArena
+
+    arena = SlotArena(8)
+    a, b = arena.acquire(), arena.acquire()
+    assert a != b and arena.release(b)
+    c = arena.acquire()
+    assert c & 0xFFFFFFFF == b & 0xFFFFFFFF and c != b and not arena.release(b) and not arena.live(b)
+    rest = []
+    while (x := arena.acquire()) is not None:
+        rest.append(x)
+    assert len(rest) == 6
+    assert not arena.live(0) and not arena.live(2**64 - 1) and not arena.live(5)
+    assert all(arena.release(x) for x in rest)
+
+
+def test_levels():
+    from tickloom.operators.slots import Levels
+
+    bits = Levels(4096)
+    assert bits.next_set(0) is None
+    for i in (5, 700, 4000):
+        bits.set(i)
+    assert [bits.next_set(i) for i in (0, 6, 701, 4001)] == [5, 700, 4000, None]
+    assert [bits.prev_set(i) for i in (4095, 3999, 699, 4)] == [4000, 700, 5, None]
+    bits.reset(700)
+    assert bits.next_set(6) == 4000 and not bits.test(700) and bits.test(5)
+    every = Levels(4096)
+    for i in range(0, 4096, 37):
+        every.set(i)
+    for i in range(4096):
+        want = -(-i // 37) * 37
+        assert every.next_set(i) == (want if want < 4096 else None)

@@ -86,3 +86,27 @@ def test_journal_and_status(spark, tmp_path):
         f.write(head + frame)
     with pytest.raises(Exception, match="shorter"):
         itch.read_wire(spark, path).count()
+
+
+def test_engine_ids(spark, folder):
+    from tickloom.operators.slots import engine_ids
+    from tickloom.sources.tapes import cross_tape
+
+    got = QUERIES["m11_engine_ids"](spark, folder).collect()
+    ids = [(r.sym, r.engine_id) for r in got if r.engine_id > 0]
+    assert len(ids) == len(set(ids)) and any(i >> 32 > 1 for _, i in ids)
+    few = engine_ids(cross_tape(spark, folder), capacity=3).collect()
+    assert {r.engine_id & 0xFFFFFFFF for r in few if r.engine_id > 0} <= {1, 2, 3}
+    assert any(r.engine_id == 0 for r in few)
+
+
+def test_file_checksum(spark, folder):
+    from tickloom.plans import registry
+    from tickloom.sources.tapes import wire_tape
+
+    frames = itch.encode(registry._messages(wire_tape(spark, folder))).orderBy("sym", "seq").select("sym", "frame").collect()
+    data = {}
+    for r in frames:
+        data.setdefault(r.sym, bytearray()).extend(r.frame)
+    got = {r.sym: (r.length, r.checksum) for r in QUERIES["a16_file_checksum"](spark, folder).collect()}
+    assert got == {k: (len(v), sum(v[::4096])) for k, v in data.items()}

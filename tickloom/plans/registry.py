@@ -417,3 +417,54 @@ def s15_crossing_workload(spark, sf_dir):
     schema = "seq bigint, type string, ref bigint, side string, price bigint, qty bigint"
     tape = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema).withColumn("sym", F.lit(0))
     return kernel.trades(tape).groupBy("sym").agg(F.count(F.lit(1)).alias("trades"), F.sum("qty").alias("lots"))
+
+
+@query(f"""WITH {WIRE_SQL}, a AS (SELECT sym, (ref::UHUGEINT * {scalars.SPARSE_MULTIPLIER}::UHUGEINT) & {HASH64} AS key, qty AS shares FROM tape WHERE type = 'A'),
+m AS (SELECT *, (ref::UHUGEINT * {scalars.SPARSE_MULTIPLIER}::UHUGEINT) & {HASH64} AS key FROM tape WHERE type = 'E')
+SELECT sym, count(*) AS executes, CAST(sum(shares) AS BIGINT) AS shares FROM m JOIN a USING (sym, key) GROUP BY sym""")
+def j6_sparse_gateway(spark, sf_dir):
+    """Executes find their adds by sparse 64-bit keys."""
+    tape = wire_tape(spark, sf_dir).withColumn("key", scalars.sparse_key("ref"))
+    adds = tape.where("type = 'A'").select("sym", "key", F.col("qty").alias("shares"))
+    return tape.where("type = 'E'").select("sym", "key").join(adds, ["sym", "key"]).groupBy("sym").agg(F.count(F.lit(1)).alias("executes"), F.sum("shares").alias("shares"))
+
+
+@query(f"""{TOPS}, c AS (SELECT *, max(seq) OVER (PARTITION BY sym, seq // 256) AS sent FROM pub)
+SELECT c.sym, c.seq, c.sent, epoch_us(b.ts) - epoch_us(a.ts) AS latency_us FROM c JOIN events a ON a.event_id = c.seq JOIN events b ON b.event_id = c.sent""")
+def j12_origin_latency(spark, sf_dir):
+    """Time from the message that caused an update to the update that is sent for its range."""
+    sent = F.max("seq").over(Window.partitionBy("sym", F.expr("seq div 256")))
+    updates = _tops(spark, sf_dir).select("sym", "seq", sent.alias("sent"))
+    times = events(spark, sf_dir).select(F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    a, b = times.withColumnsRenamed({"id": "seq", "us": "us_a"}), times.withColumnsRenamed({"id": "sent", "us": "us_b"})
+    return updates.join(a, "seq").join(b, "sent").select("sym", "seq", "sent", (F.col("us_b") - F.col("us_a")).alias("latency_us"))
+
+
+@query(f"""{LEFT}, f AS (SELECT o.sym, o.seq, o.price, o.removed, time_bucket(INTERVAL 1 HOUR, e.ts) AS bar FROM orders o JOIN events e ON e.event_id = o.seq WHERE o.type = 'E' AND o.removed > 0)
+SELECT sym, epoch_us(bar) AS bar_us, arg_min(price, seq) AS first, max(price) AS high, min(price) AS low, arg_max(price, seq) AS last, CAST(sum(removed) AS BIGINT) AS lots, CAST(sum(price * removed) // sum(removed) AS BIGINT) AS vwap FROM f GROUP BY sym, bar""")
+def x_fill_bars(spark, sf_dir):
+    """An extension: first, high, low, last, lots and volume-weighted price of fills, by event-time hour."""
+    times = events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    hit = _left(spark, sf_dir).where("type = 'E' and removed > 0").join(times, "seq")
+    bars = hit.groupBy("sym", F.window("at", "1 hour").alias("w")).agg(
+        F.min_by("price", "seq").alias("first"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("last"),
+        F.sum("removed").alias("lots"), F.expr("sum(price * removed) div sum(removed)").alias("vwap"))
+    return bars.select("sym", F.unix_micros("w.start").alias("bar_us"), "first", "high", "low", "last", "lots", "vwap")
+
+
+@query()
+def m11_engine_ids(spark, sf_dir):
+    """Engine ids of resting orders, by slots of last-in first-out reuse."""
+    from tickloom.operators.slots import engine_ids
+
+    return engine_ids(cross_tape(spark, sf_dir))
+
+
+@query()
+def a16_file_checksum(spark, sf_dir):
+    """For each wire file, its bytes and the sum of the bytes at every 4096th place."""
+    folder = scratch(spark, "wire")
+    itch.write_wire(itch.encode(_messages(wire_tape(spark, sf_dir))), folder).collect()
+    files = spark.read.format("binaryFile").load(folder).select("path", "length", "content")
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(4096).cast("bigint")), lambda i: F.conv(F.hex(F.substring("content", (i + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint"))
+    return files.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("int").alias("sym"), "length", F.aggregate(places, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"))
