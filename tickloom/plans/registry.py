@@ -10,7 +10,7 @@ from tickloom.operators import kernel
 from tickloom.operators import set_based as S
 from tickloom.sources import itch
 from tickloom.sources.scratch import scratch
-from tickloom.sources.tapes import BASE, MID, WIRE_SQL, cross_tape, events, wire_tape
+from tickloom.sources.tapes import BASE, CROSS_SQL, MID, WIRE_SQL, cross_tape, events, wire_tape
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,13 @@ def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_changes(S.tops(_left(spark, sf_dir)))
 
 
+# --- steps that several chains share ---------------------------------------------------------------------------
+PUBLISHED = """before AS (SELECT *, lag(bid_px, 1, -1) OVER w AS lbp, lag(bid_qty, 1, 0) OVER w AS lbq, lag(ask_px, 1, -1) OVER w AS lap, lag(ask_qty, 1, 0) OVER w AS laq FROM tops WINDOW w AS (PARTITION BY sym ORDER BY seq)),
+pub AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY seq) AS pub_seq FROM before WHERE (bid_px, bid_qty, ask_px, ask_qty) <> (lbp, lbq, lap, laq))"""
+SIGNAL_STEPS = """sig AS (SELECT sym, seq, pub_seq, bid_px, bid_qty, ask_px, ask_qty,
+               CAST(sum((bid_px >= lbp)::INT * bid_qty - (bid_px <= lbp)::INT * lbq - (ask_px <= lap)::INT * ask_qty + (ask_px >= lap)::INT * laq) OVER (PARTITION BY sym ORDER BY seq) AS BIGINT) AS ofi,
+               CAST(((bid_px * ask_qty + ask_px * bid_qty) * 256) // (bid_qty + ask_qty + (bid_qty + ask_qty = 0)::INT) AS BIGINT) AS micro_px FROM pub)"""
+
 # --- the wire tape's operators in SQL, each step a WITH clause ------------------------------------------------
 LEFT = f"""WITH {WIRE_SQL},
 o1 AS (SELECT t.*, first_value(t.side) OVER w AS oside, first_value(t.price) OVER w AS oprice, first_value(t.qty) OVER w AS shares FROM tape t WINDOW w AS (PARTITION BY sym, ref ORDER BY seq)),
@@ -53,12 +60,9 @@ bids AS (SELECT m.sym, m.seq, max(s.price) AS bid_px, arg_max(s.depth, s.price)
 asks AS (SELECT m.sym, m.seq, min(s.price) AS ask_px, arg_min(s.depth, s.price) AS ask_qty FROM tape m JOIN spans s ON s.sym = m.sym AND m.seq >= s.since AND m.seq < s.until WHERE s.side = 'S' AND s.depth > 0 GROUP BY ALL),
 tops AS (SELECT t.sym, t.seq, coalesce(bid_px, -1) AS bid_px, coalesce(bid_qty, 0) AS bid_qty, coalesce(ask_px, -1) AS ask_px, coalesce(ask_qty, 0) AS ask_qty
          FROM tape t LEFT JOIN bids USING (sym, seq) LEFT JOIN asks USING (sym, seq)),
-before AS (SELECT *, lag(bid_px, 1, -1) OVER w AS lbp, lag(bid_qty, 1, 0) OVER w AS lbq, lag(ask_px, 1, -1) OVER w AS lap, lag(ask_qty, 1, 0) OVER w AS laq FROM tops WINDOW w AS (PARTITION BY sym ORDER BY seq)),
-pub AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY seq) AS pub_seq FROM before WHERE (bid_px, bid_qty, ask_px, ask_qty) <> (lbp, lbq, lap, laq))"""
+{PUBLISHED}"""
 SIGNALS = f"""{TOPS},
-sig AS (SELECT sym, seq, pub_seq, bid_px, bid_qty, ask_px, ask_qty,
-               CAST(sum((bid_px >= lbp)::INT * bid_qty - (bid_px <= lbp)::INT * lbq - (ask_px <= lap)::INT * ask_qty + (ask_px >= lap)::INT * laq) OVER (PARTITION BY sym ORDER BY seq) AS BIGINT) AS ofi,
-               CAST(((bid_px * ask_qty + ask_px * bid_qty) * 256) // (bid_qty + ask_qty + (bid_qty + ask_qty = 0)::INT) AS BIGINT) AS micro_px FROM pub)"""
+{SIGNAL_STEPS}"""
 
 
 @query(f"{SIGNALS} SELECT * FROM sig")
@@ -358,13 +362,62 @@ def t1_stream_signals(spark, sf_dir):
     return run_available(spark, source, scratch(spark, "signals"), tape.schema)
 
 
-@query()
+#: The matching engine in SQL: one step of the recursion is one message of each sym; the book is a list of orders.
+ORDER = "STRUCT(k BIGINT, prio BIGINT, ref BIGINT, side VARCHAR, price BIGINT, qty BIGINT)"
+MATCH = f"""WITH RECURSIVE {CROSS_SQL},
+ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY seq) AS i FROM tape),
+run AS (
+  SELECT DISTINCT sym, 0::BIGINT AS i, 0::BIGINT AS seq, NULL::BIGINT AS taker, []::{ORDER}[] AS book, []::STRUCT(ref BIGINT, price BIGINT, qty BIGINT)[] AS done FROM ev
+  UNION ALL
+  SELECT sym, i, seq, ref,
+         list_concat(away, list_concat(
+           list_filter(list_transform(met, lambda o, n: struct_pack(k := o.k, prio := o.prio, ref := o.ref, side := o.side, price := o.price, qty := o.qty - fills[n])), lambda o: o.qty > 0),
+           CASE WHEN qty > coalesce(list_sum(fills), 0) THEN [struct_pack(k := CASE WHEN side = 'S' THEN price ELSE -price END, prio := i, ref := ref, side := side, price := price, qty := CAST(qty - coalesce(list_sum(fills), 0) AS BIGINT))] ELSE []::{ORDER}[] END)),
+         list_filter(list_transform(met, lambda o, n: struct_pack(ref := o.ref, price := o.price, qty := fills[n])), lambda t: t.qty > 0)
+  FROM (SELECT *, list_transform(met, lambda o, n: CAST(least(o.qty, greatest(0, qty - coalesce(list_sum(list_transform(met[1:n - 1], lambda x: x.qty)), 0))) AS BIGINT)) AS fills
+        FROM (SELECT e.*,
+                list_sort(list_filter(r.book, lambda o: e.type = 'A' AND o.side <> e.side AND CASE WHEN e.side = 'B' THEN o.price <= e.price ELSE o.price >= e.price END)) AS met,
+                list_filter(r.book, lambda o: CASE WHEN e.type = 'A' THEN NOT (o.side <> e.side AND CASE WHEN e.side = 'B' THEN o.price <= e.price ELSE o.price >= e.price END) ELSE o.ref <> e.ref END) AS away
+              FROM run r JOIN ev e ON e.sym = r.sym AND e.i = r.i + 1))
+)"""
+MATCH_TRADES = f"{MATCH} SELECT sym, seq, CAST(n - 1 AS INTEGER) AS n, t.ref AS maker_ref, taker AS taker_ref, t.price AS price, t.qty AS qty FROM (SELECT sym, seq, taker, unnest(done) AS t, generate_subscripts(done, 1) AS n FROM run)"
+MATCH_SIGNALS = f"""{MATCH},
+tops AS (SELECT sym, seq, bid_px, CAST(coalesce(list_sum(list_transform(list_filter(book, lambda o: o.side = 'B' AND o.price = bid_px), lambda o: o.qty)), 0) AS BIGINT) AS bid_qty,
+                ask_px, CAST(coalesce(list_sum(list_transform(list_filter(book, lambda o: o.side = 'S' AND o.price = ask_px), lambda o: o.qty)), 0) AS BIGINT) AS ask_qty
+         FROM (SELECT *, coalesce(list_max(list_transform(list_filter(book, lambda o: o.side = 'B'), lambda o: o.price)), -1) AS bid_px,
+                      coalesce(list_min(list_transform(list_filter(book, lambda o: o.side = 'S'), lambda o: o.price)), -1) AS ask_px FROM run WHERE i > 0)),
+{PUBLISHED},
+{SIGNAL_STEPS} SELECT * FROM sig"""
+
+#: The risk gate, likewise.
+RISK_SQL = f"""WITH RECURSIVE {LEFT[5:]},
+ev AS MATERIALIZED (SELECT *, 1000000000000 + seq * 1000 AS now, row_number() OVER (PARTITION BY sym ORDER BY seq) AS i FROM orders),
+run AS (
+  SELECT DISTINCT sym, 0::BIGINT AS i, 0::BIGINT AS seq, NULL::INTEGER AS mask, 0::BIGINT AS net, 0::BIGINT AS ob, 0::BIGINT AS os, [{','.join(['0::BIGINT']*RISK['depth'])}] AS stamps, []::BIGINT[] AS taken FROM ev
+  UNION ALL
+  SELECT sym, i, seq, mask,
+         net + CASE WHEN hit AND type = 'E' THEN CASE WHEN side = 'B' THEN removed ELSE -removed END ELSE 0 END,
+         CASE WHEN mask = 0 THEN pb WHEN hit AND side = 'B' THEN ob - removed ELSE ob END,
+         CASE WHEN mask = 0 THEN ps WHEN hit AND side = 'S' THEN os - removed ELSE os END,
+         CASE WHEN mask = 0 THEN list_append(stamps[2:], now) ELSE stamps END,
+         CASE WHEN mask = 0 THEN list_append(taken, ref) ELSE taken END
+  FROM (SELECT *, CASE WHEN type = 'A' THEN ((shares <= 0 OR shares > {RISK['max_qty']})::INT) | ((price < {RISK['low']} OR price > {RISK['high']})::INT * 2)
+                 | ((pb + net > {RISK['position_limit']} OR ps - net > {RISK['position_limit']})::INT * 4) | ((now - stamps[1] < {RISK['window']})::INT * 8) END AS mask,
+               type <> 'A' AND list_contains(taken, ref) AS hit
+        FROM (SELECT e.sym, e.i, e.seq, e.type, e.side, e.price, e.shares, e.removed, e.ref, e.now, r.net, r.ob, r.os, r.stamps, r.taken,
+                     r.ob + CASE WHEN e.side = 'B' THEN e.shares ELSE 0 END AS pb, r.os + CASE WHEN e.side = 'S' THEN e.shares ELSE 0 END AS ps
+              FROM run r JOIN ev e ON e.sym = r.sym AND e.i = r.i + 1))
+)
+SELECT sym, seq, mask, net, ob AS open_buy, os AS open_sell FROM run WHERE mask IS NOT NULL"""
+
+
+@query(MATCH_TRADES)
 def m1_match_trades(spark, sf_dir):
     """Trades of the crossing tape, price then time."""
     return kernel.trades(cross_tape(spark, sf_dir))
 
 
-@query()
+@query(MATCH_SIGNALS)
 def m1_match_signals(spark, sf_dir):
     """M1 to M9, W2 to W4 on the crossing tape."""
     return kernel.book_signals(cross_tape(spark, sf_dir))
@@ -389,7 +442,7 @@ def m7_kernel_reductions(spark, sf_dir):
     return kernel.outcomes(wire_tape(spark, sf_dir)).where("outcome in ('reduced', 'cancelled', 'stale')").select("sym", "seq", "removed")
 
 
-@query()
+@query(RISK_SQL)
 def r2_risk_gate(spark, sf_dir):
     """Stateful risk verdicts for every add."""
     return kernel.risk_verdicts(wire_tape(spark, sf_dir), RISK)

@@ -75,3 +75,16 @@ tape AS (SELECT a.sym, a.seq, a.type, b.ref,
                 CASE WHEN type = 'A' THEN 4 + v % 32 WHEN type <> 'D' THEN 1 + v % 8 END AS qty
          FROM k2 a JOIN k3 b ON a.sym = b.sym AND b.aim = CASE WHEN a.type = 'A' THEN a.c ELSE greatest(1, a.c - a.k % 16) END
          WHERE a.c > 0)"""
+
+CROSS_SQL = f"""
+k0 AS (SELECT event_id AS seq, CAST(user_id % {SYMS} AS INTEGER) AS sym, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS v FROM events),
+k1 AS (SELECT *, event_type = 'click' OR (event_type = 'error' AND k % 5 < 3) AS hit, CASE WHEN event_type = 'error' AND k % 5 >= 3 THEN 'D' ELSE 'A' END AS type FROM k0),
+k2 AS (SELECT *, CAST(sum(CASE WHEN type = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY seq) AS BIGINT) AS c FROM k1),
+k3 AS (SELECT sym, c AS aim, seq + 1 AS ref FROM k2 WHERE type = 'A'),
+tape AS (SELECT a.sym, a.seq, a.type, b.ref,
+                CASE WHEN type = 'A' THEN CASE WHEN (v + k) % 2 = 0 THEN 'B' ELSE 'S' END END AS side,
+                CASE WHEN type <> 'A' THEN NULL WHEN hit THEN CASE WHEN (v + k) % 2 = 0 THEN {MID + 8} ELSE {MID - 8} END
+                     WHEN (v + k) % 2 = 0 THEN {MID} - (1 + (k * 7 + v) % 32) ELSE {MID} + (1 + (k * 7 + v) % 32) END AS price,
+                CASE WHEN type <> 'A' THEN NULL WHEN hit THEN 8 + v % 16 ELSE 1 + v % 8 END AS qty
+         FROM k2 a JOIN k3 b ON a.sym = b.sym AND b.aim = CASE WHEN a.type = 'A' THEN a.c ELSE greatest(1, a.c - a.k % 16) END
+         WHERE a.c > 0)"""
