@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
@@ -39,15 +39,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of rows that go to a Python worker at once: what is in flight in the JVM and in a worker is a few times that.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES, so that long rows come in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, and no lineage to recompute when an executor is lost."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,3 +97,27 @@ def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     rest = marked.where("n__ is null").select(*rows.columns)
     cold = groups.where(F.col("n__") <= hot_from).withColumnsRenamed(names)
     return in_hot.unionByName(rest.join(cold, match).select(*rows.columns, *extra))
+
+
+#: Bits a key of the filter of few keys, and the most bits (32 MB) that are broadcast.
+KEY_BITS, BROADCAST_BITS = 16, 1 << 28
+
+
+def with_maybe(rows: DataFrame, h: Column, few: DataFrame) -> DataFrame:
+    """rows with maybe__: whether h may be one of few's column h.
+
+    It is one, or stands with one on a bit of a filter that grows with few and is broadcast while it is under
+    BROADCAST_BITS; beyond, every row may be. So only rows that may match must be shuffled to be joined with few.
+    """
+    bits = max(1 << 16, 1 << (KEY_BITS * max(1, few.count()) - 1).bit_length())
+    if bits > BROADCAST_BITS:
+        return rows.withColumn("maybe__", F.lit(True))
+    place = lambda x: F.pmod(x, F.lit(bits)) + 1
+    at = few.select(place(F.col("h")).alias("p__"))
+    maps = at.groupBy(F.bitmap_bucket_number("p__").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p__")).alias("map__"))
+    placed = rows.withColumn("p__", place(h))
+    bit = F.bitmap_bit_position("p__")
+    byte = F.conv(F.hex(F.substring(F.col("map__"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    joined = placed.join(F.broadcast(maps), F.bitmap_bucket_number("p__") == F.col("bucket__"), "left")
+    return joined.select(*rows.columns, hit.alias("maybe__"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import textops as T
-from .common import meet_groups, staged, with_groups
+from .common import meet_groups, staged, with_groups, with_maybe
 
 LEAST_WORDS = 50
 
@@ -159,14 +159,19 @@ def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "d
     as they are and don't part a run. A run of at least least_words words that stands more than once, in one
     document or several, stays where it is first: by id (null last), row and line. Every line deleted has an
     equal line that stays. Rows equal in id and text count as one document and are treated alike. Null texts
-    stay null. Only lines that repeat, and small tables of runs, are shuffled; texts once, to meet their runs.
+    stay null. Only lines' ids, small tables of runs and the texts that lose lines are shuffled.
     """
     named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     lines = _document_lines(named)
     runs = repeated_intervals(lines, least_words).groupBy("did").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     gone = staged(runs.join(lines.select("did", F.col("id").alias("id__"), F.col("th").alias("th__")), "did").select("id__", "th__", F.col("gone").alias("gone__")), "gone")
     at = docs.columns.index(text_col)
-    joined = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("id__")) & (F.xxhash64(text_col) == F.col("th__")), "left").select(*(docs[c] for c in docs.columns), "gone__")
+    own = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
+    tested = with_maybe(docs, own, gone.select(F.xxhash64("id__", "th__").alias("h")))
+    # texts that lose nothing pass straight through; the rest is shuffled to meet its runs
+    some = tested.where("maybe__").drop("maybe__")
+    joined = some.join(gone.hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col("id__")) & (F.xxhash64(text_col) == F.col("th__")), "left").select(*(some[c] for c in docs.columns), "gone__")
+    untouched = tested.where("not maybe__").drop("maybe__").withColumn("n_deleted", F.lit(0))
     schema = StructType([*docs.schema.fields, StructField("n_deleted", IntegerType())])
 
     def run(batches):
@@ -180,4 +185,4 @@ def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "d
                 columns[at] = pa.array(text, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).unionByName(untouched)
