@@ -79,8 +79,8 @@ def test_components_match_brute_force(spark, monkeypatch, seed, tree_rows, broad
     assert got == brute(rows)
 
 
-def test_second_traversal_alone_finds_all(spark, monkeypatch):
-    """Without help from the first one (no shingles, no links) the second still finds every link."""
+def test_other_rounds_alone_find_all(spark, monkeypatch):
+    """Without help from the first round (no shingles, no links) the others still find every link."""
     monkeypatch.setattr(jaccard, "FIRST", 0)
     rows = corpus(7)
     got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
@@ -88,7 +88,8 @@ def test_second_traversal_alone_finds_all(spark, monkeypatch):
 
 
 def test_common_shingles_change_no_result(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "COMMON_IN_BATCH", 2)
+    monkeypatch.setattr(jaccard, "COMMON_IN_PART", 1)
+    monkeypatch.setattr(jaccard, "LEAST_COMMON", 3)
     rows = corpus(9)
     got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
     assert got == brute(rows)
@@ -135,6 +136,8 @@ def test_trees_miss_no_pair(seed, n):
     right.order = right.order + half
     cross = {(max(p), min(p)) for p in across(Tree(sizes[:half], maps[:half], label[:half]), right)}
     assert {(i, j) for i, j in want if (i >= half) != (j >= half)} <= cross
+    caps = np.array([max([len(sets[i] & sets[j]) for j in range(n) if linked(i, j) and j != i], default=0) for i in range(n)])
+    assert want <= {(max(p), min(p)) for p in Tree(sizes, maps, label, caps=caps).pairs()}
     spanning = list(Tree(sizes, maps, np.arange(n)).pairs(spanning=True))
     assert len(spanning) < n
 

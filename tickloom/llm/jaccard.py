@@ -5,10 +5,10 @@ order common to all, if enough are taken (a fifth and one of a set at 0.8); the
 shingles that stand in very many documents last. Classes that share such a shingle are put in a signature
 tree, whose traversal leaves only pairs that may have the overlap; those are verified on the whole sets.
 
-Two traversals keep large groups of near copies linear. The first takes a few shingles a class and gives
-pairs only until they would connect what the tree holds possible; verified links make components. The second
-takes every shingle that is needed and gives every pair possible of classes in different components, so no
-link between two components is missed.
+Rounds keep large groups of near copies linear. The first takes a few shared shingles a class, the next ones all
+of those that classes of different components share; they give pairs, the likeliest first, only until these would
+connect what a tree holds possible, and the verified links make components. The last round gives every possible
+pair of classes that are still in different components, so no link between two components is missed.
 """
 
 from __future__ import annotations
@@ -22,16 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import meet_groups, partitions_for, staged, with_groups
+from .common import meet_groups, partitions_for, staged, with_groups, with_maybe
 from .components import components
-from .signature_tree import Tree, across, bitmap
+from .signature_tree import Tree, across, bitmap, needed
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles a class in the first traversal; rows in one tree; tokens in one bucket of the second's search.
-FIRST, TREE_ROWS, BUCKET_TOKENS = 6, 2000, 2_000_000
-#: Shingles in so many documents of one batch are counted, those with the highest sums are put last; their most.
-COMMON_IN_BATCH, COMMON = 16, 65_536
-#: A table of at most so many rows of two numbers (8 MB) is broadcast.
+#: Shared shingles a class in the first round; further spanning rounds; rows in one tree; shingles in one bucket of the search for shared ones.
+FIRST, SPANNING, TREE_ROWS, BUCKET_TOKENS = 6, 1, 2000, 500_000
+#: Bits of the filter of shared shingles: so many each, and 32 MB at most; beyond, more unshared ones pass it for a while.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
+#: Shingles of so many documents of one part of COUNTED shingles are counted; those whose counts add up to LEAST_COMMON
+#: are put last, the COMMON (4 MB) with the highest counts at most.
+COMMON_IN_PART, COUNTED, LEAST_COMMON, COMMON = 4, 2_000_000, 16, 500_000
+#: A table of at most so many rows of two or three numbers (12 MB) is broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -51,28 +54,33 @@ def _sets(batch_text: pa.Array, shingle: int):
 def _described(rows: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
     """Of rows (id, th, text): a staged table id, th, n, cid (the set's id, null without words); and the common shingles."""
 
+    def counted(held: list[np.ndarray]):
+        every = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        count = np.diff(np.concatenate((first, [len(every)])))
+        often = count >= COMMON_IN_PART
+        blank = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([blank] * 4 + [pa.array(every[first[often]].view(np.int64)), pa.array(count[often])], names)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            n, cid, held = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, []
+            n, cid = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for k, s in _sets(batch.column(2), shingle):
                 n[k], cid[k] = len(s), set_id(s)
                 held.append(s)
-            out = [batch.column(0), batch.column(1), pa.array(n), pa.array(cid, pa.int64())]
+                size += len(s)
+                if size > COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
             blank = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*out, blank, blank], names)
-            if held:
-                every = np.sort(np.concatenate(held))
-                first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-                count = np.diff(np.concatenate((first, [len(every)])))
-                often = count >= COMMON_IN_BATCH
-                if often.any():
-                    t, c = every[first[often]].view(np.int64), count[often]
-                    blank = pa.nulls(len(t), pa.int64())
-                    yield pa.RecordBatch.from_arrays([blank, blank, blank, blank, pa.array(t), pa.array(c)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cid, pa.int64()), blank, blank], names)
+        if held:
+            yield counted(held)
 
     names = ["id", "th", "n", "cid", "t", "c"]
     both = staged(rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names)), "described")
-    common = both.where("t is not null").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(COMMON).select("t").collect()
+    common = both.where("t is not null").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_COMMON).orderBy(F.desc("c"), "t").limit(COMMON).select("t").collect()
     return both.where("n is not null").drop("t", "c"), np.sort(np.array([r.t for r in common], np.int64).view(T.U))
 
 
@@ -85,7 +93,7 @@ def prefix(tokens: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _wide(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """cid, n, first (array), prefix and bits (bytes) of each class; a class may come once a task."""
+    """cid, n, prefix and bits (bytes) of each class; a class may come once a task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -95,36 +103,41 @@ def _wide(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -> Da
                 if (c := set_id(s)) not in seen:
                     seen.add(c)
                     p = prefix(s, common, percent).view(np.int64)
-                    out.append((c, len(s), p[:FIRST].tolist(), p.tobytes(), bitmap(s).tobytes()))
+                    out.append((c, len(s), p.tobytes(), bitmap(s).tobytes()))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["cid", "n", "first", "prefix", "bits"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["cid", "n", "prefix", "bits"])
 
-    return staged(rows.select("text").mapInArrow(run, "cid bigint, n bigint, first array<bigint>, prefix binary, bits binary"), "wide")
+    return staged(rows.select("text").mapInArrow(run, "cid bigint, n bigint, prefix binary, bits binary"), "wide")
 
 
 def _tree_pairs(rows: DataFrame, wide: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Staged distinct pairs (a < b) out of rows (t, cell_i, cell_j, side, cid, comp), a tree for each side of each cell."""
+    """Staged distinct pairs (a < b) out of rows (g, cell_i, cell_j, side, cid, comp, n, left), a tree for each side of each cell.
+
+    left is how many shingles a class has from the one that brought it here. Two classes alike meet at the first
+    shingle that they share, and from there on neither can share more: that caps what the tree lets pass.
+    """
     rows = staged(rows, "tree_rows")
-    bits = wide.select("cid", "n", "bits").join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    full = rows.join(bits, "cid").repartition("t", "cell_i", "cell_j").sortWithinPartitions("t", "cell_i", "cell_j", "side", "n", "cid")
+    need = staged(rows.select("cid").distinct(), "needed")
+    bits = wide.select("cid", "bits").join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "cid", "left_semi").groupBy("cid").agg(F.first("bits").alias("bits"))
+    full = rows.join(bits, "cid").repartition("g", "cell_i", "cell_j").sortWithinPartitions("g", "cell_i", "cell_j", "side", "n", "cid")
 
     def found(group: pd.DataFrame) -> list[tuple[int, int]]:
-        size, comp, cid, side = (group[c].to_numpy() for c in ("n", "comp", "cid", "side"))
+        size, comp, cid, side, left = (group[c].to_numpy() for c in ("n", "comp", "cid", "side", "left"))
         maps = [np.frombuffer(b, np.uint64) for b in group["bits"]]
         if not side.any():
-            out = Tree(size, maps, comp, percent).pairs(spanning)
+            out = Tree(size, maps, comp, percent, left).pairs(spanning)
         else:
             cut = int(np.searchsorted(side, 1))
-            right = Tree(size[cut:], maps[cut:], comp[cut:], percent)
+            right = Tree(size[cut:], maps[cut:], comp[cut:], percent, left[cut:])
             right.order = right.order + cut
-            out = across(Tree(size[:cut], maps[:cut], comp[:cut], percent), right)
+            out = across(Tree(size[:cut], maps[:cut], comp[:cut], percent, left[:cut]), right)
         return [(min(cid[i], cid[j]), max(cid[i], cid[j])) for i, j in out]
 
     def run(batches):
         rest: list[pd.DataFrame] = []  # of the cell that a batch may go on with: at most two trees' rows
         out: set[tuple[int, int]] = set()
-        key = ["t", "cell_i", "cell_j"]
+        key = ["g", "cell_i", "cell_j"]
 
         def flush():
             got = np.array(sorted(out), np.int64).reshape(-1, 2)
@@ -152,114 +165,224 @@ def _tree_pairs(rows: DataFrame, wide: DataFrame, percent: int, spanning: bool)
         if out:
             yield flush()
 
-    return staged(full.select("t", "cell_i", "cell_j", "side", "cid", "comp", "n", "bits").mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
+    return staged(full.select("g", "cell_i", "cell_j", "side", "cid", "comp", "n", "left", "bits").mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Staged links: the pairs whose whole sets reach the threshold."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    one = described.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("d")).join(need, "cid", "left_semi").select("cid", F.col("d.id").alias("i__"), F.col("d.th").alias("h__"))
-    one = staged(one, "needed")
-    if one.count() <= BROADCAST_ROWS:
+    ends = F.explode(F.array(F.struct(F.col("a").alias("cid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cid"), F.lit(1).alias("side")))).alias("e")
+    asked = pairs.select("a", "b", ends).groupBy("e.cid").agg(F.collect_list("a").alias("as"), F.collect_list("b").alias("bs"))
+    one = described.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("d")).join(asked, "cid").select("cid", F.col("d.id").alias("i__"), F.col("d.th").alias("h__"), "as", "bs")
+    one = staged(one, "asked")
+    if pairs.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
-    texts = rows.join(one, rows["id"].eqNullSafe(F.col("i__")) & (rows["th"] == F.col("h__"))).select("cid", "text")
+    texts = rows.join(one, rows["id"].eqNullSafe(F.col("i__")) & (rows["th"] == F.col("h__"))).select("cid", "text", "as", "bs")
 
-    def run(batches):
+    def sets(batches):
+        """A row with its set for each pair that a class is in, a few MB at a time."""
         for batch in batches:
-            out = [(batch.column(0)[k].as_py(), s.tobytes()) for k, s in _sets(batch.column(1), shingle)]
+            out, size = [], 0
+            for k, s in _sets(batch.column(1), shingle):
+                cid, data = batch.column(0)[k].as_py(), s.tobytes()
+                for a, b in zip(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), strict=True):
+                    out.append((a, b, int(cid == b), data))
+                    size += len(data)
+                    if size > 4 << 20:
+                        yield pack(out)
+                        out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "s"])
+                yield pack(out)
+
+    def pack(out: list[tuple]):
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "side", "s"])
 
-    sets = staged(texts.mapInArrow(run, "cid bigint, s binary").groupBy("cid").agg(F.first("s").alias("s")), "sets")
-    with_a = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
-    with_b = with_a.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    both = texts.mapInArrow(sets, "a bigint, b bigint, side int, s binary").repartition("a", "b").sortWithinPartitions("a", "b", "side")
 
     def test(batches):
+        """Rows of a pair stand together: first a's set, then b's (each more than once if its text is)."""
+        pair, first, done = None, None, False
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), T.U), np.frombuffer(y.as_buffer(), T.U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep[k] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return staged(with_b.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint"), "links")
-
-
-def _shared_tokens(classes: DataFrame, tokens: int) -> DataFrame:
-    """Staged tokens t that stand in classes (comp, prefix) of two components or more.
-
-    Each batch gives a token's least and greatest component; those meet, in bulk, by ranges of tokens. A token
-    of very many classes comes once a batch, so no bucket holds it more often.
+            keep = []
+            for a, b, side, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if (a, b) != pair:
+                    pair, first, done = (a, b), None, False
+                if side == 0:
+                    first = x.as_py() if first is None else first
+                elif not done and first is not None:
+                    one, other, done = np.frombuffer(first, T.U), np.frombuffer(x.as_buffer(), T.U), True
+                    shared = len(np.intersect1d(one, other, assume_unique=True))
+                    if 100 * shared >= percent * (len(one) + len(other) - shared):
+                        keep.append((a, b))
+            got = np.array(keep, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    return staged(both.mapInArrow(test, "a bigint, b bigint"), "links")
+
+
+def _shared_filter(wide: DataFrame) -> np.ndarray:
+    """Bits of a filter that every shingle passes which stands in the prefixes of two classes or more.
+
+    Each batch gives a shingle's least and greatest class; those meet, in bulk, by buckets of shingles. A shingle of
+    very many classes comes twice a batch at most, so no bucket holds it more often.
     """
+    tokens = int(wide.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
     buckets = partitions_for(tokens, BUCKET_TOKENS, least=8)
 
-    def reduce(t: np.ndarray, low: np.ndarray, high: np.ndarray):
-        order = np.argsort(t, kind="stable")
-        t = t[order]
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
-        return t[first], np.minimum.reduceat(low[order], first) if len(first) else low, np.maximum.reduceat(high[order], first) if len(first) else high
-
     def run(batches):
         for batch in batches:
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            comp = np.repeat(np.asarray(batch.column(0)), [len(p) for p in parts])
-            t, low, high = reduce(np.concatenate(parts), comp, comp)
+            t, cid = np.concatenate(parts), np.repeat(np.asarray(batch.column(0)), [len(p) for p in parts])
+            order = np.lexsort((cid, t))
+            t, cid = t[order], cid[order]
+            edge = t[1:] != t[:-1]
+            ends = np.concatenate(([True], edge)) | np.concatenate((edge, [True]))  # the first and the last of each
+            t, cid = t[ends], cid[ends]
             bucket = ((t.view(T.U) * T.U(0x9E3779B97F4A7C15 | 1)) >> T.U(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(k, *(x[order[cut[k] : cut[k + 1]]].tobytes() for x in (t, low, high))) for k in range(buckets) if cut[k + 1] > cut[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "t", "low", "high"])
+            rows = [(k, *(x[order[cut[k] : cut[k + 1]]].tobytes() for x in (t, cid))) for k in range(buckets) if cut[k + 1] > cut[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "t", "cid"])
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t, low, high = reduce(*(np.frombuffer(b"".join(rows[c]), np.int64) for c in ("t", "low", "high")))
-        return pd.DataFrame({"t": t[low < high]})
+        t, cid = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("t", "cid"))
+        order = np.argsort(t, kind="stable")
+        t, cid = t[order], cid[order]
+        return pd.DataFrame({"t": np.unique(t[1:][(t[1:] == t[:-1]) & (cid[1:] != cid[:-1])])})
 
-    parts = classes.select("comp", "prefix").mapInArrow(run, "bucket int, t binary, low binary, high binary")
-    return staged(parts.groupBy("bucket").applyInPandas(merge, "t bigint"), "shared")
+    shared = staged(wide.select("cid", "prefix").mapInArrow(run, "bucket int, t binary, cid binary").groupBy("bucket").applyInPandas(merge, "t bigint"), "shared")
+    size = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * max(1, shared.count()) - 1).bit_length()))
+    place = F.pmod("t", F.lit(size)) + 1
+    maps = shared.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map")).collect()  # 32 MB at most
+    bits = np.zeros((-(-size // 32768), 4096), np.uint8)
+    for r in maps:
+        bits[r["bucket"] - 1] = np.frombuffer(r["map"], np.uint8)
+    return bits.ravel()
 
 
-def _token_rows(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """t, cid, comp of classes' prefixes, for shared tokens only."""
-    n = shared.count()
-    keep = np.sort(np.array([r.t for r in shared.collect()], np.int64)) if n <= BROADCAST_ROWS else None
+def _token_rows(wide: DataFrame) -> DataFrame:
+    """Staged t, cid, n, pos, k: the shingles of prefixes that pass the filter, and the how-manieth of its class each is."""
+    bits = _shared_filter(wide)
 
     def run(batches):
+        mask = T.U(8 * len(bits) - 1)
         for batch in batches:
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
             sizes = [len(p) for p in parts]
             t = np.concatenate(parts)
-            cid, comp = np.repeat(np.asarray(batch.column(0)), sizes), np.repeat(np.asarray(batch.column(1)), sizes)
-            if keep is not None:
-                ok = keep[np.minimum(np.searchsorted(keep, t), len(keep) - 1)] == t if len(keep) else np.zeros(len(t), bool)
-                t, cid, comp = t[ok], cid[ok], comp[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(cid), pa.array(comp)], ["t", "cid", "comp"])
+            at = (t.view(T.U) & mask).astype(np.int64)
+            ok = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            row, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+            row, pos = row[ok], (np.arange(len(t)) - np.repeat(ends - sizes, sizes))[ok]
+            rank = np.arange(len(ok)) - np.searchsorted(row, row)
+            columns = t[ok], np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row], pos, rank
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["t", "cid", "n", "pos", "k"])
+
+    rows = wide.select("cid", "n", "prefix").mapInArrow(run, "t bigint, cid bigint, n bigint, pos bigint, k bigint")
+    return staged(rows.distinct(), "token_rows")
+
+
+def _viable(rows: DataFrame, percent: int) -> DataFrame:
+    """Staged g, cid, comp, n, left, n__ out of rows (t, cid, comp, n, pos, n__): rows with a possible partner by sizes and
+    what is left. g tells groups apart; shingles with the same members make one group, with the most left of each.
+
+    Groups of more rows than a tree holds pass as they are.
+    """
 
-    rows = classes.select("cid", "comp", "prefix").mapInArrow(run, "t bigint, cid bigint, comp bigint")
-    return (rows if keep is not None else rows.join(shared, "t", "left_semi")).distinct()
+    def tested(t, cid, comp, n, left):
+        """Rows are in order of t and n: a row is compared with the next, the one after it, and so on in its group."""
+        ok = np.zeros(len(t), bool)
+        at, step = np.arange(len(t) - 1), 1
+        while len(at):
+            other = at + step
+            near = (t[at] == t[other]) & (100 * n[at] >= percent * n[other])
+            at, other = at[near], other[near]
+            hit = (comp[at] != comp[other]) & (np.minimum(left[at], left[other]) >= needed(n[at], n[other], percent))
+            ok[at[hit]] = ok[other[hit]] = True
+            step += 1
+            at = at[at + step < len(t)]
+        t, cid, comp, n, left = (x[ok] for x in (t, cid, comp, n, left))
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate((first, [len(t)])))
+        g = np.add.reduceat(T.mix(cid.view(T.U)), first) if len(first) else np.zeros(0, T.U)
+        group, count = np.repeat(T.mix(g).view(np.int64), size), np.repeat(size, size)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (group, cid, comp, n, left, count)], ["g", "cid", "comp", "n", "left", "n__"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            rest = [c[cut:] for c in columns]  # the last group may go on: no longer than a tree
+            if cut:
+                yield tested(*(c[:cut] for c in columns))
+        if rest is not None and len(rest[0]):
+            yield tested(*rest)
+
+    names = "g bigint, cid bigint, comp bigint, n bigint, left bigint, n__ bigint"
+    small = rows.where(F.col("n__") <= TREE_ROWS).select("t", "cid", "comp", "n", (F.col("n") - F.col("pos")).alias("left"))
+    small = small.repartition("t").sortWithinPartitions("t", "n", "cid").mapInArrow(run, names)
+    large = rows.where(F.col("n__") > TREE_ROWS).select(F.xxhash64("t").alias("g"), "cid", "comp", "n", (F.col("n") - F.col("pos")).alias("left"), "n__")
+    once = small.unionByName(large).groupBy("g", "cid").agg(F.max("comp").alias("comp"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("n__").alias("n__"))
+    return staged(once, "viable")
+
+
+def _mixed(rows: DataFrame, key: str, comps: DataFrame) -> DataFrame:
+    """rows with comp, the component of their class, without groups (of key) of one component."""
+    named = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
+    kept = [c for c in rows.columns if c not in ("comp", "n__")]
+    placed = staged(rows.select(*kept).join(named, F.col("cid") == F.col("v"), "left").select(*kept, F.coalesce("comp", "cid").alias("comp")), "placed")
+    groups = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n__"), F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ < hi__")
+    return meet_groups(placed, staged(groups, "mixed"), [key]).drop("lo__", "hi__")
 
 
 def link_classes(rows: DataFrame, described: DataFrame, common: np.ndarray, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Staged links between classes, and (v, comp) of every class that has one."""
     wide = _wide(rows, common, shingle, percent)
-    few = with_groups(wide.select("cid", F.explode("first").alias("t")).distinct(), ["t"], least=2)
-    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("n__") / F.lit(float(TREE_ROWS))))
-    cells = few.select("t", block.cast("int").alias("cell_i"), block.cast("int").alias("cell_j"), F.lit(0).alias("side"), "cid", F.col("cid").alias("comp"))
-    first = _verified(_tree_pairs(cells, wide, percent, True), rows, described, shingle, percent)
-    comps = components(first)
-    named = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
-    classes = wide.join(named, F.col("cid") == F.col("v"), "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "prefix")
-    tokens = wide.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    every = with_groups(_token_rows(classes, _shared_tokens(classes, int(tokens) // 8)), ["t"], least=2)
-    # more rows than a tree holds are cut into blocks; each pair of blocks is a cell, and no pair of rows is left out
-    blocks = F.ceil(F.col("n__") / F.lit(float(TREE_ROWS))).cast("int")
-    placed = every.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = placed.select("t", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp")
-    second = _verified(_tree_pairs(cells, wide, percent, False), rows, described, shingle, percent)
-    if second.isEmpty():
-        return first, comps
-    links = staged(first.unionByName(second), "all_links")
-    return links, components(links)
+    every = _token_rows(wide)
+    for _ in range(3):
+        # shingles of more classes than a tree holds, which no part had shown to be common, are put last as well
+        more = every.groupBy("t").count().where(F.col("count") > TREE_ROWS).select("t").limit(COMMON).collect()
+        new = np.setdiff1d(np.array([r.t for r in more], np.int64).view(T.U), common)
+        if not len(new):
+            break
+        common = np.union1d(common, new)
+        wide = _wide(rows, common, shingle, percent)
+        every = _token_rows(wide)
+
+    tried = None
+
+    def linked(viable: DataFrame, spanning: bool) -> DataFrame:
+        # more rows than a tree holds are cut into blocks; in a whole round each pair of blocks is a cell
+        nonlocal tried
+        blocks = F.ceil(F.col("n__") / F.lit(float(TREE_ROWS))).cast("int")
+        placed = viable.withColumn("own", F.pmod(F.xxhash64("cid", F.col("g") if spanning else F.lit(0)), blocks).cast("int"))
+        placed = placed.withColumn("other", F.col("own") if spanning else F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cells = placed.select("g", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "n", "left")
+        pairs = _tree_pairs(cells, wide, percent, spanning)
+        if tried is not None:  # a pair that was tried before and is of two components isn't linked
+            pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "new_pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        return _verified(pairs, rows, described, shingle, percent)
+
+    few = every.where(F.col("k") < FIRST).drop("k").withColumn("comp", F.col("cid"))
+    every = every.drop("k")
+    links = linked(_viable(with_groups(few, ["t"], least=2), percent), True)
+    comps = components(links)
+    viable = _viable(_mixed(every, "t", comps), percent)
+    for spanning in (*[True] * SPANNING, False):
+        if viable.isEmpty():
+            break
+        more = linked(viable, spanning)
+        found = not more.isEmpty()
+        if found:
+            links = staged(links.unionByName(more), "links")
+            comps = components(links)
+        if spanning and found:
+            viable = staged(_mixed(viable, "g", comps), "viable")
+    return links, comps
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,4 +421,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id
     comp = staged(members.groupBy("cid").agg(F.count(F.lit(1)).alias("n__"), F.min("own").alias("first")).join(comps, F.col("cid") == F.col("v"), "left").select("cid", "n__", "first", F.coalesce("comp", "cid").alias("comp")), "comps")
     lowest = with_groups(comp.drop("n__"), ["comp"], keep=F.min("first")).drop("n__").join(comp.select("cid", F.col("n__").alias("size__")), "cid").select("cid", F.col("size__").alias("n__"), "keep")
     lost = meet_groups(members, staged(lowest, "kept"), ["cid"]).where(F.col("own") != F.col("keep")).select(F.col("id").alias("i__"), F.col("th").alias("h__")).distinct()
-    return docs.join(staged(lost, "lost"), F.col(id_col).cast("bigint").eqNullSafe(F.col("i__")) & (F.xxhash64(text_col) == F.col("h__")), "left_anti")
+    lost = staged(lost, "lost")
+    own_hash = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
+    tested = with_maybe(docs, own_hash, lost.select(F.xxhash64("i__", "h__").alias("h")))
+    some = tested.where("maybe__").join(lost.hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col("i__")) & (F.xxhash64(text_col) == F.col("h__")), "left_anti")
+    return tested.where("not maybe__").unionByName(some).drop("maybe__")

@@ -5,7 +5,7 @@ and an excess: tokens less bits set. Two sets share at most as many tokens as th
 the lesser excess: a token of both sets a bit in both, and tokens beyond the first on a bit are excess of
 each. The same holds for nodes with OR-combined bitmaps, the largest sizes and the largest excesses, so a
 pair of nodes is left where even that falls short of what the threshold asks of the smallest sizes. A wider
-bitmap is folded to the other's width.
+bitmap is folded to the other's width. A set may come with a cap on what it can share with any other here.
 """
 
 from __future__ import annotations
@@ -44,19 +44,21 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
 
 
 class Node:
-    __slots__ = ("bits", "children", "excess", "high", "lo", "hi", "low")
+    __slots__ = ("bits", "cap", "children", "excess", "high", "hi", "lo", "low")
 
-    def __init__(self, lo: int, hi: int, low: int, high: int, excess: int, bits: np.ndarray, children: list[Node]):
-        self.lo, self.hi, self.low, self.high, self.excess, self.bits, self.children = lo, hi, low, high, excess, bits, children
+    def __init__(self, lo: int, hi: int, low: int, high: int, cap: int, excess: int, bits: np.ndarray, children: list[Node]):
+        self.lo, self.hi, self.low, self.high, self.cap, self.excess, self.bits, self.children = lo, hi, low, high, cap, excess, bits, children
 
 
 class Tree:
-    """Over sets ordered by size. sizes: tokens of each; bitmaps: its 64-bit words; labels: sets of a label need no pairs."""
+    """Over sets ordered by size. sizes: tokens of each; bitmaps: its 64-bit words; labels: sets of a label need no pairs;
+    caps: the most tokens that each can share with another set here (its size, if not given)."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, percent: int = 80, order: np.ndarray | None = None):
-        order = np.argsort(sizes, kind="stable") if order is None else order
+    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, percent: int = 80, caps: np.ndarray | None = None):
+        order = np.argsort(sizes, kind="stable")
         self.order, self.percent = order, percent
         self.size, self.label = sizes[order].astype(np.int64), labels[order].copy()
+        self.cap = (sizes if caps is None else caps)[order].astype(np.int64)
         self.rows = [bitmaps[k] for k in order]
         self.pairs_seen = self.nodes_seen = 0
         level = [self._leaf(a, min(a + LEAF, len(order))) for a in range(0, len(order), LEAF)]
@@ -68,9 +70,7 @@ class Tree:
         words = min(len(x) for x in self.rows[a:b])
         raw = np.stack([fold(x, words) for x in self.rows[a:b]])
         excess = self.size[a:b] - np.bitwise_count(raw).sum(1).astype(np.int64)
-        node = Node(a, b, int(self.size[a]), int(self.size[b - 1]), int(excess.max()), np.bitwise_or.reduce(raw), [])
-        node.low, node.high = int(self.size[a:b].min()), int(self.size[a:b].max())
-        return node
+        return Node(a, b, int(self.size[a]), int(self.size[b - 1]), int(self.cap[a:b].max()), int(excess.max()), np.bitwise_or.reduce(raw), [])
 
     @staticmethod
     def _join(nodes: list[Node]) -> Node:
@@ -80,7 +80,7 @@ class Tree:
         bits = np.bitwise_or.reduce(np.stack([fold(n.bits, words) for n in nodes]))
         # folding hides further tokens: of a set at most as many more as bits are lost, so take the worst case
         excess = max(n.excess if len(n.bits) == words else n.high for n in nodes)
-        return Node(nodes[0].lo, nodes[-1].hi, min(n.low for n in nodes), max(n.high for n in nodes), excess, bits, nodes)
+        return Node(nodes[0].lo, nodes[-1].hi, min(n.low for n in nodes), max(n.high for n in nodes), max(n.cap for n in nodes), excess, bits, nodes)
 
     def _possible(self, x: Node, y: Node) -> bool:
         self.nodes_seen += 1
@@ -93,7 +93,7 @@ class Tree:
         ex = x.excess if len(x.bits) == words else x.high
         ey = y.excess if len(y.bits) == words else y.high
         common = int(np.bitwise_count(fold(x.bits, words) & fold(y.bits, words)).sum()) + min(ex, ey)
-        return min(common, x.high, y.high) >= needed(x.low, y.low, self.percent)
+        return min(common, x.cap, y.cap) >= needed(x.low, y.low, self.percent)
 
     def _leaves(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int]]:
         words = min(min(len(r) for r in self.rows[x.lo : x.hi]), min(len(r) for r in self.rows[y.lo : y.hi]))
@@ -103,20 +103,25 @@ class Tree:
         ea = na - np.bitwise_count(a).sum(1).astype(np.int64)
         eb = nb - np.bitwise_count(b).sum(1).astype(np.int64)
         common = np.bitwise_count(a[:, None] & b[None]).sum(2).astype(np.int64) + np.minimum(ea[:, None], eb[None])
-        ok = np.minimum(common, np.minimum(na[:, None], nb[None])) >= needed(na[:, None], nb[None], self.percent)
+        ok = np.minimum(common, np.minimum(self.cap[x.lo : x.hi, None], self.cap[None, y.lo : y.hi])) >= needed(na[:, None], nb[None], self.percent)
         if x is y:
             ok = np.triu(ok, 1)
         self.pairs_seen += ok.size
-        while True:
-            left = ok & (self.label[x.lo : x.hi, None] != self.label[None, y.lo : y.hi])
-            i, j = np.nonzero(left)
-            if not len(i):
-                return
-            for p, q in [(i[0], j[0])] if spanning else zip(i.tolist(), j.tolist(), strict=True):
+        ok &= self.label[x.lo : x.hi, None] != self.label[None, y.lo : y.hi]
+        if not spanning:
+            i, j = np.nonzero(ok)
+            for p, q in zip(i.tolist(), j.tolist(), strict=True):
                 yield int(self.order[x.lo + p]), int(self.order[y.lo + q])
-            if not spanning:
+            return
+        # the likeliest first: the largest share of their union that the two may have in common
+        share = np.where(ok, common / np.maximum(na[:, None] + nb[None] - common, 1), -1.0)
+        while share.size:
+            p, q = divmod(int(share.argmax()), share.shape[1])
+            if share[p, q] < 0:
                 return
-            self.label[self.label == self.label[y.lo + j[0]]] = self.label[x.lo + i[0]]
+            yield int(self.order[x.lo + p]), int(self.order[y.lo + q])
+            self.label[self.label == self.label[y.lo + q]] = self.label[x.lo + p]
+            share[self.label[x.lo : x.hi, None] == self.label[None, y.lo : y.hi]] = -1.0
 
     def _both(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int]]:
         if not self._possible(x, y):
@@ -142,7 +147,7 @@ class Tree:
 
     def pairs(self, spanning: bool = False) -> Iterator[tuple[int, int]]:
         """Pairs of sets with different labels that may reach the threshold: all of them, or (spanning) only such that
-        each joins two labels, taken as one from then on."""
+        each joins two labels, taken as one from then on, the likeliest of two leaves first."""
         if self.root is not None:
             yield from self._own(self.root, spanning)
 
@@ -156,9 +161,9 @@ def across(left: Tree, right: Tree) -> Iterator[tuple[int, int]]:
     both.percent, both.pairs_seen, both.nodes_seen = left.percent, 0, 0
     both.order = np.concatenate([left.order, right.order])
     both.size, both.label = np.concatenate([left.size, right.size]), np.concatenate([left.label, right.label])
-    both.rows = left.rows + right.rows
+    both.cap, both.rows = np.concatenate([left.cap, right.cap]), left.rows + right.rows
 
     def moved(x: Node) -> Node:
-        return Node(x.lo + n, x.hi + n, x.low, x.high, x.excess, x.bits, [moved(c) for c in x.children])
+        return Node(x.lo + n, x.hi + n, x.low, x.high, x.cap, x.excess, x.bits, [moved(c) for c in x.children])
 
     yield from both._both(left.root, moved(right.root), False)
