@@ -110,3 +110,23 @@ def test_file_checksum(spark, folder):
         data.setdefault(r.sym, bytearray()).extend(r.frame)
     got = {r.sym: (r.length, r.checksum) for r in QUERIES["a16_file_checksum"](spark, folder).collect()}
     assert got == {k: (len(v), sum(v[::4096])) for k, v in data.items()}
+
+
+def test_stream_drain_and_pacing(spark, folder, tmp_path):
+    from tickloom.sources.tapes import wire_tape
+    from tickloom.streaming.book_stream import drain, paced, stream_signals
+
+    tape = wire_tape(spark, folder)
+    last = tape.agg({"seq": "max"}).first()[0]
+    for part in range(3):
+        tape.where(f"seq * 3 div {last + 1} = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/tape")
+    updates = stream_signals(spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/tape"))
+    got, tapped = [], []
+    drain(updates, lambda batch, n: got.extend((n, *r) for r in batch.collect()), f"{tmp_path}/state", lambda batch, n: tapped.append((n, batch.count()))).awaitTermination()
+    want = {(r.sym, r.seq, r.pub_seq, r.ofi, r.micro_px) for r in QUERIES["ofi_micro"](spark, folder).collect()}
+    assert {(r[1], r[2], r[3], r[8], r[9]) for r in got} == want and len(got) == len(want)
+    assert [n for n, _ in tapped] == [0, 1, 2] and sum(c for _, c in tapped) == len(got)
+    for sym in {r[1] for r in got}:
+        numbers = [r[3] for r in got if r[1] == sym]
+        assert numbers == list(range(1, len(numbers) + 1))  # in order, none lost
+    assert paced(spark, 1000).isStreaming and paced(spark, 1000, 64).isStreaming

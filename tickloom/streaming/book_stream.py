@@ -44,6 +44,26 @@ def stream_signals(tape: DataFrame) -> DataFrame:
     return tape.groupBy("sym").applyInPandasWithState(_advance, SIGNALS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def paced(spark: SparkSession, messages_a_second: int, burst: int | None = None) -> DataFrame:
+    """A stream of numbered ticks to pace a feed by: evenly, or `burst` at a time. It never waits for its readers."""
+    if burst is None:
+        return spark.readStream.format("rate").option("rowsPerSecond", messages_a_second).load()
+    every = max(1, 1000 * burst // messages_a_second)
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", burst).option("advanceMillisPerBatch", every).load()
+
+
+def drain(updates: DataFrame, consume, checkpoint: str, tap=None):
+    """Start a consumer of every update: consume(batch in order of sym and pub_seq, number); tap gets the batch first
+    (a journal, say). A batch comes again after a failure with the same number, so consumers can tell."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        if tap is not None:
+            tap(batch, number)
+        consume(batch.orderBy("sym", "pub_seq"), number)
+
+    return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_available(spark: SparkSession, source: str, sink: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Run over what is in source (Parquet files, in the order of their time stamps) and give what was written to sink."""
     tape = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
