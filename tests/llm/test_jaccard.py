@@ -72,6 +72,7 @@ def corpus(seed, families=12, size=14):
 
 @pytest.mark.parametrize(("seed", "tree_rows", "broadcast"), [(1, 2000, 500_000), (2, 3, 500_000), (3, 5, 0)])
 def test_components_match_brute_force(spark, monkeypatch, seed, tree_rows, broadcast):
+    monkeypatch.setattr(jaccard, "FAMILY", 4_000_000 if seed != 2 else 500)
     monkeypatch.setattr(jaccard, "TREE_ROWS", tree_rows)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
     rows = ROWS + corpus(seed)
@@ -129,15 +130,15 @@ def test_trees_miss_no_pair(seed, n):
     sizes, maps, label = np.array([len(s) for s in sets]), [bitmap(a) for a in arrays], np.array([rng.randrange(6) if rng.random() < 0.3 else 100 + i for i in range(n)])
     linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
     want = {(i, j) for i in range(n) for j in range(i) if linked(i, j) and label[i] != label[j]}
-    got = {(max(p), min(p)) for p in Tree(sizes, maps, label).pairs()}
+    got = {(max(p[:2]), min(p[:2])) for p in Tree(sizes, maps, label).pairs()}
     assert want <= got
     half = n // 2
     right = Tree(sizes[half:], maps[half:], label[half:])
     right.order = right.order + half
-    cross = {(max(p), min(p)) for p in across(Tree(sizes[:half], maps[:half], label[:half]), right)}
+    cross = {(max(p[:2]), min(p[:2])) for p in across(Tree(sizes[:half], maps[:half], label[:half]), right)}
     assert {(i, j) for i, j in want if (i >= half) != (j >= half)} <= cross
     caps = np.array([max([len(sets[i] & sets[j]) for j in range(n) if linked(i, j) and j != i], default=0) for i in range(n)])
-    assert want <= {(max(p), min(p)) for p in Tree(sizes, maps, label, caps=caps).pairs()}
+    assert want <= {(max(p[:2]), min(p[:2])) for p in Tree(sizes, maps, label, caps=caps).pairs()}
     spanning = list(Tree(sizes, maps, np.arange(n)).pairs(spanning=True))
     assert len(spanning) < n
 

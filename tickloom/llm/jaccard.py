@@ -5,10 +5,11 @@ order common to all, if enough are taken (a fifth and one of a set at 0.8); the
 shingles that stand in very many documents last. Classes that share such a shingle are put in a signature
 tree, whose traversal leaves only pairs that may have the overlap; those are verified on the whole sets.
 
-Rounds keep large groups of near copies linear. The first takes a few shared shingles a class, the next ones all
-of those that classes of different components share; they give pairs, the likeliest first, only until these would
-connect what a tree holds possible, and the verified links make components. The last round gives every possible
-pair of classes that are still in different components, so no link between two components is missed.
+Two traversals keep large groups of near copies linear. The first takes a few shared shingles a class, and gives
+pairs, the likeliest first, only until these would connect what a tree holds possible; the verified links make
+components. The second takes all shingles that classes of different components share, and gives every possible
+pair. Of those the likeliest of each class is verified first, and then every pair that is still of different
+components, so no link between two components is missed.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .components import components
 from .signature_tree import Tree, across, bitmap, needed
 
 SHINGLE, PERCENT = 5, 80
-#: Shared shingles a class in the first round; further spanning rounds; rows in one tree; shingles in one bucket of the search for shared ones.
-FIRST, SPANNING, TREE_ROWS, BUCKET_TOKENS = 6, 1, 2000, 500_000
+#: Shared shingles a class in the first round; rows in one tree; shingles in one bucket of the search for shared ones.
+FIRST, TREE_ROWS, BUCKET_TOKENS = 6, 2000, 500_000
+#: Shingles of the sets that are held together while the pairs among them are verified (32 MB).
+FAMILY = 4_000_000
 #: Bits of the filter of shared shingles: so many each, and 32 MB at most; beyond, more unshared ones pass it for a while.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: Shingles of so many documents of one part of COUNTED shingles are counted; those whose counts add up to LEAST_COMMON
@@ -112,7 +115,7 @@ def _wide(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -> Da
 
 
 def _tree_pairs(rows: DataFrame, wide: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Staged distinct pairs (a < b) out of rows (g, cell_i, cell_j, side, cid, comp, n, left), a tree for each side of each cell.
+    """Staged pairs (a < b, share: the most of their union that they may have in common) out of rows (g, cell_i, cell_j, side, cid, comp, n, left), a tree for each side of each cell.
 
     left is how many shingles a class has from the one that brought it here. Two classes alike meet at the first
     shingle that they share, and from there on neither can share more: that caps what the tree lets pass.
@@ -132,17 +135,18 @@ def _tree_pairs(rows: DataFrame, wide: DataFrame, percent: int, spanning: bool)
             right = Tree(size[cut:], maps[cut:], comp[cut:], percent, left[cut:])
             right.order = right.order + cut
             out = across(Tree(size[:cut], maps[:cut], comp[:cut], percent, left[:cut]), right)
-        return [(min(cid[i], cid[j]), max(cid[i], cid[j])) for i, j in out]
+        return [((min(cid[i], cid[j]), max(cid[i], cid[j])), share) for i, j, share in out]
 
     def run(batches):
         rest: list[pd.DataFrame] = []  # of the cell that a batch may go on with: at most two trees' rows
-        out: set[tuple[int, int]] = set()
+        out: dict[tuple[int, int], float] = {}
         key = ["g", "cell_i", "cell_j"]
 
         def flush():
-            got = np.array(sorted(out), np.int64).reshape(-1, 2)
+            got = np.array(list(out), np.int64).reshape(-1, 2)
+            share = np.array(list(out.values()))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(share)], ["a", "b", "share"])
 
         def ready(last: bool):
             frame = pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
@@ -150,7 +154,8 @@ def _tree_pairs(rows: DataFrame, wide: DataFrame, percent: int, spanning: bool)
             edges = [0, *new.tolist()] + ([len(frame)] if last else [])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b - a > 1:
-                    out.update(found(frame.iloc[a:b]))
+                    for pair, share in found(frame.iloc[a:b]):
+                        out[pair] = max(share, out.get(pair, 0.0))
             rest[:] = [] if last else [frame.iloc[edges[-1] :]]
 
         for batch in batches:
@@ -158,34 +163,43 @@ def _tree_pairs(rows: DataFrame, wide: DataFrame, percent: int, spanning: bool)
                 rest.append(batch.to_pandas())
                 if len(rest) == 1 or (rest[-1][key].iloc[-1] != rest[0][key].iloc[0]).any():
                     ready(False)
-                if len(out) > 50_000:
+                if len(out) > 200_000:
                     yield flush()
         if rest:
             ready(True)
         if out:
             yield flush()
 
-    return staged(full.select("g", "cell_i", "cell_j", "side", "cid", "comp", "n", "left", "bits").mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
+    pairs = full.select("g", "cell_i", "cell_j", "side", "cid", "comp", "n", "left", "bits").mapInArrow(run, "a bigint, b bigint, share double")
+    return staged(pairs.groupBy("a", "b").agg(F.max("share").alias("share")), "pairs")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Staged links: the pairs whose whole sets reach the threshold."""
-    ends = F.explode(F.array(F.struct(F.col("a").alias("cid"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cid"), F.lit(1).alias("side")))).alias("e")
-    asked = pairs.select("a", "b", ends).groupBy("e.cid").agg(F.collect_list("a").alias("as"), F.collect_list("b").alias("bs"))
-    one = described.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("d")).join(asked, "cid").select("cid", F.col("d.id").alias("i__"), F.col("d.th").alias("h__"), "as", "bs")
-    one = staged(one, "asked")
-    if pairs.count() <= BROADCAST_ROWS:
-        one = F.broadcast(one)
-    texts = rows.join(one, rows["id"].eqNullSafe(F.col("i__")) & (rows["th"] == F.col("h__"))).select("cid", "text", "as", "bs")
+    """Staged links: the pairs (a, b) whose whole sets reach the threshold.
+
+    Pairs that hang together are a family, whose sets are sent once and held together; a family of more than FAMILY
+    shingles is verified pair by pair, each with its own two sets.
+    """
+    family = components(pairs).withColumnsRenamed({"v": "cid", "comp": "f"})
+    known = described.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("d"), F.max("n").alias("n"))
+    member = staged(family.join(known, "cid").select("cid", "f", F.col("d.id").alias("i__"), F.col("d.th").alias("h__"), "n"), "members")
+    size = member.groupBy("f").agg(F.sum("n").alias("n"))
+    named = pairs.join(family.select(F.col("cid").alias("a"), "f"), "a").join(size, "f")
+    named = staged(named.select("a", "b", F.when(F.col("n") <= FAMILY, F.col("f")).otherwise(F.xxhash64("a", "b")).alias("f")), "named_pairs")
+    ends = named.select("f", F.explode(F.array("a", "b")).alias("cid")).distinct().groupBy("cid").agg(F.collect_list("f").alias("fs"))
+    asked = staged(member.select("cid", "i__", "h__").join(ends, "cid"), "asked")
+    if named.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    texts = rows.join(asked, rows["id"].eqNullSafe(F.col("i__")) & (rows["th"] == F.col("h__"))).select("cid", "text", "fs")
 
     def sets(batches):
-        """A row with its set for each pair that a class is in, a few MB at a time."""
+        """A row with its set for each family that a class is in, a few MB at a time."""
         for batch in batches:
             out, size = [], 0
             for k, s in _sets(batch.column(1), shingle):
                 cid, data = batch.column(0)[k].as_py(), s.tobytes()
-                for a, b in zip(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), strict=True):
-                    out.append((a, b, int(cid == b), data))
+                for f in batch.column(2)[k].as_py():
+                    out.append((f, cid, None, data))
                     size += len(data)
                     if size > 4 << 20:
                         yield pack(out)
@@ -194,25 +208,26 @@ def _verified(pairs: DataFrame, rows: DataFrame, described: DataFrame, shingle:
                 yield pack(out)
 
     def pack(out: list[tuple]):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "side", "s"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["f", "a", "b", "s"])
 
-    both = texts.mapInArrow(sets, "a bigint, b bigint, side int, s binary").repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    schema = "f bigint, a bigint, b bigint, s binary"
+    both = texts.mapInArrow(sets, schema).unionByName(named.select("f", "a", "b", F.lit(None).cast("binary").alias("s")))
+    both = both.repartition("f").sortWithinPartitions("f", F.col("s").isNull())
 
     def test(batches):
-        """Rows of a pair stand together: first a's set, then b's (each more than once if its text is)."""
-        pair, first, done = None, None, False
+        """A family's sets come first (more than once if a text is), then its pairs."""
+        now, held = None, {}
         for batch in batches:
             keep = []
-            for a, b, side, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if (a, b) != pair:
-                    pair, first, done = (a, b), None, False
-                if side == 0:
-                    first = x.as_py() if first is None else first
-                elif not done and first is not None:
-                    one, other, done = np.frombuffer(first, T.U), np.frombuffer(x.as_buffer(), T.U), True
-                    shared = len(np.intersect1d(one, other, assume_unique=True))
-                    if 100 * shared >= percent * (len(one) + len(other) - shared):
+            for f, a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if f != now:
+                    now, held = f, {}
+                if b is None:
+                    held[a] = np.frombuffer(x.as_py(), T.U)
+                elif a in held and b in held:
+                    shared = len(np.intersect1d(held[a], held[b], assume_unique=True))
+                    if 100 * shared >= percent * (len(held[a]) + len(held[b]) - shared):
                         keep.append((a, b))
             got = np.array(keep, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
@@ -352,36 +367,35 @@ def link_classes(rows: DataFrame, described: DataFrame, common: np.ndarray, shin
         wide = _wide(rows, common, shingle, percent)
         every = _token_rows(wide)
 
-    tried = None
-
-    def linked(viable: DataFrame, spanning: bool) -> DataFrame:
-        # more rows than a tree holds are cut into blocks; in a whole round each pair of blocks is a cell
-        nonlocal tried
+    def possible(viable: DataFrame, spanning: bool) -> DataFrame:
+        # more rows than a tree holds are cut into blocks; in a whole traversal each pair of blocks is a cell
         blocks = F.ceil(F.col("n__") / F.lit(float(TREE_ROWS))).cast("int")
         placed = viable.withColumn("own", F.pmod(F.xxhash64("cid", F.col("g") if spanning else F.lit(0)), blocks).cast("int"))
         placed = placed.withColumn("other", F.col("own") if spanning else F.explode(F.sequence(F.lit(0), blocks - 1)))
         cells = placed.select("g", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "n", "left")
-        pairs = _tree_pairs(cells, wide, percent, spanning)
-        if tried is not None:  # a pair that was tried before and is of two components isn't linked
-            pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "new_pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        return _verified(pairs, rows, described, shingle, percent)
+        return _tree_pairs(cells, wide, percent, spanning)
 
     few = every.where(F.col("k") < FIRST).drop("k").withColumn("comp", F.col("cid"))
-    every = every.drop("k")
-    links = linked(_viable(with_groups(few, ["t"], least=2), percent), True)
+    tried = possible(_viable(with_groups(few, ["t"], least=2), percent), True)
+    links = _verified(tried.select("a", "b"), rows, described, shingle, percent)
     comps = components(links)
-    viable = _viable(_mixed(every, "t", comps), percent)
-    for spanning in (*[True] * SPANNING, False):
-        if viable.isEmpty():
-            break
-        more = linked(viable, spanning)
-        found = not more.isEmpty()
-        if found:
-            links = staged(links.unionByName(more), "links")
+    viable = _viable(_mixed(every.drop("k"), "t", comps), percent)
+    # a pair that was tried before and is of two components isn't linked
+    pairs = staged(possible(viable, False).join(tried, ["a", "b"], "left_anti"), "new_pairs")
+    for x, y in (("a", "b"), ("b", "a")):
+        best = pairs.groupBy(x).agg(F.max_by(y, F.struct("share", y)).alias(y)).select("a", "b")
+        likely = best if x == "a" else likely.unionByName(best).distinct()
+    likely = staged(likely, "likely")
+    for now in (likely, pairs.select("a", "b").join(likely, ["a", "b"], "left_anti")):
+        for end in ("a", "b"):
+            now = now.join(comps.withColumnsRenamed({"v": end, "comp": f"comp_{end}"}), end, "left")
+        now = staged(now.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "open_pairs")
+        if now.isEmpty():
+            continue
+        more = _verified(now, rows, described, shingle, percent)
+        if not more.isEmpty():
+            links = staged(links.unionByName(more), "all_links")
             comps = components(links)
-        if spanning and found:
-            viable = staged(_mixed(viable, "g", comps), "viable")
     return links, comps
 
 

@@ -95,7 +95,7 @@ class Tree:
         common = int(np.bitwise_count(fold(x.bits, words) & fold(y.bits, words)).sum()) + min(ex, ey)
         return min(common, x.cap, y.cap) >= needed(x.low, y.low, self.percent)
 
-    def _leaves(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int]]:
+    def _leaves(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int, float]]:
         words = min(min(len(r) for r in self.rows[x.lo : x.hi]), min(len(r) for r in self.rows[y.lo : y.hi]))
         a = np.stack([fold(r, words) for r in self.rows[x.lo : x.hi]])
         b = a if x is y else np.stack([fold(r, words) for r in self.rows[y.lo : y.hi]])
@@ -108,22 +108,22 @@ class Tree:
             ok = np.triu(ok, 1)
         self.pairs_seen += ok.size
         ok &= self.label[x.lo : x.hi, None] != self.label[None, y.lo : y.hi]
+        # the share of their union that the two may have in common
+        share = np.where(ok, common / np.maximum(na[:, None] + nb[None] - common, 1), -1.0)
         if not spanning:
             i, j = np.nonzero(ok)
             for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                yield int(self.order[x.lo + p]), int(self.order[y.lo + q])
+                yield int(self.order[x.lo + p]), int(self.order[y.lo + q]), float(share[p, q])
             return
-        # the likeliest first: the largest share of their union that the two may have in common
-        share = np.where(ok, common / np.maximum(na[:, None] + nb[None] - common, 1), -1.0)
-        while share.size:
+        while share.size:  # the likeliest first
             p, q = divmod(int(share.argmax()), share.shape[1])
             if share[p, q] < 0:
                 return
-            yield int(self.order[x.lo + p]), int(self.order[y.lo + q])
+            yield int(self.order[x.lo + p]), int(self.order[y.lo + q]), float(share[p, q])
             self.label[self.label == self.label[y.lo + q]] = self.label[x.lo + p]
             share[self.label[x.lo : x.hi, None] == self.label[None, y.lo : y.hi]] = -1.0
 
-    def _both(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int]]:
+    def _both(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int, float]]:
         if not self._possible(x, y):
             return
         if not x.children and not y.children:
@@ -135,7 +135,7 @@ class Tree:
             for c in y.children:
                 yield from self._both(x, c, spanning)
 
-    def _own(self, x: Node, spanning: bool) -> Iterator[tuple[int, int]]:
+    def _own(self, x: Node, spanning: bool) -> Iterator[tuple[int, int, float]]:
         if not x.children:
             yield from self._leaves(x, x, spanning)
             return
@@ -145,14 +145,15 @@ class Tree:
             for d in x.children[k + 1 :]:
                 yield from self._both(c, d, spanning)
 
-    def pairs(self, spanning: bool = False) -> Iterator[tuple[int, int]]:
-        """Pairs of sets with different labels that may reach the threshold: all of them, or (spanning) only such that
-        each joins two labels, taken as one from then on, the likeliest of two leaves first."""
+    def pairs(self, spanning: bool = False) -> Iterator[tuple[int, int, float]]:
+        """Pairs of sets with different labels that may reach the threshold, and the share of their union that they may have
+        in common: all of them, or (spanning) only such that each joins two labels, taken as one from then on, the
+        likeliest of two leaves first."""
         if self.root is not None:
             yield from self._own(self.root, spanning)
 
 
-def across(left: Tree, right: Tree) -> Iterator[tuple[int, int]]:
+def across(left: Tree, right: Tree) -> Iterator[tuple[int, int, float]]:
     """All such pairs of a set of left and a set of right, by one traversal of a tree that holds both under its root."""
     if left.root is None or right.root is None:
         return
