@@ -18,7 +18,7 @@ import pyarrow as pa
 from . import textops as T
 
 #: Most pieces and most words that a worker holds, and the share of the oldest (mostly the frequent ones) that stays beyond that.
-MOST_PIECES, MOST_WORDS, KEPT_SHARE = 1_500_000, 300_000, 0.4
+MOST_PIECES, MOST_WORDS, KEPT_SHARE = 800_000, 200_000, 0.4
 #: Words joined in one call.
 JOINED = 1000
 
@@ -211,7 +211,7 @@ class Encoder:
         if isinstance(column, list):
             column = pa.array(column, pa.string())
         buf, off = T.string_buffers(column)
-        done = [self._some(buf[off[a] : off[b]], off[a : b + 1] - off[a], end_id) for a, b in T.slices(off, 1 << 20)]
+        done = [self._some(buf[off[a] : off[b]], off[a : b + 1] - off[a], end_id) for a, b in T.slices(off)]
         if not done:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         return np.concatenate([i for i, _ in done]), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in done]))])

@@ -58,7 +58,7 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return buf, off - off[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes each (a longer row stands alone), to bound working memory."""
     a, n = 0, len(offsets) - 1
     while a < n:
