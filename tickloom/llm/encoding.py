@@ -206,6 +206,15 @@ class Encoder:
         out[np.searchsorted(offsets, odd, "right") - 1] = True
         return out
 
+    def trim(self, pieces: int = 200_000, words: int = 80_000) -> None:
+        """Keep the oldest pieces and words only: what a worker holds between tasks."""
+        if self.hashes.n > pieces:
+            self.hashes = _Hashes(self.hashes.order[:pieces].copy())
+            self.pieces.keep(pieces)
+        if len(self.words) > words:
+            self.words = dict(zip(list(self.words)[:words], range(words), strict=False))
+            self.word_ids.keep(words)
+
     def encode(self, column: pa.Array | list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and offsets (one more than texts). end_id: appended to each; null: empty."""
         if isinstance(column, list):

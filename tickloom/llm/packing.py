@@ -128,6 +128,7 @@ def pack(df: DataFrame, tokenizer: str, mode: str = "word", end_id: int = 2, win
                 if len(held) >= 10_000:
                     yield table(held)
                     held = []
+        enc.trim()
         if held:
             yield table(held)
         for k, pieces in enumerate(packer.open):

@@ -164,6 +164,7 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, mode: str = "byte",
                     writer = Writer(out, bits, ids_a_block)
                 for k, doc in enumerate(piece.column(0).to_pylist()):
                     writer.add(doc, ids[off[k] : off[k + 1]])
+        enc.trim()
         if writer is None:
             return
         writer.finish()
