@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tickloom.llm import jaccard, signature_tree
 from tickloom.llm.components import components
-from tickloom.llm.signature_tree import Tree, across, bitmap
+from tickloom.llm.signature_tree import Tree, bitmap
 
 from .fixtures import ROWS, frame
 from .test_decontam import words
@@ -70,19 +70,22 @@ def corpus(seed, families=12, size=14):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "tree_rows", "broadcast"), [(1, 2000, 500_000), (2, 3, 500_000), (3, 5, 0)])
-def test_components_match_brute_force(spark, monkeypatch, seed, tree_rows, broadcast):
-    monkeypatch.setattr(jaccard, "FAMILY", 4_000_000 if seed != 2 else 500)
-    monkeypatch.setattr(jaccard, "TREE_ROWS", tree_rows)
+@pytest.mark.parametrize(("seed", "cell_rows", "tokens", "compared", "broadcast"), [(1, 256, 2_000_000, 2000, 500_000), (2, 2, 2_000_000, 3, 500_000), (3, 3, 100, 4, 0)])
+def test_components_match_brute_force(spark, monkeypatch, seed, cell_rows, tokens, compared, broadcast):
+    monkeypatch.setattr(jaccard, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", tokens)
+    monkeypatch.setattr(jaccard, "COMPARED", compared)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
     rows = ROWS + corpus(seed)
     got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
     assert got == brute(rows)
 
 
-def test_other_rounds_alone_find_all(spark, monkeypatch):
-    """Without help from the first round (no shingles, no links) the others still find every link."""
+@pytest.mark.parametrize("cell_rows", [256, 3])
+def test_second_round_alone_finds_all(spark, monkeypatch, cell_rows):
+    """Without help from the first round (no shingles, no links) the second still finds every link."""
     monkeypatch.setattr(jaccard, "FIRST", 0)
+    monkeypatch.setattr(jaccard, "CELL_ROWS", cell_rows)
     rows = corpus(7)
     got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
     assert got == brute(rows)
@@ -130,17 +133,23 @@ def test_trees_miss_no_pair(seed, n):
     sizes, maps, label = np.array([len(s) for s in sets]), [bitmap(a) for a in arrays], np.array([rng.randrange(6) if rng.random() < 0.3 else 100 + i for i in range(n)])
     linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
     want = {(i, j) for i in range(n) for j in range(i) if linked(i, j) and label[i] != label[j]}
-    got = {(max(p[:2]), min(p[:2])) for p in Tree(sizes, maps, label).pairs()}
+    got = {(max(p), min(p)) for p in Tree(sizes, maps, label).pairs()}
     assert want <= got
     half = n // 2
-    right = Tree(sizes[half:], maps[half:], label[half:])
-    right.order = right.order + half
-    cross = {(max(p[:2]), min(p[:2])) for p in across(Tree(sizes[:half], maps[:half], label[:half]), right)}
+    cross = {(max(p), min(p)) for p in Tree(sizes, maps, label, cut=half).pairs()}
     assert {(i, j) for i, j in want if (i >= half) != (j >= half)} <= cross
+    assert all((i >= half) != (j >= half) for i, j in cross)
     caps = np.array([max([len(sets[i] & sets[j]) for j in range(n) if linked(i, j) and j != i], default=0) for i in range(n)])
-    assert want <= {(max(p[:2]), min(p[:2])) for p in Tree(sizes, maps, label, caps=caps).pairs()}
-    spanning = list(Tree(sizes, maps, np.arange(n)).pairs(spanning=True))
-    assert len(spanning) < n
+    capped = Tree(sizes, maps, label, caps=caps)
+    assert want <= {(max(p), min(p)) for p in capped.pairs()}
+    assert {i for p in want for i in p} <= set(np.flatnonzero(capped.paired()).tolist())
+    # links join exactly what all links together join
+    for cut in (None, half):
+        of = label.tolist()
+        for i, j in Tree(sizes, maps, label, cut=cut).links(linked):
+            assert linked(i, j) and of[i] != of[j]
+            of = [of[i] if x == of[j] else x for x in of]
+        assert all(of[i] == of[j] for i, j in want if cut is None or (i >= cut) != (j >= cut))
 
 
 def test_traversal_prunes():

@@ -2,19 +2,20 @@
 
 Equal sets are one class. Two sets that reach the threshold share one of the first shingles of each, in any
 order common to all, if enough are taken (a fifth and one of a set at 0.8); the order is by hash, with the
-shingles that stand in very many documents last. Classes that share such a shingle are put in a signature
-tree, whose traversal leaves only pairs that may have the overlap; those are verified on the whole sets.
-
-Two traversals keep large groups of near copies linear. The first takes a few shared shingles a class, and gives
-pairs, the likeliest first, only until these would connect what a tree holds possible; the verified links make
-components. The second takes all shingles that classes of different components share, and gives every possible
-pair. Of those the likeliest of each class is verified first, and then every pair that is still of different
-components, so no link between two components is missed.
+shingles that stand in very many documents last. Classes that share such a shingle are a cell, or several if they
+are many. A cell's signature tree, traversed with itself, leaves the classes that may have a partner alike;
+their whole sets go to the cell, and a second traversal verifies pairs in place, the likeliest of two leaves
+first, and gives a link where it joins two components of the cell: never more links than rows.
+
+Two rounds keep large groups of near copies linear. The first takes a few shared shingles a class, and a group's
+blocks each for itself; its links make components. The second takes all shingles that classes of different
+components share and all pairs of blocks that aren't of one component, so no link between components is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import meet_groups, partitions_for, staged, with_groups, with_maybe
 from .components import components
-from .signature_tree import Tree, across, bitmap, needed
+from .signature_tree import Tree, bitmap, needed
 
 SHINGLE, PERCENT = 5, 80
-#: Shared shingles a class in the first round; rows in one tree; shingles in one bucket of the search for shared ones.
-FIRST, TREE_ROWS, BUCKET_TOKENS = 6, 2000, 500_000
-#: Shingles of the sets that are held together while the pairs among them are verified (32 MB).
-FAMILY = 4_000_000
+#: Shared shingles a class in the first round; shingles in one bucket of the search for shared ones.
+FIRST, BUCKET_TOKENS = 6, 500_000
+#: Rows and shingles of the sets (16 MB) of a block, and the most blocks that a group is cut into for its rows; a cell holds two.
+CELL_ROWS, CELL_TOKENS, MOST_BLOCKS = 256, 2_000_000, 64
+#: Rows of a group that are compared by their exact sizes.
+COMPARED = 2000
 #: Bits of the filter of shared shingles: so many each, and 32 MB at most; beyond, more unshared ones pass it for a while.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: Shingles of so many documents of one part of COUNTED shingles are counted; those whose counts add up to LEAST_COMMON
@@ -114,125 +117,123 @@ def _wide(rows: DataFrame, common: np.ndarray, shingle: int, percent: int) -> Da
     return staged(rows.select("text").mapInArrow(run, "cid bigint, n bigint, prefix binary, bits binary"), "wide")
 
 
-def _tree_pairs(rows: DataFrame, wide: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Staged pairs (a < b, share: the most of their union that they may have in common) out of rows (g, cell_i, cell_j, side, cid, comp, n, left), a tree for each side of each cell.
+def _cells(batches) -> Iterator[pa.Table]:
+    """The rows of one cell after another, out of batches in order of their first three columns (g, cell_i, cell_j)."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(k)) for k in range(3)]
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(int(k[a]) for k in keys)
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+CELL = "g bigint, cell_i int, cell_j int, side int, cid bigint, comp bigint, n bigint, left bigint"
+CELL_COLUMNS = [x.split()[0] for x in CELL.split(", ")]
+
+
+def _columns(cell: pa.Table) -> list[np.ndarray]:
+    """side, cid, comp, n, left of a cell's rows, which are in order of side."""
+    return [cell.column(k).to_numpy() for k in range(3, 8)]
+
+
+def _by_cell(rows: DataFrame, more: str) -> DataFrame:
+    return rows.select(*CELL_COLUMNS, more).repartition("g", "cell_i", "cell_j").sortWithinPartitions("g", "cell_i", "cell_j", "side", "n", "cid")
+
+
+def _paired(cells: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Staged rows of cells that have a possible partner in their cell, by a tree of bitmaps for each (two if it has two sides).
 
     left is how many shingles a class has from the one that brought it here. Two classes alike meet at the first
     shingle that they share, and from there on neither can share more: that caps what the tree lets pass.
     """
-    rows = staged(rows, "tree_rows")
-    need = staged(rows.select("cid").distinct(), "needed")
+    cells = staged(cells, "cells")
+    need = staged(cells.select("cid").distinct(), "needed")
     bits = wide.select("cid", "bits").join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "cid", "left_semi").groupBy("cid").agg(F.first("bits").alias("bits"))
-    full = rows.join(bits, "cid").repartition("g", "cell_i", "cell_j").sortWithinPartitions("g", "cell_i", "cell_j", "side", "n", "cid")
-
-    def found(group: pd.DataFrame) -> list[tuple[int, int]]:
-        size, comp, cid, side, left = (group[c].to_numpy() for c in ("n", "comp", "cid", "side", "left"))
-        maps = [np.frombuffer(b, np.uint64) for b in group["bits"]]
-        if not side.any():
-            out = Tree(size, maps, comp, percent, left).pairs(spanning)
-        else:
-            cut = int(np.searchsorted(side, 1))
-            right = Tree(size[cut:], maps[cut:], comp[cut:], percent, left[cut:])
-            right.order = right.order + cut
-            out = across(Tree(size[:cut], maps[:cut], comp[:cut], percent, left[:cut]), right)
-        return [((min(cid[i], cid[j]), max(cid[i], cid[j])), share) for i, j, share in out]
 
     def run(batches):
-        rest: list[pd.DataFrame] = []  # of the cell that a batch may go on with: at most two trees' rows
-        out: dict[tuple[int, int], float] = {}
-        key = ["g", "cell_i", "cell_j"]
-
-        def flush():
-            got = np.array(list(out), np.int64).reshape(-1, 2)
-            share = np.array(list(out.values()))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(share)], ["a", "b", "share"])
-
-        def ready(last: bool):
-            frame = pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
-            new = np.flatnonzero((frame[key].to_numpy()[1:] != frame[key].to_numpy()[:-1]).any(1)) + 1
-            edges = [0, *new.tolist()] + ([len(frame)] if last else [])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > 1:
-                    for pair, share in found(frame.iloc[a:b]):
-                        out[pair] = max(share, out.get(pair, 0.0))
-            rest[:] = [] if last else [frame.iloc[edges[-1] :]]
+        for cell in _cells(batches):
+            if cell.num_rows < 2:
+                continue
+            side, _, comp, n, left = _columns(cell)
+            cut = int(np.searchsorted(side, 1))
+            maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column(8)]
+            found = Tree(n, maps, comp, percent, left, cut if cut < len(side) else None).paired()
+            if found.any():
+                yield from cell.select(CELL_COLUMNS).filter(pa.array(found)).combine_chunks().to_batches()
 
-        for batch in batches:
-            if batch.num_rows:
-                rest.append(batch.to_pandas())
-                if len(rest) == 1 or (rest[-1][key].iloc[-1] != rest[0][key].iloc[0]).any():
-                    ready(False)
-                if len(out) > 200_000:
-                    yield flush()
-        if rest:
-            ready(True)
-        if out:
-            yield flush()
-
-    pairs = full.select("g", "cell_i", "cell_j", "side", "cid", "comp", "n", "left", "bits").mapInArrow(run, "a bigint, b bigint, share double")
-    return staged(pairs.groupBy("a", "b").agg(F.max("share").alias("share")), "pairs")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Staged links: the pairs (a, b) whose whole sets reach the threshold.
-
-    Pairs that hang together are a family, whose sets are sent once and held together; a family of more than FAMILY
-    shingles is verified pair by pair, each with its own two sets.
-    """
-    family = components(pairs).withColumnsRenamed({"v": "cid", "comp": "f"})
-    known = described.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("d"), F.max("n").alias("n"))
-    member = staged(family.join(known, "cid").select("cid", "f", F.col("d.id").alias("i__"), F.col("d.th").alias("h__"), "n"), "members")
-    size = member.groupBy("f").agg(F.sum("n").alias("n"))
-    named = pairs.join(family.select(F.col("cid").alias("a"), "f"), "a").join(size, "f")
-    named = staged(named.select("a", "b", F.when(F.col("n") <= FAMILY, F.col("f")).otherwise(F.xxhash64("a", "b")).alias("f")), "named_pairs")
-    ends = named.select("f", F.explode(F.array("a", "b")).alias("cid")).distinct().groupBy("cid").agg(F.collect_list("f").alias("fs"))
-    asked = staged(member.select("cid", "i__", "h__").join(ends, "cid"), "asked")
+    return staged(_by_cell(cells.join(bits, "cid"), "bits").mapInArrow(run, CELL), "paired")
+
+
+def _sets_of(asked: DataFrame, rows: DataFrame, described: DataFrame, shingle: int) -> DataFrame:
+    """cid, s (bytes of the whole set) of the classes asked for (cid, distinct), out of a text of each."""
+    known = described.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("d"))
+    named = staged(known.join(asked, "cid").select("cid", F.col("d.id").alias("i__"), F.col("d.th").alias("h__")), "asked")
     if named.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    texts = rows.join(asked, rows["id"].eqNullSafe(F.col("i__")) & (rows["th"] == F.col("h__"))).select("cid", "text", "fs")
+        named = F.broadcast(named)
+    texts = rows.join(named, rows["id"].eqNullSafe(F.col("i__")) & (rows["th"] == F.col("h__"))).select("cid", "text")
 
-    def sets(batches):
-        """A row with its set for each family that a class is in, a few MB at a time."""
+    def run(batches):
+        """A few MB of sets at a time."""
         for batch in batches:
             out, size = [], 0
             for k, s in _sets(batch.column(1), shingle):
-                cid, data = batch.column(0)[k].as_py(), s.tobytes()
-                for f in batch.column(2)[k].as_py():
-                    out.append((f, cid, None, data))
-                    size += len(data)
-                    if size > 4 << 20:
-                        yield pack(out)
-                        out, size = [], 0
+                out.append((batch.column(0)[k].as_py(), s.tobytes()))
+                size += 8 * len(s)
+                if size > 4 << 20:
+                    yield packed(out)
+                    out, size = [], 0
             if out:
-                yield pack(out)
+                yield packed(out)
 
-    def pack(out: list[tuple]):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["f", "a", "b", "s"])
+    def packed(out: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "s"])
 
-    schema = "f bigint, a bigint, b bigint, s binary"
-    both = texts.mapInArrow(sets, schema).unionByName(named.select("f", "a", "b", F.lit(None).cast("binary").alias("s")))
-    both = both.repartition("f").sortWithinPartitions("f", F.col("s").isNull())
+    return texts.mapInArrow(run, "cid bigint, s binary")
 
-    def test(batches):
-        """A family's sets come first (more than once if a text is), then its pairs."""
-        now, held = None, {}
-        for batch in batches:
-            keep = []
-            for f, a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if f != now:
-                    now, held = f, {}
-                if b is None:
-                    held[a] = np.frombuffer(x.as_py(), T.U)
-                elif a in held and b in held:
-                    shared = len(np.intersect1d(held[a], held[b], assume_unique=True))
-                    if 100 * shared >= percent * (len(held[a]) + len(held[b]) - shared):
-                        keep.append((a, b))
-            got = np.array(keep, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-
-    return staged(both.mapInArrow(test, "a bigint, b bigint"), "links")
+
+def _linked(cells: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Staged links (a, b) out of staged rows of cells: pairs whose whole sets, sent to the cell, reach the threshold.
+
+    A cell gives a link only where it joins two components of what it holds, so at most one less than its rows; classes
+    of it that it leaves in different components have no link there.
+    """
+    sets = _sets_of(cells.select("cid").distinct(), rows, described, shingle)
+    # two rows equal in id and text give a class's set twice: one is kept in the cell
+    full = sets.join(F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells, "cid")
+
+    def run(batches):
+        for cell in _cells(batches):
+            side, cid, comp, n, left = _columns(cell)
+            first = np.flatnonzero(np.concatenate(([True], (cid[1:] != cid[:-1]) | (side[1:] != side[:-1]))))
+            side, cid, comp, n, left = (x[first] for x in (side, cid, comp, n, left))
+            if len(cid) < 2:
+                continue
+            sets = [np.frombuffer(cell.column(8)[k].as_buffer(), T.U) for k in first.tolist()]
+
+            def alike(i: int, j: int) -> bool:
+                a, b = (sets[i], sets[j]) if n[i] <= n[j] else (sets[j], sets[i])
+                shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+            cut = int(np.searchsorted(side, 1))
+            got = list(Tree(n, [bitmap(s) for s in sets], comp, percent, left, cut if cut < len(side) else None).links(alike))
+            if got:
+                i, j = np.array(got).T
+                yield pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j])], ["a", "b"])
+
+    return staged(_by_cell(full, "s").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
 def _shared_filter(wide: DataFrame) -> np.ndarray:
@@ -298,10 +299,11 @@ def _token_rows(wide: DataFrame) -> DataFrame:
 
 
 def _viable(rows: DataFrame, percent: int) -> DataFrame:
-    """Staged g, cid, comp, n, left, n__ out of rows (t, cid, comp, n, pos, n__): rows with a possible partner by sizes and
-    what is left. g tells groups apart; shingles with the same members make one group, with the most left of each.
+    """Staged g, cid, comp, n, left, n__, tokens__ out of rows (t, cid, comp, n, pos, n__): rows with a possible partner by
+    sizes and what is left; n__ and tokens__ are the rows of the group g and the shingles of their sets.
 
-    Groups of more rows than a tree holds pass as they are.
+    Shingles with the same members make one group, with the most left of each. In groups of more than COMPARED rows
+    sizes are compared by steps of a thirtieth, so a few rows more pass.
     """
 
     def tested(t, cid, comp, n, left):
@@ -320,8 +322,9 @@ def _viable(rows: DataFrame, percent: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((first, [len(t)])))
         g = np.add.reduceat(T.mix(cid.view(T.U)), first) if len(first) else np.zeros(0, T.U)
-        group, count = np.repeat(T.mix(g).view(np.int64), size), np.repeat(size, size)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (group, cid, comp, n, left, count)], ["g", "cid", "comp", "n", "left", "n__"])
+        tokens = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+        group, count, tokens = np.repeat(T.mix(g).view(np.int64), size), np.repeat(size, size), np.repeat(tokens, size)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (group, cid, comp, n, left, count, tokens)], ["g", "cid", "comp", "n", "left", "n__", "tokens__"])
 
     def run(batches):
         rest = None
@@ -330,18 +333,68 @@ def _viable(rows: DataFrame, percent: int) -> DataFrame:
             if rest is not None:
                 columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-            rest = [c[cut:] for c in columns]  # the last group may go on: no longer than a tree
+            rest = [c[cut:] for c in columns]  # the last group may go on: no longer than COMPARED
             if cut:
                 yield tested(*(c[:cut] for c in columns))
         if rest is not None and len(rest[0]):
             yield tested(*rest)
 
-    names = "g bigint, cid bigint, comp bigint, n bigint, left bigint, n__ bigint"
-    small = rows.where(F.col("n__") <= TREE_ROWS).select("t", "cid", "comp", "n", (F.col("n") - F.col("pos")).alias("left"))
+    names = "g bigint, cid bigint, comp bigint, n bigint, left bigint, n__ bigint, tokens__ bigint"
+    each = rows.select("t", "cid", "comp", "n", (F.col("n") - F.col("pos")).alias("left"), "n__")
+    small = each.where(F.col("n__") <= COMPARED).drop("n__")
     small = small.repartition("t").sortWithinPartitions("t", "n", "cid").mapInArrow(run, names)
-    large = rows.where(F.col("n__") > TREE_ROWS).select(F.xxhash64("t").alias("g"), "cid", "comp", "n", (F.col("n") - F.col("pos")).alias("left"), "n__")
-    once = small.unionByName(large).groupBy("g", "cid").agg(F.max("comp").alias("comp"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("n__").alias("n__"))
-    return staged(once, "viable")
+
+    # the largest `left` of each step of sizes, seen from the steps around it
+    ratio, reach = np.log1p(1 / 30), int(np.ceil(np.log(100 / percent) / np.log1p(1 / 30))) + 1
+    large = staged(each.where(F.col("n__") > COMPARED).drop("n__").withColumn("step", F.floor(F.log("n") / F.lit(float(ratio)))), "large_groups")
+    steps = large.groupBy("t", "step").agg(F.min("n").alias("low"), F.max("left").alias("most"), F.count(F.lit(1)).alias("n__"))
+    around = steps.select("t", F.explode(F.sequence(F.col("step") - reach, F.col("step") + reach)).alias("step"), F.struct("low", "most").alias("near"))
+    seen = steps.select("t", "step", "n__").join(around.groupBy("t", "step").agg(F.collect_list("near").alias("near")), ["t", "step"])
+    met = meet_groups(large, staged(seen, "steps"), ["t", "step"])
+
+    def partner(x):
+        least = F.ceil(F.lit(percent) * (F.col("n") + F.greatest(x["low"], F.ceil(F.col("n") * percent / 100))) / (100 + percent))
+        return (F.col("left") >= least) & (x["most"] >= least)
+
+    met = staged(met.where(F.exists("near", partner)).select("t", "cid", "comp", "n", "left"), "large_viable")
+    sized = with_groups(met, ["t"], least=2, tokens__=F.sum("n")).select(F.xxhash64("t").alias("g"), "cid", "comp", "n", "left", "n__", "tokens__")
+    both = small.unionByName(sized).groupBy("g", "cid")
+    return staged(both.agg(*(F.max(c).alias(c) for c in ("comp", "n", "left", "n__", "tokens__"))), "viable")
+
+
+def _dealt(viable: DataFrame, spanning: bool) -> DataFrame:
+    """Rows of cells out of viable ones. A group that is too large for a cell is cut into blocks.
+
+    Spanning: each block is a cell. Otherwise each pair of blocks is one; a component that would fill a block has
+    blocks of its own, and those are no cells among themselves, so a row is copied for what it must be compared with.
+    """
+    blocks = F.greatest(F.ceil(F.col("tokens__") / F.lit(float(CELL_TOKENS))), F.least(F.ceil(F.col("n__") / F.lit(float(CELL_ROWS))), F.lit(MOST_BLOCKS))).cast("int")
+    sized = viable.withColumn("blocks", blocks)
+    whole = sized.where("blocks = 1").select("g", F.lit(0).alias("cell_i"), F.lit(0).alias("cell_j"), F.lit(0).alias("side"), "cid", "comp", "n", "left")
+    cut = sized.where("blocks > 1")
+    if spanning:
+        own = F.pmod(F.xxhash64("cid", "g"), F.col("blocks")).cast("int")
+        return whole.unionByName(cut.select("g", own.alias("cell_i"), own.alias("cell_j"), F.lit(0).alias("side"), "cid", "comp", "n", "left"))
+    per = cut.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n__").alias("rows"), F.max("blocks").alias("blocks"))
+    giant = F.col("c") * F.col("blocks") > F.col("rows")
+    held = F.ceil(F.col("c") * F.col("blocks") / F.col("rows")).cast("int")
+    # at most `blocks` components are giants, so the list of a group is short
+    plan = per.groupBy("g").agg(
+        F.sum("c").alias("n__"), F.max("blocks").alias("blocks"), F.sum(F.when(giant, 0).otherwise(F.col("c"))).alias("few"),
+        F.array_sort(F.collect_list(F.when(giant, F.struct("comp", held.alias("held"))))).alias("giants"),
+    )
+    plan = plan.withColumn("open", F.ceil(F.col("few") * F.col("blocks") / F.col("n__")).cast("int"))
+    before = lambda i: F.aggregate(F.slice("giants", 1, i), F.lit(0), lambda total, x: total + x["held"])
+    plan = plan.select("g", "n__", "open", F.transform("giants", lambda x, i: F.struct(x["comp"].alias("comp"), x["held"].alias("held"), (F.col("open") + before(i)).alias("from"))).alias("giants"))
+    plan = plan.withColumn("total", F.col("open") + F.aggregate("giants", F.lit(0), lambda total, x: total + x["held"]))
+    placed = meet_groups(cut.drop("n__", "blocks", "tokens__"), staged(plan, "plans"), ["g"])
+    mine = F.filter("giants", lambda x: x["comp"] == F.col("comp"))
+    placed = placed.withColumn("mine", F.get(mine, 0)).withColumn("own", F.coalesce(F.col("mine.from") + F.pmod(F.xxhash64("cid"), F.col("mine.held")), F.pmod(F.xxhash64("cid"), F.col("open"))).cast("int"))
+    every = F.sequence(F.lit(0), F.col("total") - 1)
+    others = F.filter(every, lambda k: F.coalesce((k < F.col("mine.from")) | (k >= F.col("mine.from") + F.col("mine.held")), F.lit(True)))
+    placed = placed.withColumn("other", F.explode(others))
+    cells = placed.select("g", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "n", "left")
+    return whole.unionByName(cells)
 
 
 def _mixed(rows: DataFrame, key: str, comps: DataFrame) -> DataFrame:
@@ -358,8 +411,8 @@ def link_classes(rows: DataFrame, described: DataFrame, common: np.ndarray, shin
     wide = _wide(rows, common, shingle, percent)
     every = _token_rows(wide)
     for _ in range(3):
-        # shingles of more classes than a tree holds, which no part had shown to be common, are put last as well
-        more = every.groupBy("t").count().where(F.col("count") > TREE_ROWS).select("t").limit(COMMON).collect()
+        # shingles of very many classes, which no part had shown to be common, are put last as well
+        more = every.groupBy("t").count().where(F.col("count") > COMPARED).select("t").limit(COMMON).collect()
         new = np.setdiff1d(np.array([r.t for r in more], np.int64).view(T.U), common)
         if not len(new):
             break
@@ -367,36 +420,17 @@ def link_classes(rows: DataFrame, described: DataFrame, common: np.ndarray, shin
         wide = _wide(rows, common, shingle, percent)
         every = _token_rows(wide)
 
-    def possible(viable: DataFrame, spanning: bool) -> DataFrame:
-        # more rows than a tree holds are cut into blocks; in a whole traversal each pair of blocks is a cell
-        blocks = F.ceil(F.col("n__") / F.lit(float(TREE_ROWS))).cast("int")
-        placed = viable.withColumn("own", F.pmod(F.xxhash64("cid", F.col("g") if spanning else F.lit(0)), blocks).cast("int"))
-        placed = placed.withColumn("other", F.col("own") if spanning else F.explode(F.sequence(F.lit(0), blocks - 1)))
-        cells = placed.select("g", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "n", "left")
-        return _tree_pairs(cells, wide, percent, spanning)
+    def links(viable: DataFrame, spanning: bool) -> DataFrame:
+        return _linked(_paired(_dealt(viable, spanning), wide, percent), rows, described, shingle, percent)
 
     few = every.where(F.col("k") < FIRST).drop("k").withColumn("comp", F.col("cid"))
-    tried = possible(_viable(with_groups(few, ["t"], least=2), percent), True)
-    links = _verified(tried.select("a", "b"), rows, described, shingle, percent)
-    comps = components(links)
-    viable = _viable(_mixed(every.drop("k"), "t", comps), percent)
-    # a pair that was tried before and is of two components isn't linked
-    pairs = staged(possible(viable, False).join(tried, ["a", "b"], "left_anti"), "new_pairs")
-    for x, y in (("a", "b"), ("b", "a")):
-        best = pairs.groupBy(x).agg(F.max_by(y, F.struct("share", y)).alias(y)).select("a", "b")
-        likely = best if x == "a" else likely.unionByName(best).distinct()
-    likely = staged(likely, "likely")
-    for now in (likely, pairs.select("a", "b").join(likely, ["a", "b"], "left_anti")):
-        for end in ("a", "b"):
-            now = now.join(comps.withColumnsRenamed({"v": end, "comp": f"comp_{end}"}), end, "left")
-        now = staged(now.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "open_pairs")
-        if now.isEmpty():
-            continue
-        more = _verified(now, rows, described, shingle, percent)
-        if not more.isEmpty():
-            links = staged(links.unionByName(more), "all_links")
-            comps = components(links)
-    return links, comps
+    found = links(_viable(with_groups(few, ["t"], least=2), percent), True)
+    comps = components(found)
+    more = links(_viable(_mixed(every.drop("k"), "t", comps), percent), False)
+    if more.isEmpty():
+        return found, comps
+    found = staged(found.unionByName(more), "all_links")
+    return found, components(found)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

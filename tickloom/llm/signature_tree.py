@@ -10,7 +10,7 @@ bitmap is folded to the other's width. A set may come with a cap on what it can
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -52,19 +52,25 @@ class Node:
 
 class Tree:
     """Over sets ordered by size. sizes: tokens of each; bitmaps: its 64-bit words; labels: sets of a label need no pairs;
-    caps: the most tokens that each can share with another set here (its size, if not given)."""
+    caps: the most tokens that each can share with another set here (its size, if not given); cut: only pairs of one of
+    the first cut sets and one of the others are wanted, which are then two trees, traversed together."""
 
-    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, percent: int = 80, caps: np.ndarray | None = None):
-        order = np.argsort(sizes, kind="stable")
+    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, percent: int = 80, caps: np.ndarray | None = None, cut: int | None = None):
+        ends = [0, len(sizes)] if cut is None else [0, cut, len(sizes)]
+        order = np.concatenate([a + np.argsort(sizes[a:b], kind="stable") for a, b in zip(ends[:-1], ends[1:], strict=True)])
         self.order, self.percent = order, percent
         self.size, self.label = sizes[order].astype(np.int64), labels[order].copy()
         self.cap = (sizes if caps is None else caps)[order].astype(np.int64)
         self.rows = [bitmaps[k] for k in order]
         self.pairs_seen = self.nodes_seen = 0
-        level = [self._leaf(a, min(a + LEAF, len(order))) for a in range(0, len(order), LEAF)]
+        self.roots = [self._grown(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a]
+        self.halves = cut is not None
+
+    def _grown(self, a: int, b: int) -> Node:
+        level = [self._leaf(k, min(k + LEAF, b)) for k in range(a, b, LEAF)]
         while len(level) > 1:
-            level = [self._join(level[a : a + FAN]) for a in range(0, len(level), FAN)]
-        self.root = level[0] if level else None
+            level = [self._join(level[k : k + FAN]) for k in range(0, len(level), FAN)]
+        return level[0]
 
     def _leaf(self, a: int, b: int) -> Node:
         words = min(len(x) for x in self.rows[a:b])
@@ -95,76 +101,76 @@ class Tree:
         common = int(np.bitwise_count(fold(x.bits, words) & fold(y.bits, words)).sum()) + min(ex, ey)
         return min(common, x.cap, y.cap) >= needed(x.low, y.low, self.percent)
 
-    def _leaves(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int, float]]:
-        words = min(min(len(r) for r in self.rows[x.lo : x.hi]), min(len(r) for r in self.rows[y.lo : y.hi]))
-        a = np.stack([fold(r, words) for r in self.rows[x.lo : x.hi]])
-        b = a if x is y else np.stack([fold(r, words) for r in self.rows[y.lo : y.hi]])
-        na, nb = self.size[x.lo : x.hi], self.size[y.lo : y.hi]
-        ea = na - np.bitwise_count(a).sum(1).astype(np.int64)
-        eb = nb - np.bitwise_count(b).sum(1).astype(np.int64)
-        common = np.bitwise_count(a[:, None] & b[None]).sum(2).astype(np.int64) + np.minimum(ea[:, None], eb[None])
-        ok = np.minimum(common, np.minimum(self.cap[x.lo : x.hi, None], self.cap[None, y.lo : y.hi])) >= needed(na[:, None], nb[None], self.percent)
-        if x is y:
-            ok = np.triu(ok, 1)
-        self.pairs_seen += ok.size
-        ok &= self.label[x.lo : x.hi, None] != self.label[None, y.lo : y.hi]
-        # the share of their union that the two may have in common
-        share = np.where(ok, common / np.maximum(na[:, None] + nb[None] - common, 1), -1.0)
-        if not spanning:
-            i, j = np.nonzero(ok)
-            for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                yield int(self.order[x.lo + p]), int(self.order[y.lo + q]), float(share[p, q])
-            return
-        while share.size:  # the likeliest first
-            p, q = divmod(int(share.argmax()), share.shape[1])
-            if share[p, q] < 0:
-                return
-            yield int(self.order[x.lo + p]), int(self.order[y.lo + q]), float(share[p, q])
-            self.label[self.label == self.label[y.lo + q]] = self.label[x.lo + p]
-            share[self.label[x.lo : x.hi, None] == self.label[None, y.lo : y.hi]] = -1.0
-
-    def _both(self, x: Node, y: Node, spanning: bool) -> Iterator[tuple[int, int, float]]:
+    def _both(self, x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
         if not self._possible(x, y):
             return
         if not x.children and not y.children:
-            yield from self._leaves(x, y, spanning)
+            yield x, y
         elif x.children and (not y.children or x.hi - x.lo >= y.hi - y.lo):
             for c in x.children:
-                yield from self._both(c, y, spanning)
+                yield from self._both(c, y)
         else:
             for c in y.children:
-                yield from self._both(x, c, spanning)
+                yield from self._both(x, c)
 
-    def _own(self, x: Node, spanning: bool) -> Iterator[tuple[int, int, float]]:
+    def _own(self, x: Node) -> Iterator[tuple[Node, Node]]:
         if not x.children:
-            yield from self._leaves(x, x, spanning)
+            yield x, x
             return
         for c in x.children:
-            yield from self._own(c, spanning)
+            yield from self._own(c)
         for k, c in enumerate(x.children):
             for d in x.children[k + 1 :]:
-                yield from self._both(c, d, spanning)
-
-    def pairs(self, spanning: bool = False) -> Iterator[tuple[int, int, float]]:
-        """Pairs of sets with different labels that may reach the threshold, and the share of their union that they may have
-        in common: all of them, or (spanning) only such that each joins two labels, taken as one from then on, the
-        likeliest of two leaves first."""
-        if self.root is not None:
-            yield from self._own(self.root, spanning)
-
-
-def across(left: Tree, right: Tree) -> Iterator[tuple[int, int, float]]:
-    """All such pairs of a set of left and a set of right, by one traversal of a tree that holds both under its root."""
-    if left.root is None or right.root is None:
-        return
-    n = len(left.order)
-    both = Tree.__new__(Tree)
-    both.percent, both.pairs_seen, both.nodes_seen = left.percent, 0, 0
-    both.order = np.concatenate([left.order, right.order])
-    both.size, both.label = np.concatenate([left.size, right.size]), np.concatenate([left.label, right.label])
-    both.cap, both.rows = np.concatenate([left.cap, right.cap]), left.rows + right.rows
-
-    def moved(x: Node) -> Node:
-        return Node(x.lo + n, x.hi + n, x.low, x.high, x.cap, x.excess, x.bits, [moved(c) for c in x.children])
-
-    yield from both._both(left.root, moved(right.root), False)
+                yield from self._both(c, d)
+
+    def leaves(self) -> Iterator[tuple[Node, Node]]:
+        """Pairs of leaves (a leaf with itself, too) that may hold a pair of sets that reach the threshold."""
+        if self.halves:
+            if len(self.roots) == 2:
+                yield from self._both(*self.roots)
+        elif self.roots:
+            yield from self._own(self.roots[0])
+
+    def shares(self, x: Node, y: Node) -> np.ndarray:
+        """For each set of leaf x and each of y the share of their union that they may have in common; -1 for pairs that
+        can't reach the threshold, of one label, or seen from the other side."""
+        words = min(min(len(r) for r in self.rows[x.lo : x.hi]), min(len(r) for r in self.rows[y.lo : y.hi]))
+        a = np.stack([fold(r, words) for r in self.rows[x.lo : x.hi]])
+        b = a if x is y else np.stack([fold(r, words) for r in self.rows[y.lo : y.hi]])
+        na, nb = self.size[x.lo : x.hi], self.size[y.lo : y.hi]
+        ea = na - np.bitwise_count(a).sum(1).astype(np.int64)
+        eb = nb - np.bitwise_count(b).sum(1).astype(np.int64)
+        common = np.bitwise_count(a[:, None] & b[None]).sum(2).astype(np.int64) + np.minimum(ea[:, None], eb[None])
+        ok = np.minimum(common, np.minimum(self.cap[x.lo : x.hi, None], self.cap[None, y.lo : y.hi])) >= needed(na[:, None], nb[None], self.percent)
+        if x is y:
+            ok = np.triu(ok, 1)
+        self.pairs_seen += ok.size
+        ok &= self.label[x.lo : x.hi, None] != self.label[None, y.lo : y.hi]
+        return np.where(ok, common / np.maximum(na[:, None] + nb[None] - common, 1), -1.0)
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        """All pairs of sets with different labels that may reach the threshold."""
+        for x, y in self.leaves():
+            for p, q in np.argwhere(self.shares(x, y) >= 0).tolist():
+                yield int(self.order[x.lo + p]), int(self.order[y.lo + q])
+
+    def paired(self) -> np.ndarray:
+        """For each set whether it is in one of those pairs."""
+        out = np.zeros(len(self.order), bool)
+        for x, y in self.leaves():
+            ok = self.shares(x, y) >= 0
+            out[self.order[x.lo : x.hi][ok.any(1)]] = True
+            out[self.order[y.lo : y.hi][ok.any(0)]] = True
+        return out
+
+    def links(self, alike: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+        """Pairs that are alike, each of which joins two labels, taken as one from then on; the likeliest of two leaves are
+        tried first. What is left has no two sets alike with different labels."""
+        for x, y in self.leaves():
+            share = self.shares(x, y)
+            tried = np.argwhere(share >= 0)
+            for p, q in tried[np.argsort(-share[tried[:, 0], tried[:, 1]], kind="stable")].tolist():
+                i, j = x.lo + p, y.lo + q
+                if self.label[i] != self.label[j] and alike(int(self.order[i]), int(self.order[j])):
+                    yield int(self.order[i]), int(self.order[j])
+                    self.label[self.label == self.label[j]] = self.label[i]
