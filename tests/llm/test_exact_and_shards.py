@@ -4,7 +4,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from tickloom.llm.exact_dedup import exact_dedup
+from pyspark.sql import functions as F
+from tickloom.llm import exact_dedup as exact_dedup_module
+from tickloom.llm.exact_dedup import BLOCK, exact_dedup, hit_twice, suspected
 from tickloom.llm.sharding import place, shard_rows, uniform_tree
 
 from .fixtures import ROWS, frame
@@ -26,19 +28,33 @@ def brute_exact(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [None, 1 << 16, 64])
+AWKWARD = [(-(2**63), "least id"), (2**63 - 1, "least  id"), (-(2**63), "tie"), (-(2**63) + 1, "tie"), (None, "tie"), (None, "no id at all")]
+
+
+@pytest.mark.parametrize("bits", [None, 1 << 22, BLOCK])
 def test_exact_dedup_matches_brute_force(spark, bits):
-    rows = ROWS + [(100 + i, f"text {i % 40}" + " " * (i % 3)) for i in range(300)] + [(1000 + i, f"only {i}") for i in range(50)]
+    """Filters of many blocks, of two, and of one."""
+    rows = ROWS + AWKWARD + [(100 + i, f"text {i % 40}" + " " * (i % 3)) for i in range(300)] + [(1000 + i, f"only {i}") for i in range(9000)]
     got = Counter(tuple(r) for r in exact_dedup(frame(spark, rows), bits=bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
     assert got == brute_exact(rows)
 
 
-def test_exact_dedup_without_broadcast(spark, monkeypatch):
-    from tickloom.llm import exact_dedup as module
+def test_filter_that_is_too_small_only_suspects_more(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "MOST_BITS", BLOCK)
+    monkeypatch.setattr(exact_dedup_module, "LEAST_BITS", BLOCK)
+    rows = ROWS + [(100 + i, f"text {i % 30_000}") for i in range(40_000)]
+    got = Counter(tuple(r) for r in exact_dedup(frame(spark, rows)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
+    assert got == brute_exact(rows)
+
 
-    monkeypatch.setattr(module, "BROADCAST_BITS", 1)
-    got = Counter(tuple(r) for r in exact_dedup(frame(spark)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
-    assert got == brute_exact(ROWS)
+def test_unique_rows_pass_straight_through(spark):
+    hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    for bits, share in ((1 << 19, 0.03), (1 << 17, 0.2)):
+        rows = suspected(hashes, hit_twice(hashes, bits), bits)
+        assert rows.where("suspect").count() < share * 20_000
+    twice = hashes.unionByName(hashes.limit(500))
+    rows = suspected(twice, hit_twice(twice, 1 << 19), 1 << 19)
+    assert rows.join(hashes.limit(500), "h").where("not suspect").count() == 0
 
 
 def test_empty_tables(spark):

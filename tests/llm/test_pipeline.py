@@ -67,7 +67,7 @@ def test_stages_match_plain_versions(spark, folder):
     lines = stages["line_dedup"](spark, kept, top)
     assert lines.columns == docs.columns
     want = Counter()
-    for (d, t, n), c in dedup_lines(pairs(kept), 50).items():
+    for (d, t, n), c in dedup_lines(pairs(kept)).items():
         if not n or words(t):
             want[d, t] += c
     assert Counter(pairs(lines)) == want

@@ -99,25 +99,40 @@ def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     return in_hot.unionByName(rest.join(cold, match).select(*rows.columns, *extra))
 
 
+def fresh(columns: list[str], *bases: str) -> list[str]:
+    """A name made of each base that none of the columns has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for base in bases:
+        name, k = base, 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{base}_{k}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bits a key of the filter of few keys, and the most bits (32 MB) that are broadcast.
-KEY_BITS, BROADCAST_BITS = 16, 1 << 28
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
+
+def bit_at(bitmap: Column, place: Column) -> Column:
+    """Whether the bit of a place (1 and up) is set in its bucket's bitmap; false where there is none."""
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
 
-def with_maybe(rows: DataFrame, h: Column, few: DataFrame) -> DataFrame:
-    """rows with maybe__: whether h may be one of few's column h.
+def with_maybe(rows: DataFrame, h: Column, few: DataFrame, out: str) -> DataFrame:
+    """rows with a boolean column `out`: whether h may be one of few's column h.
 
-    It is one, or stands with one on a bit of a filter that grows with few and is broadcast while it is under
-    BROADCAST_BITS; beyond, every row may be. So only rows that may match must be shuffled to be joined with few.
+    It is one, or stands with one on a bit of a broadcast filter, which grows with few up to MOST_BITS; beyond, more
+    rows may be. So only rows that may match must be shuffled to be joined with few.
     """
-    bits = max(1 << 16, 1 << (KEY_BITS * max(1, few.count()) - 1).bit_length())
-    if bits > BROADCAST_BITS:
-        return rows.withColumn("maybe__", F.lit(True))
+    bits = min(MOST_BITS, max(1 << 16, 1 << (KEY_BITS * max(1, few.count()) - 1).bit_length()))
+    at, bucket, bitmap = fresh([*rows.columns, out], "place", "bucket", "bitmap")
     place = lambda x: F.pmod(x, F.lit(bits)) + 1
-    at = few.select(place(F.col("h")).alias("p__"))
-    maps = at.groupBy(F.bitmap_bucket_number("p__").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p__")).alias("map__"))
-    placed = rows.withColumn("p__", place(h))
-    bit = F.bitmap_bit_position("p__")
-    byte = F.conv(F.hex(F.substring(F.col("map__"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    joined = placed.join(F.broadcast(maps), F.bitmap_bucket_number("p__") == F.col("bucket__"), "left")
-    return joined.select(*rows.columns, hit.alias("maybe__"))
+    maps = few.select(place(F.col("h")).alias(at)).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bitmap))
+    placed = rows.withColumn(at, place(h))
+    joined = placed.join(F.broadcast(maps), F.bitmap_bucket_number(at) == F.col(bucket), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), bit_at(F.col(bitmap), F.col(at)).alias(out))

@@ -1,9 +1,10 @@
 """Exact duplicates by two passes over a Bloom filter, in DataFrame functions only.
 
-Pass one counts, for each of two hash positions of a text, how many rows fall on it, and keeps the
-positions with two or more as bitmaps. Pass two tests each row: unless both of its positions are in the
-bitmaps, no other row has its text, and it goes straight to the result. Only the rest is shuffled and
-grouped by the SHA-256 of the normalised text. False positives of the filter come out as groups of one.
+The filter is in blocks of 32,768 bits; a text's hash names a block and two bits in it. Pass one sets, in a
+filter of two bits a place ("once", "twice"), what rows fall on: they are counted by place as far as each task
+goes, and only places and counts meet. "Twice" is kept as bitmaps, a block a row, and broadcast. Pass two tests
+each row: unless both of its bits are set, no other row has its text, and it goes straight to the result. Only the
+rest is shuffled and grouped by the SHA-256 of the normalised text. False positives come out as groups of one.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bit_at, staged
 
-#: Filter bits a row, the most bits that are broadcast (32 MB of bitmaps), and the fewest.
-BITS_A_ROW, BROADCAST_BITS, LEAST_BITS = 16, 1 << 28, 1 << 16
+#: Filter bits a row, the fewest bits, and the most (256 MB): with more rows than those serve, more rows are suspected.
+BITS_A_ROW, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 31
+#: Bits of a block: what a bitmap of Spark's holds.
+BLOCK = 1 << 15
 #: A group is hot when it holds over 1/HOT_SHARE of the suspected rows, so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 
@@ -24,34 +27,29 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def _position(h: Column, k: int, bits: int) -> Column:
-    """The k-th position of a hash, 1 to bits."""
-    return F.pmod(F.xxhash64(h, F.lit(k)), F.lit(bits)) + 1
+def _block(h: Column, bits: int) -> Column:
+    return F.pmod(h, F.lit(bits // BLOCK))
 
 
-def repeated_positions(hashes: DataFrame, bits: int) -> DataFrame:
-    """Bitmaps (bucket, bitmap) of the positions that two or more rows fall on."""
-    at = hashes.select(F.explode(F.array(_position(F.col("h"), 0, bits), _position(F.col("h"), 1, bits))).alias("pos"))
-    return (
-        at.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .groupBy(F.bitmap_bucket_number("pos").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bitmap"))
-    )
+def _places(h: Column, bits: int) -> list[Column]:
+    """The two places (1 to bits) of a hash, in its block."""
+    return [_block(h, bits) * BLOCK + F.pmod(F.xxhash64(h, F.lit(k)), F.lit(BLOCK)) + 1 for k in (0, 1)]
+
+
+def hit_twice(hashes: DataFrame, bits: int) -> DataFrame:
+    """block, twice: a bitmap of the places of each block that two rows or more fall on."""
+    fallen = hashes.select(F.explode(F.array(*_places(F.col("h"), bits))).alias("place"))
+    # once or twice is all that counts: sums go no further than a task's own rows before they meet
+    twice = fallen.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bucket = (F.bitmap_bucket_number("place") - 1).alias("block")
+    return twice.groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("twice"))
 
 
-def suspected(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """rows with a column suspect: both positions of h are in the bitmaps."""
-    out = rows
-    hit = F.lit(True)
-    for k in (0, 1):
-        side = bitmaps.select(F.col("bucket").alias(f"b{k}"), F.col("bitmap").alias(f"m{k}"))
-        if bits <= BROADCAST_BITS:
-            side = F.broadcast(side)
-        out = out.withColumn(f"p{k}", _position(F.col("h"), k, bits)).withColumn(f"at{k}", F.bitmap_bucket_number(f"p{k}"))
-        out = out.join(side, F.col(f"at{k}") == F.col(f"b{k}"), "left")
-        bit = F.bitmap_bit_position(f"p{k}")
-        byte = F.conv(F.hex(F.substring(F.col(f"m{k}"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-        hit = hit & F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    return out.select(*rows.columns, hit.alias("suspect"))
+def suspected(rows: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
+    """rows with a column suspect: both places of h are hit twice."""
+    joined = rows.withColumn("own", _block(F.col("h"), bits)).join(F.broadcast(filters), F.col("own") == F.col("block"), "left")
+    first, second = _places(F.col("h"), bits)
+    return joined.select(*rows.columns, (bit_at(F.col("twice"), first) & bit_at(F.col("twice"), second)).alias("suspect"))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
@@ -59,9 +57,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     Equal texts are those identical after normalised(). The row with the most code points in its original
     text stays, then the smallest id, then (ids that repeat) one of them; a null id comes last. Null and
-    blank texts are one group. An empty table gives no rows. Other columns are ignored.
-    Beyond BROADCAST_BITS the bitmaps are not broadcast: narrow rows (ids and hashes) are joined to them by
-    a shuffle, and only suspected rows go on as before.
+    blank texts are one group. An empty table gives no rows. Other columns are ignored, whatever their names.
+    Texts never move; what is shuffled are places of hashes, and ids and digests of suspected rows. bits: of the
+    filter, a multiple of BLOCK.
     """
     norm = normalised(F.col(text_col))
     rows = staged(
@@ -72,14 +70,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         "exact_rows",
     )
     if bits is None:
-        bits = max(LEAST_BITS, 1 << (BITS_A_ROW * max(1, rows.count()) - 1).bit_length())
-    tested = suspected(rows, repeated_positions(rows.select("h"), bits), bits)
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_ROW * max(1, rows.count()) - 1).bit_length()))
+    tested = suspected(rows, hit_twice(rows.select("h"), bits), bits)
     marked = staged(tested.drop("h"), "exact_marked")
     straight = marked.where("not suspect").select(
         F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
     some = marked.where("suspect").select("id", "n", "sha", "rid")
-    best = F.max_by(F.struct("id", "rid"), F.struct("n", (-F.col("id")).alias("i"), (-F.col("rid")).alias("r")))
+    best = F.min_by(F.struct("id", "rid"), F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("null"), "id", "rid"))
     groups = staged(some.groupBy("sha").agg(best.alias("keep"), F.count(F.lit(1)).alias("group_size")), "exact_groups")
     hot_from = marked.where("suspect").count() // HOT_SHARE + 1
     hot = groups.where(F.col("group_size") > hot_from).select(F.col("sha").alias("g"), F.col("keep").alias("hot_keep"), F.col("group_size").alias("hot_size"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import meet_groups, partitions_for, staged, with_groups, with_maybe
+from .common import fresh, meet_groups, partitions_for, staged, with_groups, with_maybe
 from .components import components
 from .signature_tree import Tree, bitmap, needed
 
@@ -468,9 +468,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id
     members = described.where("cid is not null").select("id", "th", "cid", own.alias("own"))
     comp = staged(members.groupBy("cid").agg(F.count(F.lit(1)).alias("n__"), F.min("own").alias("first")).join(comps, F.col("cid") == F.col("v"), "left").select("cid", "n__", "first", F.coalesce("comp", "cid").alias("comp")), "comps")
     lowest = with_groups(comp.drop("n__"), ["comp"], keep=F.min("first")).drop("n__").join(comp.select("cid", F.col("n__").alias("size__")), "cid").select("cid", F.col("size__").alias("n__"), "keep")
-    lost = meet_groups(members, staged(lowest, "kept"), ["cid"]).where(F.col("own") != F.col("keep")).select(F.col("id").alias("i__"), F.col("th").alias("h__")).distinct()
+    maybe, i, h = fresh(docs.columns, "maybe", "i", "h")
+    lost = meet_groups(members, staged(lowest, "kept"), ["cid"]).where(F.col("own") != F.col("keep")).select(F.col("id").alias(i), F.col("th").alias(h)).distinct()
     lost = staged(lost, "lost")
-    own_hash = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
-    tested = with_maybe(docs, own_hash, lost.select(F.xxhash64("i__", "h__").alias("h")))
-    some = tested.where("maybe__").join(lost.hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col("i__")) & (F.xxhash64(text_col) == F.col("h__")), "left_anti")
-    return tested.where("not maybe__").unionByName(some).drop("maybe__")
+    own_id, own_text = F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`"))
+    tested = with_maybe(docs, F.xxhash64(own_id, own_text), lost.select(F.xxhash64(i, h).alias("h")), maybe)
+    some = tested.where(F.col(maybe)).join(lost.hint("merge"), own_id.eqNullSafe(F.col(i)) & (own_text == F.col(h)), "left_anti")
+    return tested.where(~F.col(maybe)).unionByName(some).drop(maybe)

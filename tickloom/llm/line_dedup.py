@@ -2,13 +2,14 @@
 
 A line's id is the hash of its words. Lines whose id occurs once can't be in a repeated run; what is left of a
 document are stretches of repeated lines, and equal stretches are collapsed to the earliest. Over the rest a
-suffix array is built by distributed prefix doubling: a suffix's rank by its first 2L lines is the rank of the
-pair of the ranks by L lines at its start and L lines on. Suffixes whose rank nobody shares drop out, so each
-shared rank is an interval of the array with a longest common prefix of at least its length. A run is given by
-the ranks of the two intervals that cover it from its ends.
-
-Of a repeated run of at least least_words words every line lies in a shortest stretch of so many words that
-begins or ends in the run, so it is enough to double up to the longest such stretch: at most least_words lines.
+suffix array is built by distributed prefix doubling, until no two suffixes share a rank: a suffix's rank by its
+first 2L lines is the rank of the pair of the ranks by L lines at its start and L lines on. Suffixes whose rank
+nobody shares drop out, so each shared rank is an interval of the array whose longest common prefix has at least
+that many lines.
+
+A suffix that isn't the first of its interval repeats the first one. Its interval by the most lines names its
+source; where the suffix before it has the line before as its source, it goes on with that run, else it begins one. The
+length of a run is the longest common prefix of the two suffixes, found by descending the ranks.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import textops as T
-from .common import meet_groups, staged, with_groups, with_maybe
+from .common import fresh, meet_groups, staged, with_groups, with_maybe
 
-LEAST_WORDS = 50
+#: Words of the shortest run that counts: any line with words.
+LEAST_WORDS = 1
 
 
 def lines_of(w: T.Words, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,86 +59,82 @@ def _document_lines(docs: DataFrame) -> DataFrame:
     return staged(once.withColumn("did", F.monotonically_increasing_id()), "lines")
 
 
-def _stretches(lines: DataFrame, least_words: int) -> DataFrame:
-    """did, id, start, ids, words of each longest stretch of lines that all occur more than once, of least_words at least."""
+def _stretches(lines: DataFrame) -> DataFrame:
+    """did, id, start, ids, words of each longest stretch of lines that all occur more than once."""
     each = lines.select("did", "id", F.posexplode(F.arrays_zip("ids", "words")).alias("pos", "line")).select("did", "id", "pos", F.col("line.ids").alias("h"), F.col("line.words").alias("w"))
     repeated = with_groups(each, ["h"], least=2)
     numbered = repeated.withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("did").orderBy("pos")))
-    grouped = numbered.groupBy("did", "island").agg(F.first("id").alias("id"), F.min("pos").alias("start"), F.sum("w").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "h", "w"))).alias("x"))
-    return grouped.where(F.col("n") >= least_words).select("did", "id", "start", F.col("x.h").alias("ids"), F.col("x.w").alias("words"))
-
-
-def _order(at) -> F.Column:
-    """Documents in the order of their ids (null last), then rows; lines in theirs."""
-    return F.struct(F.col("id").isNull().alias("n"), "id", "did", at.alias("at"))
-
+    grouped = numbered.groupBy("did", "island").agg(F.first("id").alias("id"), F.min("pos").alias("start"), F.array_sort(F.collect_list(F.struct("pos", "h", "w"))).alias("x"))
+    return grouped.select("did", "id", "start", F.col("x.h").alias("ids"), F.col("x.w").alias("words"))
 
-def short_windows(words: np.ndarray, least_words: int) -> np.ndarray:
-    """(first, length) of the shortest windows of least_words words that begin, or end, at each line; each once."""
-    total = np.concatenate(([0], np.cumsum(words)))
-    n = len(words)
-    end = np.searchsorted(total, total[:-1] + least_words)
-    ahead = np.stack([np.arange(n), end - np.arange(n)], 1)[end <= n]
-    begin = np.searchsorted(total, total[1:] - least_words, "right") - 1
-    back = np.stack([begin, np.arange(1, n + 1) - begin], 1)[begin >= 0]
-    both = np.concatenate([ahead, back])
-    return np.unique(both, axis=0) if len(both) else both
 
+def _in_order(stretches: DataFrame) -> DataFrame:
+    """stretches with seg, a number in the order of documents by their ids (null last), then rows, and of lines."""
+    by = [F.col("id").isNull(), F.col("id"), F.col("did"), F.col("start")]
+    return stretches.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("seg", F.monotonically_increasing_id())
 
-def _windows(kept: DataFrame, least_words: int) -> DataFrame:
-    """seg, i, m (lines), level (the largest power of two up to m) and i2, from which level lines reach the end."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for seg, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = short_windows(np.array(words), least_words)
-                out.append(np.concatenate([np.full((len(x), 1), seg), x], 1))
-            if out:
-                seg, i, m = np.concatenate(out).T
-                level = 1 << (np.frexp(m.astype(float))[1] - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (seg, i, m, level, i + m - level)], ["seg", "i", "m", "level", "i2"])
 
-    return kept.select("seg", "words").mapInArrow(run, "seg bigint, i bigint, m bigint, level bigint, i2 bigint")
+def suffix_array(suffixes: DataFrame) -> dict[int, DataFrame]:
+    """By level (a power of two), staged seg, i, r, first out of suffixes (seg, i, h): the ranks of suffixes by their first `level` lines.
 
-
-def suffix_ranks(suffixes: DataFrame, longest: int) -> DataFrame:
-    """seg, i, level, r: ranks of suffixes (seg, i, h) by their first `level` lines, for powers of two up to longest.
-
-    Only ranks that two suffixes or more share are listed: the others' prefixes stand once. Ranks of a level
-    are in the order of the prefixes (lines in the order of their ids).
+    Only ranks that two suffixes or more share are listed: the others' prefixes stand once. first is the least
+    (seg, i) of a rank. Ranks of a level are in the order of the prefixes (lines in the order of their ids).
     """
-    now = staged(with_groups(suffixes, ["h"], least=2).select("seg", "i", F.col("h").alias("r")), "ranks1")
-    out, level = now.withColumn("level", F.lit(1).cast("bigint")), 1
-    while 2 * level <= longest and not now.isEmpty():
+    first = F.min(F.struct("seg", "i"))
+    level = 1
+    now = staged(with_groups(suffixes, ["h"], least=2, first=first).select("seg", "i", F.col("h").alias("r"), "first"), "ranks1")
+    out = {}
+    while not now.isEmpty():
+        out[level] = now
         ahead = Window.partitionBy("seg").orderBy("i").rangeBetween(level, level)
-        pairs = staged(now.withColumn("r2", F.max("r").over(ahead)).where("r2 is not null"), f"pairs{level}")
-        shared = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n__")).where("n__ > 1")
+        pairs = staged(now.select("seg", "i", "r", F.max("r").over(ahead).alias("r2")).where("r2 is not null"), f"pairs{level}")
+        shared = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n__"), first.alias("first")).where("n__ > 1")
         # in the order of the pairs, over range partitions: a monotonic id is the new rank
         ranked = staged(shared.repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id()), f"names{level}")
         level *= 2
-        now = staged(meet_groups(pairs, ranked, ["r", "r2"]).select("seg", "i", F.col("rank").alias("r")), f"ranks{level}")
-        out = out.unionByName(now.withColumn("level", F.lit(level).cast("bigint")))
+        now = staged(meet_groups(pairs, ranked, ["r", "r2"]).select("seg", "i", F.col("rank").alias("r"), "first"), f"ranks{level}")
     return out
 
 
+def repeated_runs(ranks: dict[int, DataFrame]) -> DataFrame | None:
+    """seg, i, from_seg, from_i, n: runs of n lines that repeat an earlier one; None if there are no ranks.
+
+    Every line that has an earlier copy is in a run, and a run can't be longer.
+    """
+    later = None
+    for level, now in ranks.items():
+        at = now.where(F.struct("seg", "i") > F.col("first")).select("seg", "i", F.struct(F.lit(level).cast("bigint").alias("level"), "first.seg", "first.i").alias("x"))
+        later = at if later is None else later.unionByName(at)
+    if later is None:
+        return None
+    best = later.groupBy("seg", "i").agg(F.max("x").alias("x")).select("seg", "i", "x.level", F.col("x.seg").alias("from_seg"), F.col("x.i").alias("from_i"))
+    before = Window.partitionBy("seg").orderBy("i")
+    goes_on = (F.lag("i").over(before) == F.col("i") - 1) & (F.lag("from_seg").over(before) == F.col("from_seg")) & (F.lag("from_i").over(before) == F.col("from_i") - 1)
+    runs = best.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).where("not goes_on").drop("goes_on").withColumn("n", F.col("level"))
+    runs = staged(runs, "run_starts")
+    for level in sorted(ranks, reverse=True)[1:]:
+        here = ranks[level].select(F.col("seg").alias("s1"), F.col("i").alias("i1"), F.col("r").alias("r1"))
+        there = ranks[level].select(F.col("seg").alias("s2"), F.col("i").alias("i2"), F.col("r").alias("r2"))
+        runs = runs.join(here, (F.col("level") > level) & (F.col("seg") == F.col("s1")) & (F.col("i") + F.col("n") == F.col("i1")), "left").drop("s1", "i1")
+        runs = runs.join(there, (F.col("level") > level) & (F.col("from_seg") == F.col("s2")) & (F.col("from_i") + F.col("n") == F.col("i2")), "left").drop("s2", "i2")
+        runs = runs.withColumn("n", F.col("n") + F.when(F.col("r1") == F.col("r2"), F.lit(level)).otherwise(0)).drop("r1", "r2")
+    return runs.select("seg", "i", "from_seg", "from_i", "n")
+
+
 def repeated_intervals(lines: DataFrame, least_words: int) -> DataFrame:
-    """did, a, b: lines a to b of a document (among those with words) that repeat an earlier run."""
-    stretches = staged(_stretches(lines, least_words), "stretches")
-    keyed = stretches.withColumn("k1", F.xxhash64("ids")).withColumn("k2", F.xxhash64(F.lit(1), "ids")).withColumn("own", _order(F.col("start")))
-    first = with_groups(keyed, ["k1", "k2"], first=F.min("own"))
-    marked = staged(first.select("did", "id", "start", "ids", "words", (F.col("own") == F.col("first")).alias("kept")), "stretch_firsts")
-    copies = marked.where("not kept").select("did", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.size("ids")).cast("bigint").alias("b"))
-    kept = staged(marked.where("kept").drop("kept").withColumn("seg", F.monotonically_increasing_id()), "kept_stretches")
-    windows = staged(_windows(kept, least_words), "windows")
-    longest = windows.agg(F.max("m")).first()[0] or 0
-    ranks = suffix_ranks(kept.select("seg", F.posexplode("ids").alias("i", "h")).withColumn("i", F.col("i").cast("bigint")), longest)
-    r1 = ranks.withColumnRenamed("r", "ra")
-    r2 = ranks.select("seg", "level", F.col("i").alias("i2"), F.col("r").alias("rb"))
-    named = windows.join(r1, ["seg", "i", "level"]).join(r2, ["seg", "i2", "level"])
-    placed = named.join(kept.select("seg", "did", "id", "start"), "seg").select("did", "m", "level", "ra", "rb", (F.col("start") + F.col("i")).alias("a"), _order(F.col("start") + F.col("i")).alias("own"))
-    later = with_groups(placed, ["level", "ra", "rb", "m"], least=2, first=F.min("own")).where(F.col("own") > F.col("first"))
-    return copies.unionByName(later.select("did", "a", (F.col("a") + F.col("m")).alias("b")))
+    """did, a, b: lines a to b of a document (among those with words) that repeat an earlier run of least_words or more."""
+    enough = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda x, y: x + y) >= least_words
+    stretches = staged(_in_order(staged(_stretches(lines), "stretches")), "ordered_stretches")
+    keyed = stretches.withColumn("k1", F.xxhash64("ids")).withColumn("k2", F.xxhash64(F.lit(1), "ids"))
+    marked = staged(with_groups(keyed, ["k1", "k2"], first=F.min("seg")).withColumn("kept", F.col("seg") == F.col("first")), "stretch_firsts")
+    copies = marked.where("not kept").where(enough(F.col("words"))).select("did", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.size("ids")).cast("bigint").alias("b"))
+    kept = marked.where("kept")
+    runs = repeated_runs(suffix_array(kept.select("seg", F.posexplode("ids").alias("i", "h")).withColumn("i", F.col("i").cast("bigint"))))
+    if runs is None:
+        return copies
+    placed = runs.join(kept.select("seg", "did", "start", "words"), "seg")
+    placed = placed.where(enough(F.slice("words", (F.col("i") + 1).cast("int"), F.col("n").cast("int"))))
+    return copies.unionByName(placed.select("did", (F.col("start") + F.col("i")).alias("a"), (F.col("start") + F.col("i") + F.col("n")).alias("b")))
 
 
 def drop_lines(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
@@ -152,27 +150,30 @@ def drop_lines(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(out), len(dead)
 
 
-def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col without later copies of repeated runs, and a column n_deleted of the lines that went.
+def line_dedup(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_deleted") -> DataFrame:
+    """docs with text_col without later copies of repeated runs, and count_col: the lines that went.
 
     Lines are equal when their words are (A-Z lower-cased, white space collapsed); lines without words are left
     as they are and don't part a run. A run of at least least_words words that stands more than once, in one
     document or several, stays where it is first: by id (null last), row and line. Every line deleted has an
-    equal line that stays. Rows equal in id and text count as one document and are treated alike. Null texts
-    stay null. Only lines' ids, small tables of runs and the texts that lose lines are shuffled.
+    equal line that stays, and with least_words 1 no line that stays has one before it. Rows equal in id and
+    text count as one document and are treated alike. Null texts stay null. An input column named count_col is
+    replaced; others stay as they are. Only lines' ids, small tables of runs and the texts that lose lines are shuffled.
     """
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != count_col.lower()))
     named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     lines = _document_lines(named)
-    runs = repeated_intervals(lines, least_words).groupBy("did").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    gone = staged(runs.join(lines.select("did", F.col("id").alias("id__"), F.col("th").alias("th__")), "did").select("id__", "th__", F.col("gone").alias("gone__")), "gone")
+    maybe, i, h, g = fresh(docs.columns, "maybe", "i", "h", "gone")
+    runs = repeated_intervals(lines, least_words).groupBy("did").agg(F.collect_set(F.struct("a", "b")).alias(g))
+    gone = staged(runs.join(lines.select("did", F.col("id").alias(i), F.col("th").alias(h)), "did").select(i, h, g), "gone")
     at = docs.columns.index(text_col)
-    own = F.xxhash64(F.col(id_col).cast("bigint"), F.xxhash64(text_col))
-    tested = with_maybe(docs, own, gone.select(F.xxhash64("id__", "th__").alias("h")))
+    own_id, own_text = F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`"))
+    tested = with_maybe(docs, F.xxhash64(own_id, own_text), gone.select(F.xxhash64(i, h).alias("h")), maybe)
     # texts that lose nothing pass straight through; the rest is shuffled to meet its runs
-    some = tested.where("maybe__").drop("maybe__")
-    joined = some.join(gone.hint("merge"), F.col(id_col).cast("bigint").eqNullSafe(F.col("id__")) & (F.xxhash64(text_col) == F.col("th__")), "left").select(*(some[c] for c in docs.columns), "gone__")
-    untouched = tested.where("not maybe__").drop("maybe__").withColumn("n_deleted", F.lit(0))
-    schema = StructType([*docs.schema.fields, StructField("n_deleted", IntegerType())])
+    some = tested.where(F.col(maybe)).drop(maybe)
+    joined = some.join(gone.hint("merge"), own_id.eqNullSafe(F.col(i)) & (own_text == F.col(h)), "left").drop(i, h)
+    untouched = tested.where(~F.col(maybe)).drop(maybe).withColumn(count_col, F.lit(0))
+    schema = StructType([*docs.schema.fields, StructField(count_col, IntegerType())])
 
     def run(batches):
         for batch in batches:

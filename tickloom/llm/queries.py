@@ -101,18 +101,12 @@ r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, links.b F
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
-#: By windows instead of a suffix array: the shortest runs of 50 words that begin or end at each line, compared as texts.
+#: By counting instead of a suffix array: with runs of any length, what goes is every line that stands before, too.
 OP4_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, {WORDS_SQL.format("line")} AS ws FROM l),
-k AS (SELECT doc_id, pos, array_to_string(ws, ' ') AS norm, len(ws) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i,
-             sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w WHERE len(ws) > 0),
-pairs AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 49 WHERE b.upto - a.upto + a.n >= 50),
-win AS (SELECT doc_id, a, min(b) AS b FROM pairs GROUP BY doc_id, a UNION SELECT doc_id, max(a), b FROM pairs GROUP BY doc_id, b),
-txt AS (SELECT win.doc_id, win.a, win.b, string_agg(k.norm, chr(10) ORDER BY k.i) AS t FROM win JOIN k ON k.doc_id = win.doc_id AND k.i BETWEEN win.a AND win.b GROUP BY ALL),
-later AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, a) AS copy FROM txt),
-gone AS (SELECT DISTINCT k.doc_id, k.pos FROM later x JOIN k ON k.doc_id = x.doc_id AND k.i BETWEEN x.a AND x.b WHERE x.copy > 1),
-kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text, count(g.pos) AS n FROM l LEFT JOIN gone g USING (doc_id, pos) GROUP BY l.doc_id)
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, pos) AS copy FROM w WHERE len(ws) > 0),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.copy IS NULL) AS text, count(g.copy) AS n FROM l LEFT JOIN (SELECT * FROM k WHERE copy > 1) g USING (doc_id, pos) GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_deleted FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
