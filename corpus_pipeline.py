@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tickloom.llm import decontam, jaccard, line_dedup, packing, quality
-from tickloom.llm.common import documents, staged
+from tickloom.llm.common import documents, fresh, staged
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines; those of which nothing is left go."""
-    out = line_dedup.line_dedup(docs)
-    emptied = (F.col("n_deleted") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = F.when(F.col("n_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.where(~emptied).withColumn("n_chars", changed).select(*docs.columns)
+    (count,) = fresh(docs.columns, "n_deleted")
+    out = line_dedup.line_dedup(docs, count_col=count)
+    lost = F.col(count) > 0
+    out = out.where(~(lost & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(lost, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
