@@ -4,7 +4,8 @@ A text is cut where a cut can't change its ids. Pieces are found and hashed by n
 piece that is new is taken apart into a word and its closing marks, and only new words go to the tokenizers
 library, many in one call; the ids of known pieces are gathered. Pieces are told apart by 64-bit hashes.
 Texts with white space that could bind across a cut, or that Python's and the tokenizer's classes may see
-differently, are encoded whole.
+differently, are encoded whole, and so are those that hold one of the tokenizer's added tokens: it gets its own
+id there, as the library has it.
 """
 
 from __future__ import annotations
@@ -128,7 +129,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode().lower() for t in added]
+        # one that is looked for in the normalised text may stand where its characters don't
+        self.only_whole = any(t.normalized for t in added)
         self.mode, self.most_pieces, self.most_words = mode, most_pieces, most_words
         self.hashes, self.pieces, self.words, self.word_ids = _Hashes(), _Ids(), {}, _Ids()
         self.between, self.joinable = _BETWEEN[mode]
@@ -196,7 +200,17 @@ class Encoder:
 
     def _whole(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts must be encoded whole."""
+        if self.only_whole:
+            return np.ones(len(offsets) - 1, bool)
         odd = odd_places(buf)
+        data = buf.tobytes().lower()  # in any case, since pieces may be learnt in lower case
+        found = []
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                found.append(at)
+                at = data.find(token, at + 1)
+        odd = np.concatenate([odd, np.array(found, np.int64)])
         if self.mode == "byte" and len(buf):
             space, blank = buf == 0x20, _BLANK[buf]
             near = np.flatnonzero((space[:-1] & blank[1:]) | (blank[:-1] & space[1:]))

@@ -136,9 +136,11 @@ def open_fs(path: str):
 def write_tokens(df: DataFrame, tokenizer: str, folder: str, mode: str = "byte", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", ids_a_block: int = IDS_A_BLOCK) -> list[dict]:
     """Encode every text and write files in folder, ids ascending over the files; returns the files in order.
 
-    Rows are range-partitioned and sorted by id (a null id first; equal ids by a hash of their text), so each
-    task writes one file in order and memory holds a batch. A task writes under a name of its own attempt and
-    renames at the end: a task that runs again or twice leaves one whole file of the same bytes.
+    Rows are range-partitioned and sorted by id (a null id first; equal ids by a hash of their text, and equal rows
+    by where they stand, so that they needn't meet in one task), so each task writes one file in order and memory
+    holds a batch. What moves are texts: packed ids would be larger than texts as Spark compresses them. A task
+    writes under a name of its own attempt and renames at the end: a task that runs again or twice leaves one whole
+    file of the same bytes.
     """
     from tokenizers import Tokenizer
 
@@ -175,8 +177,8 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str, mode: str = "byte",
 
     system, base = open_fs(folder)
     system.create_dir(base)
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange("doc_id", "tie", "at").sortWithinPartitions("doc_id", "tie", "at").select("doc_id", "text")
     files = ordered.mapInArrow(write, "part int, path string, documents bigint, ids bigint").collect()  # one row a file
     start, out = 0, []
     for f in sorted(files, key=lambda f: f.part):
