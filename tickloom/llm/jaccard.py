@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 5, 80
 FIRST, BUCKET_TOKENS = 6, 500_000
 #: Rows and shingles of the sets (16 MB) of a block, and the most blocks that a group is cut into for its rows; a cell holds two.
 CELL_ROWS, CELL_TOKENS, MOST_BLOCKS = 256, 2_000_000, 64
+#: So many possible pairs a row of a cell, at most, are taken out of it.
+FEW = 2
 #: Rows of a group that are compared by their exact sizes.
 COMPARED = 2000
 #: Bits of the filter of shared shingles: so many each, and 32 MB at most; beyond, more unshared ones pass it for a while.
@@ -153,10 +155,12 @@ def _by_cell(rows: DataFrame, more: str) -> DataFrame:
 
 
 def _paired(cells: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """Staged rows of cells that have a possible partner in their cell, by a tree of bitmaps for each (two if it has two sides).
+    """Staged rows of cells that are left to be verified, by a tree of bitmaps for each cell (two if it has two sides).
 
     left is how many shingles a class has from the one that brought it here. Two classes alike meet at the first
-    shingle that they share, and from there on neither can share more: that caps what the tree lets pass.
+    shingle that they share, and from there on neither can share more: that caps what the tree lets pass. Where a
+    cell's possible pairs are few for its rows, they are taken out of it, each once however many cells have it, and make
+    cells of their own: a class and those that it may be alike. Other cells keep the rows that are in a pair.
     """
     cells = staged(cells, "cells")
     need = staged(cells.select("cid").distinct(), "needed")
@@ -166,14 +170,44 @@ def _paired(cells: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
         for cell in _cells(batches):
             if cell.num_rows < 2:
                 continue
-            side, _, comp, n, left = _columns(cell)
+            side, cid, comp, n, left = _columns(cell)
             cut = int(np.searchsorted(side, 1))
             maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column(8)]
-            found = Tree(n, maps, comp, percent, left, cut if cut < len(side) else None).paired()
-            if found.any():
-                yield from cell.select(CELL_COLUMNS).filter(pa.array(found)).combine_chunks().to_batches()
-
-    return staged(_by_cell(cells.join(bits, "cid"), "bits").mapInArrow(run, CELL), "paired")
+            pairs = Tree(n, maps, comp, percent, left, cut if cut < len(side) else None).pairs()
+            if not len(pairs):
+                continue
+            rows = np.unique(pairs)
+            if len(pairs) <= FEW * len(rows):
+                i, j = pairs.T
+                none = pa.nulls(len(pairs), pa.int64())
+                ends = [pa.array(x) for x in (cid[i], comp[i], n[i])], [pa.array(x) for x in (cid[j], comp[j], n[j])]
+                yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int32()), *ends[0], none, *ends[1]], names)
+            else:
+                kept = cell.select(CELL_COLUMNS).take(pa.array(rows)).combine_chunks()
+                yield from pa.table([*kept.columns, *[pa.nulls(len(rows), pa.int64())] * 3], names).to_batches()
+
+    names = [*CELL_COLUMNS, "cid2", "comp2", "n2"]
+    found = staged(_by_cell(cells.join(bits, "cid"), "bits").mapInArrow(run, f"{CELL}, cid2 bigint, comp2 bigint, n2 bigint"), "possible")
+    dense = found.where("cid2 is null").select(*CELL_COLUMNS)
+    end = lambda k: F.struct(F.col(f"cid{k}").alias("cid"), F.col(f"comp{k}").alias("comp"), F.col(f"n{k}").alias("n"))
+    ends = found.where("cid2 is not null").select(F.least(end(""), end("2")).alias("a"), F.greatest(end(""), end("2")).alias("b")).distinct()
+    ends = staged(ends, "possible_pairs")
+    # the end with more pairs is the hub of a cell; partners of a hub of very many are dealt over cells
+    degree = staged(ends.select(F.explode(F.array("a", "b")).alias("x")).groupBy(F.col("x.cid").alias("d")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("x.n").alias("tokens")), "degrees")
+    if degree.count() <= BROADCAST_ROWS:
+        degree = F.broadcast(degree)
+    for k in ("a", "b"):
+        ends = ends.join(degree.withColumnsRenamed({"d": f"d{k}", "pairs": f"pairs_{k}", "tokens": f"tokens_{k}"}), F.col(f"{k}.cid") == F.col(f"d{k}"))
+    first = F.col("pairs_a") >= F.col("pairs_b")
+    either = lambda x, y: F.when(first, x).otherwise(y)
+    # sizes differ by a quarter at most, so a hub's own bound that of its partners
+    parts = F.greatest(F.ceil(either(F.col("tokens_a"), F.col("tokens_b")) / F.lit(float(CELL_TOKENS))), F.ceil(either(F.col("pairs_a"), F.col("pairs_b")) / F.lit(float(CELL_ROWS))))
+    stars = ends.select(either(F.col("a"), F.col("b")).alias("hub"), either(F.col("b"), F.col("a")).alias("other"), parts.cast("int").alias("parts"))
+    stars = stars.withColumn("cell", F.pmod(F.xxhash64("other.cid"), F.col("parts")).cast("int"))
+    row = lambda x, side: F.struct(F.lit(side).alias("side"), F.col(f"{x}.cid").alias("cid"), F.col(f"{x}.comp").alias("comp"), F.col(f"{x}.n").alias("n"))
+    rows = stars.select(F.col("hub.cid").alias("g"), "cell", F.explode(F.array(row("hub", 0), row("other", 1))).alias("x")).distinct()
+    sparse = rows.select("g", F.lit(-1).alias("cell_i"), F.col("cell").alias("cell_j"), "x.side", "x.cid", "x.comp", "x.n", F.col("x.n").alias("left"))
+    return staged(dense.unionByName(sparse), "paired")
 
 
 def _sets_of(asked: DataFrame, rows: DataFrame, described: DataFrame, shingle: int) -> DataFrame:

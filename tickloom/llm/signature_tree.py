@@ -148,20 +148,13 @@ class Tree:
         ok &= self.label[x.lo : x.hi, None] != self.label[None, y.lo : y.hi]
         return np.where(ok, common / np.maximum(na[:, None] + nb[None] - common, 1), -1.0)
 
-    def pairs(self) -> Iterator[tuple[int, int]]:
-        """All pairs of sets with different labels that may reach the threshold."""
+    def pairs(self) -> np.ndarray:
+        """All pairs (rows of two) of sets with different labels that may reach the threshold."""
+        out = [np.zeros((0, 2), np.int64)]
         for x, y in self.leaves():
-            for p, q in np.argwhere(self.shares(x, y) >= 0).tolist():
-                yield int(self.order[x.lo + p]), int(self.order[y.lo + q])
-
-    def paired(self) -> np.ndarray:
-        """For each set whether it is in one of those pairs."""
-        out = np.zeros(len(self.order), bool)
-        for x, y in self.leaves():
-            ok = self.shares(x, y) >= 0
-            out[self.order[x.lo : x.hi][ok.any(1)]] = True
-            out[self.order[y.lo : y.hi][ok.any(0)]] = True
-        return out
+            p, q = np.nonzero(self.shares(x, y) >= 0)
+            out.append(np.stack([self.order[x.lo + p], self.order[y.lo + q]], 1))
+        return np.concatenate(out)
 
     def links(self, alike: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
         """Pairs that are alike, each of which joins two labels, taken as one from then on; the likeliest of two leaves are
