@@ -98,6 +98,56 @@ def test_field_on_a_table_it_has_not_seen(field):
     assert found / spans > 0.93
 
 
+#: Written by hand, not by the generator of the training table: texts and the spans that are to be added.
+BY_HAND = [
+    ("Please write to maria at posteo dot net before Friday.", ["email"]),
+    ("My address is john.smith [at] example [dot] org, thanks", ["email"]),
+    ("reach me: lena (at) firma.de", ["email"]),
+    ("You can email peter at webmail dot com about the flat.", ["email"]),
+    ("contact: anna at uni-koeln dot de", ["email"]),
+    ("Call (415) 555-2671 after six.", ["phone"]),
+    ("phone 212-555-0187 or ask at the desk", ["phone"]),
+    ("tel 030-555-1234 is the office", ["phone"]),
+    ("Our fax (044) 555-9081 works again.", ["phone"]),
+    ("call 555-867-5309 now", ["phone"]),
+    ('config: token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', ["secret"]),
+    ("export API_KEY = 5e884898da28047151d0e56f8dc6292773603d0d", ["secret"]),
+    ("password : 5f4dcc3b5aa765d61d8327deb882cf99", ["secret"]),
+    ("the secret = da39a3ee5e6b4b0d3255bfef95601890afd80709 leaked", ["secret"]),
+    ('set key = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4" in the file', ["secret"]),
+]
+CLEAN = [
+    "ç ç ç ç is what the machine printed", "üä, üä, sang the child.", "verstpf.### und dann nichts", "a a a a a", "He looked at the dot on the map.",
+    "We met at noon. At home nobody was awake.", "In 2019 there were 1200 visitors, in 2020 only 300.", "Chapter 3.2.1 explains it (see page 44).",
+    "e.g. this one, z.B. jener, i.e. neither", "The key to success is patience.", "A token of thanks, nothing more", "version 2.0 of the licence", "o o o # # # * * *",
+    "éé à ù naïve café 日本語 テスト", "| a | b | c |", "Price: 12,50 EUR (was 15.00)", "password rules are listed below", "call me tomorrow, phone or not", "19:30 - 20:45, room 101",
+    "ISBN 978-3-16-148410-0", "He scored 21-19, 21-17 and 15-21.", "write at least ten pages", "look at com dot", "... ?! --- ###",
+]
+
+
+def test_added_spans_on_texts_written_by_hand(spark):
+    rows = list(enumerate([t for t, _ in BY_HAND] + CLEAN))
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in pii.find(frame(spark, rows)).collect()}
+    hits = sum(got[k] == kinds for k, (_, kinds) in enumerate(BY_HAND))
+    false = {CLEAN[k - len(BY_HAND)]: got[k] for k in got if k >= len(BY_HAND) and got[k]}
+    assert hits >= 0.9 * len(BY_HAND), [(t, got[k]) for k, (t, kinds) in enumerate(BY_HAND) if got[k] != kinds]
+    assert len(false) <= 1 and not any("email" in x for x in false.values()), false
+
+
+def test_added_spans_never_meet_a_base_span(spark):
+    """A long base span before many short ones, and the whole output against a plain join of both finders."""
+    rows = [(1, "+1 " + "5 5 5 5 5 5 5 5 5 " + "1.1.1.1 " * 40), (2, "call (555) 123-4567 a@b.co " * 30), (3, 'token = "0123456789abcdef0123456789abcdef" ' * 3 + "10.0.0.1"), (4, "+49 (030) 1234-5678 1.2.3.4 write x at y dot com")]
+    field = pii.train(pii.labelled_table())
+    for r in pii.find(frame(spark, rows)).collect():
+        text = dict(rows)[r.doc_id]
+        base = [(k, a, b) for k in PATTERNS for a, b in brute(k, text)]
+        buf = np.frombuffer(text.encode(), np.uint8)
+        more = pii.added_spans(buf, np.array([0, len(buf)]), field).get(0, [])
+        free = [m for m in more if not any(b[1] < m[2] and m[1] < b[2] for b in base)]
+        assert r.n_added == len(free)
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(base + free, key=lambda s: (s[1], pii.KINDS.index(s[0]))))
+
+
 def test_find(spark):
     rows = ROWS + [(50, 'ça token = "0123456789abcdef0123456789abcdef" è'), (51, "write john at mail dot com now"), (52, "call (555) 123-4567 soon")]
     got = [r for r in pii.find(frame(spark, rows)).collect()]

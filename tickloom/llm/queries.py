@@ -41,9 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard_rows, uniform_tree
+    from .sharding import grown, shard_rows, uniform_tree
 
-    out = shard_rows(documents(spark, sf_dir), uniform_tree(40), uniform_tree(41))
+    tree = uniform_tree(40)
+    out = shard_rows(documents(spark, sf_dir), tree, grown(tree, 40))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
