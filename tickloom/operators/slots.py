@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .book import RESTED, Book
-from .kernel import _apply, _fold, _frame, _messages
+from .kernel import _apply, _fold
 
 
 class SlotArena:
@@ -76,10 +75,10 @@ def engine_ids(tape: DataFrame, capacity: int | None = None) -> DataFrame:
     """sym, seq, ref, engine_id of every add: the id of its slot if it rests, 0 if it is rejected (or no slot is left), -1 if
     it is filled whole (the reference value is all ones)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        book, arena, sym, out = Book(), SlotArena(capacity), int(group["sym"].iloc[0]), []
+    def run(sym, messages):
+        book, arena = Book(), SlotArena(capacity)
         ids: dict[int, int] = {}
-        for m in _messages(group):
+        for m in messages:
             seq, kind, ref = m[:3]
             outcome, _, trades = _apply(book, m)
             for maker in dict.fromkeys(t.maker for t in trades):
@@ -95,9 +94,8 @@ def engine_ids(tape: DataFrame, capacity: int | None = None) -> DataFrame:
                         book.cancel(ref)  # no slot: what is left of the order is lost, its trades stand
                 elif outcome == "filled":
                     got = -1
-                out.append((sym, seq, ref, got))
+                yield sym, seq, ref, got
             elif ref in ids and ref not in book.live:
                 arena.release(ids.pop(ref))
-        return _frame(out, IDS)
 
     return _fold(tape, run, IDS)

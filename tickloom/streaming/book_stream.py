@@ -9,7 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.book import Book, signals
-from tickloom.operators.kernel import SIGNALS, _apply, _frame, _messages
+from tickloom.operators.kernel import FIELDS, SIGNALS, _apply
+
+def _messages(frame: pd.DataFrame):
+    """A frame's messages in order of seq, as tuples of plain values."""
+    frame = frame.sort_values("seq")
+    columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in FIELDS if c in frame]
+    for seq, kind, ref, side, price, qty, *more in zip(*columns, strict=True):
+        yield seq, kind, ref, side, None if price is None else int(price), None if qty is None else int(qty), *more
+
+
+def _frame(rows: list, schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
 
 STATE = "book binary, last array<bigint>, ofi bigint, seq bigint"
 
