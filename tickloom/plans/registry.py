@@ -389,6 +389,43 @@ tops AS (SELECT sym, seq, bid_px, CAST(coalesce(list_sum(list_transform(list_fil
 {PUBLISHED},
 {SIGNAL_STEPS} SELECT * FROM sig"""
 
+MAKER = "STRUCT(k BIGINT, prio BIGINT, ref BIGINT, side VARCHAR, price BIGINT, qty BIGINT, hidden BIGINT, display BIGINT, id BIGINT)"
+
+
+def _by_fills(display="NULL::BIGINT", post_only="false"):
+    """The engine in SQL by single fills, for icebergs, post-only adds and engine ids: a step of the recursion is one fill,
+    a rest, a rejection or a cancel. todo is what the taker has left, free the stack of released slots."""
+    return f"""WITH RECURSIVE {CROSS_SQL},
+ev AS MATERIALIZED (SELECT *, {display} AS display, {post_only} AS post_only, row_number() OVER (PARTITION BY sym ORDER BY seq) AS i FROM tape),
+run AS (
+  SELECT DISTINCT sym, 0::BIGINT AS i, 0::BIGINT AS step, 0::BIGINT AS todo, 0::BIGINT AS n, []::{MAKER}[] AS book, []::STRUCT(slot BIGINT, gen BIGINT)[] AS free, 0::BIGINT AS used,
+         NULL::VARCHAR AS outcome, NULL::BIGINT AS maker, NULL::BIGINT AS price, 0::BIGINT AS fill, 0::BIGINT AS removed, NULL::BIGINT AS engine_id FROM ev
+  UNION ALL
+  SELECT sym, i, step, left_over, CASE WHEN fill > 0 THEN CASE WHEN fresh THEN 1 ELSE n + 1 END ELSE 0 END,
+         CASE WHEN type = 'D' THEN list_filter(book, lambda o: o.ref <> ref)
+              WHEN fill > 0 THEN list_concat(list_filter(book, lambda o: o.ref <> best.ref),
+                CASE WHEN best.qty > fill THEN [struct_pack(k := best.k, prio := best.prio, ref := best.ref, side := best.side, price := best.price, qty := best.qty - fill, hidden := best.hidden, display := best.display, id := best.id)]
+                     WHEN best.hidden > 0 THEN [struct_pack(k := best.k, prio := step, ref := best.ref, side := best.side, price := best.price, qty := least(best.display, best.hidden), hidden := best.hidden - least(best.display, best.hidden), display := best.display, id := best.id)]
+                     ELSE []::{MAKER}[] END)
+              WHEN rests THEN list_append(book, struct_pack(k := CASE WHEN side = 'S' THEN px ELSE -px END, prio := step, ref := ref, side := side, price := px, qty := shown, hidden := todo - shown, display := coalesce(display, 0), id := new_id))
+              ELSE book END,
+         CASE WHEN gone_id IS NOT NULL THEN list_append(free, struct_pack(slot := (gone_id & 4294967295) - 1, gen := (gone_id >> 32) + 1)) WHEN rests THEN free[:-2] ELSE free END,
+         CASE WHEN rests AND len(free) = 0 THEN used + 1 ELSE used END,
+         CASE WHEN left_over > 0 THEN NULL WHEN type = 'D' THEN CASE WHEN gone IS NULL THEN 'stale' ELSE 'cancelled' END WHEN barred THEN 'rejected' WHEN fill > 0 THEN 'filled' ELSE 'rested' END,
+         CASE WHEN fill > 0 THEN best.ref END, CASE WHEN fill > 0 THEN best.price END, fill,
+         CASE WHEN type = 'D' THEN coalesce(gone.qty, 0) ELSE 0 END,
+         CASE WHEN type = 'D' OR left_over > 0 THEN NULL WHEN rests THEN new_id WHEN barred THEN 0 ELSE -1 END
+  FROM (SELECT *, CASE WHEN fill > 0 THEN todo - fill ELSE 0 END AS left_over, type = 'A' AND best IS NULL AND NOT barred AS rests,
+               least(todo, coalesce(display, todo)) AS shown, CASE WHEN type = 'D' THEN gone.id WHEN fill > 0 AND best.qty = fill AND best.hidden = 0 THEN best.id END AS gone_id,
+               CASE WHEN len(free) > 0 THEN (free[-1].gen + 1) * 4294967296 + free[-1].slot + 1 ELSE 4294967296 + used + 1 END AS new_id
+        FROM (SELECT *, CASE WHEN type = 'A' AND best IS NOT NULL AND NOT barred THEN least(todo, best.qty) ELSE 0 END AS fill
+              FROM (SELECT *, fresh AND post_only AND best IS NOT NULL AS barred
+                    FROM (SELECT e.sym, e.i, e.type, e.ref, e.side, e.price AS px, e.display, e.post_only, r.step + 1 AS step, r.todo = 0 AS fresh, CASE WHEN r.todo > 0 THEN r.todo ELSE coalesce(e.qty, 0) END AS todo, r.n, r.book, r.free, r.used,
+                                 list_sort(list_filter(r.book, lambda o: e.type = 'A' AND o.side <> e.side AND CASE WHEN e.side = 'B' THEN o.price <= e.price ELSE o.price >= e.price END))[1] AS best,
+                                 list_filter(r.book, lambda o: e.type = 'D' AND o.ref = e.ref)[1] AS gone
+                          FROM run r JOIN ev e ON e.sym = r.sym AND e.i = r.i + (r.todo = 0)::INT))))
+)"""
+
 #: The risk gate, likewise.
 RISK_SQL = f"""WITH RECURSIVE {LEFT[5:]},
 ev AS MATERIALIZED (SELECT *, 1000000000000 + seq * 1000 AS now, row_number() OVER (PARTITION BY sym ORDER BY seq) AS i FROM orders),
@@ -423,13 +460,15 @@ def m1_match_signals(spark, sf_dir):
     return kernel.book_signals(cross_tape(spark, sf_dir))
 
 
-@query()
+@query(f"""{_by_fills(display="CASE WHEN ref % 3 = 0 THEN 2 END")}
+SELECT r.sym, e.seq, CAST(r.n - 1 AS INTEGER) AS n, r.maker AS maker_ref, e.ref AS taker_ref, r.price, r.fill AS qty FROM run r JOIN ev e USING (sym, i) WHERE r.fill > 0""")
 def m3_iceberg_trades(spark, sf_dir):
     """M3, M4, M6: every third add is an iceberg that shows two lots."""
     return kernel.trades(cross_tape(spark, sf_dir).withColumn("display", F.when(F.col("ref") % 3 == 0, F.lit(2))))
 
 
-@query()
+@query(f"""{_by_fills(post_only="ref % 5 = 0")}
+SELECT r.sym, e.seq, e.ref, max(r.outcome) AS outcome, CAST(sum(r.removed) AS BIGINT) AS removed, CAST(sum(r.fill) AS BIGINT) AS traded FROM run r JOIN ev e USING (sym, i) GROUP BY ALL""")
 def p4_post_only_rejects(spark, sf_dir):
     """Outcomes when every fifth add is post-only."""
     tape = cross_tape(spark, sf_dir).withColumn("display", F.lit(None).cast("bigint")).withColumn("post_only", F.col("ref") % 5 == 0)
@@ -505,7 +544,7 @@ def x_fill_bars(spark, sf_dir):
     return bars.select("sym", F.unix_micros("w.start").alias("bar_us"), "first", "high", "low", "last", "lots", "vwap")
 
 
-@query()
+@query(f"""{_by_fills()} SELECT r.sym, e.seq, e.ref, r.engine_id FROM run r JOIN ev e USING (sym, i) WHERE r.engine_id IS NOT NULL""")
 def m11_engine_ids(spark, sf_dir):
     """Engine ids of resting orders, by slots of last-in first-out reuse."""
     from tickloom.operators.slots import engine_ids
@@ -513,7 +552,15 @@ def m11_engine_ids(spark, sf_dir):
     return engine_ids(cross_tape(spark, sf_dir))
 
 
-@query()
+_HEX = lambda x, n: f"lpad(to_hex(CAST({x} AS UBIGINT)), {2 * n}, '0')"
+
+
+@query(f"""WITH {WIRE_SQL},
+body AS (SELECT sym, seq, {_HEX("ascii(type)", 1)} || {_HEX("sym + 1", 2)} || {_HEX("3", 2)} || {_HEX(f"{itch.OPEN_NS} + seq * 1000", 6)} || {_HEX("ref", 8)} ||
+  CASE type WHEN 'A' THEN {_HEX("ascii(side)", 1)} || {_HEX("qty", 4)} || rpad(hex('SYM' || sym), 16, '20') || {_HEX("price", 4)} WHEN 'E' THEN {_HEX("qty", 4)} || {_HEX("seq", 8)} WHEN 'X' THEN {_HEX("qty", 4)} ELSE '' END AS h FROM tape),
+frames AS (SELECT sym, {_HEX("len(h) // 2", 2)} || h AS h, CAST(sum(len(h) // 2 + 2) OVER (PARTITION BY sym ORDER BY seq) AS BIGINT) AS upto FROM body),
+hit AS (SELECT sym, upto, h, len(h) // 2 AS n, CAST(ceil((upto - len(h) // 2) / 4096.0) * 4096 AS BIGINT) AS place FROM frames)
+SELECT sym, max(upto) AS length, CAST(coalesce(sum(CASE WHEN place < upto THEN CAST('0x' || substr(h, 2 * (place - upto + n) + 1, 2) AS BIGINT) END), 0) AS BIGINT) AS checksum FROM hit GROUP BY sym""")
 def a16_file_checksum(spark, sf_dir):
     """For each wire file, its bytes and the sum of the bytes at every 4096th place."""
     folder = scratch(spark, "wire")
