@@ -487,10 +487,51 @@ def r2_risk_gate(spark, sf_dir):
     return kernel.risk_verdicts(wire_tape(spark, sf_dir), RISK)
 
 
-@query()
+LOOP = RISK | {"max_qty": 5, "low": MID - 40, "high": MID + 40, "position_limit": 3, "window": 2000}
+
+#: The closed loop: a feed message (phase 0), then the quotes of both sides if it changed the top (1 and 2); qty of a quote is 1.
+LOOP_SQL = f"""WITH RECURSIVE {WIRE_SQL},
+ev AS MATERIALIZED (SELECT *, 1000000000000 + seq * 1000 AS now, row_number() OVER (PARTITION BY sym ORDER BY seq) AS i FROM tape),
+run AS (
+  SELECT DISTINCT sym, 0::BIGINT AS i, 0 AS phase, []::{ORDER}[] AS book, [-1, 0, -1, 0]::BIGINT[] AS last, NULL::BIGINT AS mine_b, NULL::BIGINT AS mine_s, 0::BIGINT AS live_b, 0::BIGINT AS live_s,
+         0::BIGINT AS ob, 0::BIGINT AS os, [{','.join(['0::BIGINT'] * LOOP['depth'])}] AS stamps, 0::BIGINT AS step, NULL::BIGINT AS seq, NULL::VARCHAR AS side, NULL::BIGINT AS price, NULL::INTEGER AS mask, NULL::BIGINT AS traded FROM ev
+  UNION ALL
+  SELECT sym, i, CASE WHEN phase = 0 THEN 1 WHEN phase = 1 AND changed THEN 2 ELSE 0 END,
+         list_concat(away, list_concat(
+           list_filter(list_transform(met, lambda o, n: struct_pack(k := o.k, prio := o.prio, ref := o.ref, side := o.side, price := o.price, qty := o.qty - fills[n])), lambda o: o.qty > 0),
+           CASE WHEN tqty > coalesce(list_sum(fills), 0) THEN [struct_pack(k := CASE WHEN tside = 'S' THEN tpx ELSE -tpx END, prio := step, ref := tref, side := tside, price := tpx, qty := CAST(tqty - coalesce(list_sum(fills), 0) AS BIGINT))] ELSE []::{ORDER}[] END)),
+         top, CASE WHEN accepted AND phase = 1 THEN want ELSE mine_b END, CASE WHEN accepted AND phase = 2 THEN want ELSE mine_s END,
+         CASE WHEN accepted AND phase = 1 THEN tref ELSE live_b END, CASE WHEN accepted AND phase = 2 THEN tref ELSE live_s END,
+         CASE WHEN accepted AND phase = 1 AND mine_b IS NULL THEN ob + 1 ELSE ob END, CASE WHEN accepted AND phase = 2 AND mine_s IS NULL THEN os + 1 ELSE os END,
+         CASE WHEN accepted THEN list_append(stamps[2:], now) ELSE stamps END, step,
+         CASE WHEN quoting THEN seq END, CASE WHEN quoting THEN CASE phase WHEN 1 THEN 'B' ELSE 'S' END END, CASE WHEN quoting THEN want END, CASE WHEN quoting THEN mask END, CASE WHEN quoting THEN CAST(coalesce(list_sum(fills), 0) AS BIGINT) END
+  FROM (SELECT *, list_transform(met, lambda o, n: CAST(least(o.qty, greatest(0, tqty - coalesce(list_sum(list_transform(met[1:n - 1], lambda x: x.qty)), 0))) AS BIGINT)) AS fills
+  FROM (SELECT *, list_sort(list_filter(base, lambda o: tqty > 0 AND o.side <> tside AND CASE WHEN tside = 'B' THEN o.price <= tpx ELSE o.price >= tpx END)) AS met,
+               list_filter(base, lambda o: NOT (tqty > 0 AND o.side <> tside AND CASE WHEN tside = 'B' THEN o.price <= tpx ELSE o.price >= tpx END)) AS away
+  FROM (SELECT *, CASE WHEN phase = 0 AND type = 'A' THEN eref WHEN accepted THEN -(2 * seq + phase) END AS tref,
+               CASE WHEN phase = 0 AND type = 'A' THEN eside WHEN accepted THEN CASE phase WHEN 1 THEN 'B' ELSE 'S' END END AS tside,
+               CASE WHEN phase = 0 AND type = 'A' THEN eprice WHEN accepted THEN want END AS tpx, CASE WHEN phase = 0 AND type = 'A' THEN eqty WHEN accepted THEN 1 ELSE 0 END AS tqty,
+               list_filter(list_transform(book, lambda o: struct_pack(k := o.k, prio := o.prio, ref := o.ref, side := o.side, price := o.price, qty := CAST(o.qty - CASE
+                 WHEN phase = 0 AND o.ref = eref AND type = 'D' THEN o.qty WHEN phase = 0 AND o.ref = eref AND type IN ('E', 'X') THEN greatest(eqty, 0)
+                 WHEN accepted AND o.ref = CASE phase WHEN 1 THEN live_b ELSE live_s END THEN o.qty ELSE 0 END AS BIGINT))), lambda o: o.qty > 0) AS base
+  FROM (SELECT *, quoting AND mask = 0 AS accepted
+  FROM (SELECT *, CASE WHEN quoting THEN ((want < {LOOP['low']} OR want > {LOOP['high']})::INT * 2) | ((ob + (phase = 1)::INT > {LOOP['position_limit']} OR os + (phase = 2)::INT > {LOOP['position_limit']})::INT * 4)
+                 | ((now - stamps[1] < {LOOP['window']})::INT * 8) END AS mask
+  FROM (SELECT *, (phase = 1 AND changed AND top[1] >= 0 AND want IS DISTINCT FROM mine_b) OR (phase = 2 AND top[3] >= 0 AND want IS DISTINCT FROM mine_s) AS quoting
+  FROM (SELECT *, CASE phase WHEN 1 THEN top[1] - (top[2] < top[4])::INT WHEN 2 THEN top[3] + (top[2] >= top[4])::INT END AS want, phase = 1 AND top <> last AS changed
+  FROM (SELECT *, CASE WHEN phase = 1 THEN [bb, coalesce(list_sum(list_transform(list_filter(book, lambda o: o.side = 'B' AND o.price = bb), lambda o: o.qty)), 0)::BIGINT,
+                                            ba, coalesce(list_sum(list_transform(list_filter(book, lambda o: o.side = 'S' AND o.price = ba), lambda o: o.qty)), 0)::BIGINT] ELSE last END AS top
+  FROM (SELECT e.sym, e.i, e.seq, e.now, e.type, e.ref AS eref, e.side AS eside, e.price AS eprice, e.qty AS eqty, r.phase, r.book, r.last, r.mine_b, r.mine_s, r.live_b, r.live_s, r.ob, r.os, r.stamps, r.step + 1 AS step,
+               coalesce(list_max(list_transform(list_filter(r.book, lambda o: o.side = 'B'), lambda o: o.price)), -1) AS bb, coalesce(list_min(list_transform(list_filter(r.book, lambda o: o.side = 'S'), lambda o: o.price)), -1) AS ba
+        FROM run r JOIN ev e ON e.sym = r.sym AND e.i = r.i + (r.phase = 0)::INT)))))))))
+)
+SELECT sym, seq, side, price, mask, traded FROM run WHERE seq IS NOT NULL"""
+
+
+@query(LOOP_SQL)
 def t6_closed_loop(spark, sf_dir):
     """The strategy's gated quotes between feed messages."""
-    return kernel.closed_loop(wire_tape(spark, sf_dir), RISK | {"max_qty": 5, "low": MID - 40, "high": MID + 40, "position_limit": 3, "window": 2000})
+    return kernel.closed_loop(wire_tape(spark, sf_dir), LOOP)
 
 
 @query()
