@@ -35,8 +35,8 @@ FIRST, BUCKET_TOKENS = 6, 500_000
 CELL_ROWS, CELL_TOKENS, MOST_BLOCKS = 256, 2_000_000, 64
 #: So many possible pairs a row of a cell, at most, are taken out of it.
 FEW = 2
-#: Rows of a group that are compared by their exact sizes.
-COMPARED = 2000
+#: Rows of a group that are compared by their exact sizes; classes of a shingle that is put last as well.
+COMPARED, VERY_COMMON = 500, 2000
 #: Bits of the filter of shared shingles: so many each, and 32 MB at most; beyond, more unshared ones pass it for a while.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 #: Shingles of so many documents of one part of COUNTED shingles are counted; those whose counts add up to LEAST_COMMON
@@ -446,7 +446,7 @@ def link_classes(rows: DataFrame, described: DataFrame, common: np.ndarray, shin
     every = _token_rows(wide)
     for _ in range(3):
         # shingles of very many classes, which no part had shown to be common, are put last as well
-        more = every.groupBy("t").count().where(F.col("count") > COMPARED).select("t").limit(COMMON).collect()
+        more = every.groupBy("t").count().where(F.col("count") > VERY_COMMON).select("t").limit(COMMON).collect()
         new = np.setdiff1d(np.array([r.t for r in more], np.int64).view(T.U), common)
         if not len(new):
             break
