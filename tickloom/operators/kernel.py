@@ -64,11 +64,11 @@ def trades(tape: DataFrame) -> DataFrame:
 OUTCOMES = "sym int, seq bigint, ref bigint, outcome string, removed bigint, traded bigint"
 
 
-def outcomes(tape: DataFrame) -> DataFrame:
-    """What became of every message: outcome, quantity removed (E X D), quantity traded (A)."""
+def outcomes(tape: DataFrame, base: int | None = None) -> DataFrame:
+    """What became of every message: outcome, quantity removed (E X D), quantity traded (A). base: the lowest price taken."""
 
     def run(sym, messages):
-        book = Book()
+        book = Book(base)
         for m in messages:
             outcome, removed, done = _apply(book, m)
             yield sym, m[0], m[2], outcome, removed, sum(t.qty for t in done)

@@ -161,6 +161,18 @@ def ref_lookups(tape: DataFrame) -> DataFrame:
     return rows.select("sym", "seq", "type", "ref", F.when(F.col("gone") == 0, F.col("shares")).otherwise(0).cast("bigint").alias("value"), live.alias("live")).where("type <> 'A'").drop("type")
 
 
+def map_history(tape: DataFrame) -> DataFrame:
+    """sym, seq, key, value, size: what each message finds under its key in its sym's map (0 if nothing), and the map's size
+    after it. A puts its qty, over what is there; D erases; others only look."""
+    before = Window.partitionBy("sym", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last(F.when(F.col("type").isin("A", "D"), F.struct("type", "qty")), ignorenulls=True).over(before)
+    rows = tape.select("sym", "seq", "type", "key", held.alias("held"))
+    there = F.coalesce(F.col("held.type") == "A", F.lit(False))
+    change = F.when((F.col("type") == "A") & ~there, 1).when((F.col("type") == "D") & there, -1).otherwise(0).cast("bigint")
+    size = F.sum(change).over(Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("sym", "seq", "key", F.when(there, F.col("held.qty")).otherwise(0).cast("bigint").alias("value"), size.alias("size"))
+
+
 def risk_mask(price: Column, qty: Column, max_qty: int, low: int, high: int) -> Column:
     """The stateless checks: 1 size, 2 collar."""
     size = ((qty <= 0) | (qty > max_qty)).cast("int")

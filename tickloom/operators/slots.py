@@ -68,6 +68,31 @@ class Levels:
         return down.bit_length() - 1 if down else None
 
 
+SCANS = "sym int, price bigint, next_level bigint, prev_level bigint"
+
+
+def scan_levels(levels: DataFrame, base: int, probes: range, ticks: int = 1 << 16) -> DataFrame:
+    """sym, price, next_level, prev_level for each probe: the nearest occupied prices at or above, and at or below it, -1 if none.
+
+    levels: sym, price. A sym's ladder of ticks levels from base is one set of bits, 8 KB for 65,536.
+    """
+
+    def run(key, group):
+        import pandas as pd
+
+        bits = Levels(ticks)
+        for p in group["price"].tolist():
+            bits.set(int(p) - base)
+        out = []
+        for p in probes:
+            up, down = bits.next_set(p - base), bits.prev_set(p - base)
+            out.append((int(key[0]), p, -1 if up is None else base + up, -1 if down is None else base + down))
+        return pd.DataFrame(out, columns=["sym", "price", "next_level", "prev_level"])
+
+    inside = levels.where((levels["price"] >= base) & (levels["price"] < base + ticks))
+    return inside.groupBy("sym").applyInPandas(run, SCANS)
+
+
 IDS = "sym int, seq bigint, ref bigint, engine_id bigint"
 
 

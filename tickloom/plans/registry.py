@@ -609,3 +609,60 @@ def a16_file_checksum(spark, sf_dir):
     files = spark.read.format("binaryFile").load(folder).select("path", "length", "content")
     places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(4096).cast("bigint")), lambda i: F.conv(F.hex(F.substring("content", (i + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint"))
     return files.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("int").alias("sym"), "length", F.aggregate(places, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"))
+
+
+@query(f"""WITH {WIRE_SQL}, k AS (SELECT *, ref % 64 AS key FROM tape),
+v AS (SELECT *, last_value(CASE WHEN type IN ('A', 'D') THEN struct_pack(t := type, q := qty) END IGNORE NULLS) OVER (PARTITION BY sym, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM k),
+c AS (SELECT *, CASE WHEN type = 'A' AND coalesce(held.t, 'D') = 'D' THEN 1 WHEN type = 'D' AND held.t = 'A' THEN -1 ELSE 0 END AS change FROM v)
+SELECT sym, seq, key, CAST(CASE WHEN held.t = 'A' THEN held.q ELSE 0 END AS BIGINT) AS value, CAST(sum(change) OVER (PARTITION BY sym ORDER BY seq) AS BIGINT) AS size FROM c""")
+def j2_map_overwrite(spark, sf_dir):
+    """A map of 64 keys a sym: an add puts its quantity (over what is there), a delete erases; what each message
+    finds under its key before it acts, and the map's size after it."""
+    return S.map_history(wire_tape(spark, sf_dir).withColumn("key", F.col("ref") % 64))
+
+
+@query(PROBE)
+def f8_level_bits(spark, sf_dir):
+    """The same neighbours by scans of a set of bits, one for each sym's ladder."""
+    from tickloom.operators.slots import scan_levels
+
+    return scan_levels(S.depth_final(_left(spark, sf_dir)).select("sym", "price").distinct(), BASE, range(MID - 40, MID + 41))
+
+
+@query(f"""WITH {CROSS_SQL}, p AS (SELECT sym, seq, CASE WHEN seq % 11 = 0 THEN {BASE} - 1 WHEN seq % 13 = 0 THEN {BASE} + 65536 ELSE price END AS price, CASE WHEN seq % 7 = 0 THEN 0 ELSE qty END AS qty, CASE WHEN ref % 3 = 0 THEN seq % 4 - 1 END AS display FROM tape WHERE type = 'A')
+SELECT sym, seq, display IS NOT NULL AS iceberg, price BETWEEN {BASE} AND {BASE + 65535} AND qty > 0 AND coalesce(display > 0, true) AS accepted FROM p""")
+def p2_iceberg_validation(spark, sf_dir):
+    """An iceberg must show a positive quantity, too; verdicts of the engine on books of their own."""
+    t = cross_tape(spark, sf_dir).where("type = 'A'").select(
+        "sym", "seq", "ref", "type", "side", F.when(F.col("seq") % 11 == 0, BASE - 1).when(F.col("seq") % 13 == 0, BASE + 65536).otherwise(F.col("price")).cast("bigint").alias("price"),
+        F.when(F.col("seq") % 7 == 0, 0).otherwise(F.col("qty")).cast("bigint").alias("qty"), F.when(F.col("ref") % 3 == 0, F.col("seq") % 4 - 1).cast("bigint").alias("display"))
+    said = kernel.outcomes(t, base=BASE).select("sym", "seq", (F.col("outcome") != "rejected").alias("accepted"))
+    return t.select("sym", "seq", F.col("display").isNotNull().alias("iceberg")).join(said, ["sym", "seq"])
+
+
+@query(f"""WITH {WIRE_SQL}, t AS (SELECT sym, type, epoch_us(e.ts) AS us FROM tape JOIN events e ON e.event_id = tape.seq)
+SELECT sym, count(*) AS messages, count(*) FILTER (type = 'A') AS adds, max(us) - min(us) AS span_us, CAST(count(*) * 60000000 // nullif(max(us) - min(us), 0) AS BIGINT) AS messages_a_minute FROM t GROUP BY sym""")
+def a14_throughput(spark, sf_dir):
+    """Messages and adds of each sym, and messages a minute of event time."""
+    times = events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    t = wire_tape(spark, sf_dir).join(times, "seq").groupBy("sym").agg(
+        F.count(F.lit(1)).alias("messages"), F.count_if(F.col("type") == "A").alias("adds"), (F.max("us") - F.min("us")).alias("span_us"))
+    return t.withColumn("messages_a_minute", F.expr("messages * 60000000 div nullif(span_us, 0)"))
+
+
+@query(f"{SIGNALS} SELECT sym, count(*) AS updates, count(*) AS journalled, max(pub_seq) AS last_pub, arg_max(ofi, pub_seq) AS ofi FROM sig GROUP BY sym")
+def t5_drain_and_tap(spark, sf_dir):
+    """A stream of updates drained by a consumer, and a tap that journals each batch before it; both complete and in order."""
+    from tickloom.streaming.book_stream import drain, stream_signals
+
+    tape, source, got = wire_tape(spark, sf_dir), scratch(spark, "tape"), scratch(spark, "drained")
+    cuts = [r.q for r in tape.agg(F.expr("explode(percentile_approx(seq, array(0.3, 0.6, 1.0)))").alias("q")).collect()]
+    for low, high in zip([-1, *cuts[:-1]], cuts, strict=True):  # micro-batches, in order
+        tape.where(F.col("seq").between(low + 1, high)).coalesce(1).write.mode("append").parquet(source)
+    updates = stream_signals(spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    write = lambda kind: lambda batch, number: batch.write.mode("overwrite").parquet(f"{got}/{kind}/batch={number}")
+    drain(updates, write("consumed"), f"{got}-checkpoint", write("journal")).awaitTermination()
+    consumed, journal = (spark.read.parquet(f"{got}/{kind}") for kind in ("consumed", "journal"))
+    said = journal.groupBy("sym").agg(F.countDistinct("pub_seq").alias("journalled"))
+    per = consumed.groupBy("sym").agg(F.countDistinct("pub_seq").alias("updates"), F.max("pub_seq").alias("last_pub"), F.max_by("ofi", "pub_seq").alias("ofi"))
+    return per.join(said, "sym").select("sym", "updates", "journalled", "last_pub", "ofi")
