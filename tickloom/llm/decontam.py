@@ -8,7 +8,9 @@ word. Items are a bounded table that each task holds; a larger one is taken in b
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from . import textops as T
 RATE, LEAST_WORDS = 0.2, 5
 #: Words of items that a task holds at once: about 100 MB with their pieces.
 BLOCK_WORDS = 1_000_000
+#: Places of items that are looked at together: about 50 MB.
+PLACES = 500_000
 
 
 def pieces_of(n: int, k: int) -> list[tuple[int, int]]:
@@ -55,62 +59,104 @@ def _masks(pattern: list[int]) -> dict[int, int]:
 
 
 class Items:
-    """Test items of at least LEAST_WORDS words and their pieces, by length, sorted by hash."""
+    """Test items and their pieces, by length, sorted by hash and item. An item of fewer than least_words words has itself
+    as its only piece: it must stand as it is."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, least_words: int = LEAST_WORDS):
+    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, least_words: int = LEAST_WORDS, short: bool = True):
         buf, off = T.string_buffers(pa.array([t for _, t in items], pa.string()))
         w = T.Words(buf, off)
         self.ids, self.words, self.allowed = [i for i, _ in items], [], []
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k in range(len(items)):
             h = w.hash[w.first[k] : w.first[k + 1]]
-            self.words.append(h.tolist())
-            self.allowed.append(int(rate * len(h) + 1e-9))
-            if len(h) >= least_words:
+            self.words.append(h)
+            self.allowed.append(int(rate * len(h) + 1e-9) if len(h) >= least_words else 0)
+            if len(h) >= least_words or (short and len(h)):
                 for a, b in pieces_of(len(h), self.allowed[k]):
                     found[b - a].append((int(T.windows(h[a:b], b - a)[0]), k, a))
+        self.size = np.array(list(map(len, self.words)), np.int64)
+        self.edits = np.array(self.allowed, np.int64)
         self.pieces = {}
         for size, rows in found.items():
             rows.sort()
             h = np.array([r[0] for r in rows], T.U)
             seen = np.zeros(1 << 20, bool)
             seen[(h & T.U(0xFFFFF)).astype(np.int64)] = True
-            self.pieces[size] = h, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), seen
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            number = np.cumsum(np.concatenate(([False], h[1:] != h[:-1])))
+            item, at = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            # of each distinct piece: the shortest reach of an item that has it
+            reach = np.minimum.reduceat(self.size[item] + 2 * self.edits[item], first)
+            self.pieces[size] = h[first], number * len(items) + item, at, reach, seen
         self._peq: dict[int, tuple[dict[int, int], dict[int, int]]] = {}
 
     def masks(self, k: int) -> tuple[dict[int, int], dict[int, int]]:
         if k not in self._peq:
-            self._peq[k] = _masks(self.words[k]), _masks(self.words[k][::-1])
+            self._peq[k] = _masks(self.words[k].tolist()), _masks(self.words[k][::-1].tolist())
         return self._peq[k]
 
-    def candidates(self, w: T.Words) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """(row, item) -> merged spans of words in which an item with a whole piece there must lie."""
-        rows, items, starts = [], [], []
-        for size, (h, item, at, seen) in self.pieces.items():
+    def hits(self, w: T.Words) -> tuple[np.ndarray, ...]:
+        """size, number, row, first, last: runs of places of a piece in a row, so close that no item with it falls between."""
+        out = []
+        for size, (h, _, _, reach, seen) in self.pieces.items():
             got = T.windows(w.hash, size)
             place = np.flatnonzero(seen[(got & T.U(0xFFFFF)).astype(np.int64)] & (w.row[: len(got)] == w.row[size - 1 :]))
-            lo, hi = np.searchsorted(h, got[place]), np.searchsorted(h, got[place], "right")
-            n = hi - lo
-            place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
-            index = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            place = np.repeat(place, n)
-            rows.append(w.row[place])
-            items.append(item[index])
-            starts.append(place - at[index])
-        if not rows or not sum(map(len, rows)):
-            return {}
-        row, item, start = map(np.concatenate, (rows, items, starts))
-        length, edits = np.array(list(map(len, self.words)))[item], np.array(self.allowed)[item]
-        a = np.maximum(start - edits, w.first[row])
-        b = np.minimum(start + length + edits, w.first[row + 1])
-        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i in np.lexsort((a, item, row)).tolist():
-            spans = out.setdefault((int(row[i]), int(item[i])), [])
-            if spans and a[i] <= spans[-1][1]:
-                spans[-1] = spans[-1][0], max(spans[-1][1], int(b[i]))
-            else:
-                spans.append((int(a[i]), int(b[i])))
-        return out
+            number = np.minimum(np.searchsorted(h, got[place]), len(h) - 1)
+            ok = h[number] == got[place]
+            place, number = place[ok], number[ok]
+            if not len(place):
+                continue
+            order = np.lexsort((place, number))
+            place, number = place[order], number[order]
+            row = w.row[place]
+            new = np.concatenate(([True], (number[1:] != number[:-1]) | (row[1:] != row[:-1]) | (np.diff(place) > reach[number[1:]])))
+            first = np.flatnonzero(new)
+            last = np.concatenate((first[1:], [len(place)])) - 1
+            out.append((np.full(len(first), size), number[first], row[first], place[first], place[last]))
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+    def candidates(self, w: T.Words) -> Iterator[dict[tuple[int, int], list[tuple[int, int]]]]:
+        """(row, item) -> merged spans of words in which an item with a whole piece there must lie, for some items at a time.
+
+        Hits are expanded to the items that share their piece in parts of about PLACES.
+        """
+        size, number, row, first, last = self.hits(w)
+        n = len(self.ids)
+
+        def bounds(low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+            """The places of items low to high - 1 of each hit's piece."""
+            a, b = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            for s, (_, key, *_) in self.pieces.items():
+                of = np.flatnonzero(size == s)
+                a[of], b[of] = np.searchsorted(key, number[of] * n + low), np.searchsorted(key, number[of] * n + high)
+            return a, b
+
+        a, b = bounds(0, n)
+        parts = max(1, -(-int((b - a).sum()) // PLACES))
+        edges = [n * k // parts for k in range(parts + 1)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            a, b = bounds(low, high) if parts > 1 else (a, b)
+            count = b - a
+            if not count.any():
+                continue
+            hit = np.repeat(np.arange(len(size)), count)
+            index = T.ragged(np.arange(int(b.max())), a, count)
+            item, at = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
+            for s, (_, key, start, *_) in self.pieces.items():
+                of = np.flatnonzero(size[hit] == s)
+                item[of], at[of] = key[index[of]] % n, start[index[of]]
+            where = row[hit]
+            begin = np.maximum(first[hit] - at - self.edits[item], w.first[where])
+            end = np.minimum(last[hit] - at + self.size[item] + self.edits[item], w.first[where + 1])
+            out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            order = np.lexsort((begin, item, where))
+            for r, k, x, y in zip(where[order].tolist(), item[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
+                spans = out.setdefault((r, k), [])
+                if spans and x <= spans[-1][1]:
+                    spans[-1] = spans[-1][0], max(spans[-1][1], y)
+                else:
+                    spans.append((x, y))
+            yield out
 
     def best(self, k: int, text: list[int]) -> tuple[int, int, int] | None:
         """(distance, start, end) of item k's best match in the words, the first and shortest of equals; None beyond its edits."""
@@ -125,18 +171,37 @@ class Items:
         return least, end - 1 - back.index(least), end
 
     def matches(self, w: T.Words) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(row, item) -> (distance, first word, end word) of the best match in the row."""
+        """(row, item) -> (distance, first word, end word) of the best match in the row.
+
+        An item of n words with k edits keeps n - k of its words: where fewer stand in the spans, they aren't searched.
+        """
         out = {}
-        for (row, k), spans in self.candidates(w).items():
-            found = []
-            for a, b in spans:
-                if got := self.best(k, w.hash[a:b].tolist()):
-                    found.append((got[0], a + got[1] - int(w.first[row]), a + got[2] - int(w.first[row])))
-            if found:
-                out[row, k] = min(found)
+        for part in self.candidates(w):
+            for (row, k), spans in part.items():
+                found = []
+                for a, b in spans:
+                    text = w.hash[a:b]
+                    if np.isin(self.words[k], text).sum() < self.size[k] - self.allowed[k]:
+                        continue
+                    if got := self.best(k, text.tolist()):
+                        found.append((got[0], a + got[1] - int(w.first[row]), a + got[2] - int(w.first[row])))
+                if found:
+                    out[row, k] = min(found)
         return out
 
 
+_held: dict[bytes, Items] = {}
+
+
+def held_items(block: list[tuple[int | None, str | None]], rate: float, least_words: int, short: bool) -> Items:
+    """This worker's items, so that tasks share their index; one block is held at a time."""
+    key = hashlib.sha256(repr((block, rate, least_words, short)).encode()).digest()
+    if key not in _held:
+        _held.clear()
+        _held[key] = Items(block, rate, least_words, short)
+    return _held[key]
+
+
 def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS):
     """The items in lists of about block_words words at most, in turn."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -150,9 +215,9 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOC
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document and test item found in it: id, item, distance, start_word, end_word, item_words.
 
-    Words are runs outside [\\x20\\x09-\\x0D], A-Z lower-cased. Items of fewer than least_words words, null ones
-    too, are no evidence and match nothing. The best match is given: least distance, then first, then shortest.
-    Null and empty texts match nothing; rows with equal ids are documents of their own.
+    Words are runs outside [\\x20\\x09-\\x0D], A-Z lower-cased. Items of fewer than least_words words must stand as
+    they are; null and empty ones match nothing. The best match is given: least distance, then first, then shortest.
+    Null and empty texts match nothing; rows with equal ids are documents of their own. Other columns are ignored.
     """
     schema = "doc_id bigint, item_id bigint, distance int, start_word int, end_word int, item_words int"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -160,7 +225,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least_word
     for block in blocks(items, item_col, item_text_col, block_words):
 
         def run(batches, block=block):
-            held = Items(block, rate, least_words)
+            held = held_items(block, rate, least_words, True)
             for batch in batches:
                 ids = batch.column(0)
                 buf, off = T.string_buffers(batch.column(1))
@@ -177,12 +242,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least_word
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, least_words: int = LEAST_WORDS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without those in which an item is found; all columns stay as they are."""
+    """docs without those in which an item of at least least_words words is found; all columns stay as they are.
+
+    Shorter items are no evidence that a text was copied, so here they match nothing.
+    """
     place = docs.columns.index(text_col)
     for block in blocks(items, item_col, item_text_col, block_words):
 
         def run(batches, block=block):
-            held = Items(block, rate, least_words)
+            held = held_items(block, rate, least_words, False)
             for batch in batches:
                 buf, off = T.string_buffers(batch.column(place))
                 keep = np.ones(batch.num_rows, bool)
