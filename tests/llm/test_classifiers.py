@@ -117,14 +117,40 @@ def test_kernel_by_definition():
             return out
 
         fa, fb = subsequences(a), subsequences(b)
-        size = toxicity.norm(np.array([len(a), len(b)]))
-        return sum(x * fb.get(k, 0) for k, x in fa.items()) / size[0] / size[1]
+        own = lambda f: sum(x * x for x in f.values()) ** 0.5
+        return sum(x * fb.get(k, 0) for k, x in fa.items()) / own(fa) / own(fb)
 
     rng = np.random.default_rng(1)
     us = [rng.integers(1, 5, n).astype(np.uint8) for n in (3, 5, 8, 11)]
     assert np.allclose(toxicity.kernel(us, us), [[brute(a, b) for b in us] for a in us])
 
 
+def test_scores_by_definition(monkeypatch):
+    """The whole score, a unit at a time and by the kernel itself, whatever is held from earlier texts."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    marks = [toxicity.units(*buffers([letters(n)]))[0] for n in (4, 6, 9)]
+    beta, bias, logit = np.array([2.5, -1.0, 1.5]), -0.4, np.array([0.8, 0.5, 0.2, -0.1])
+    table = np.zeros(toxicity.C**3)
+    for b, m in zip(beta, marks, strict=True):
+        for key, x in toxicity.feature(m).items():
+            table[key] += b * x
+    texts = [" ".join(letters(rng.randint(1, 12)) for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["", None, letters(3000), "a b c d e", letters(7) + " "] * 2
+    want = []
+    for t in texts:
+        chars, first, _ = toxicity.units(*buffers([t]))
+        each = {chars[a:b].tobytes(): chars[a:b] for a, b in zip(first[:-1], first[1:], strict=True)}
+        d = toxicity.kernel(list(each.values()), marks) @ beta + bias if each else np.zeros(0)
+        best = sorted(np.clip(d[d > -1.5], -3, 3), reverse=True)[: toxicity.TOP]
+        z = np.dot(best + [-3.0] * (toxicity.TOP - len(best)), logit[:-1]) + logit[-1]
+        want.append(1 / (1 + np.exp(-z)))
+    for held in (400_000, 5):
+        monkeypatch.setattr(toxicity.Model, "HELD", held)
+        model = toxicity.Model(table, bias, logit)
+        assert np.allclose(model.score(*buffers(texts)), want, atol=1e-3)
+        assert np.allclose([model.score(*buffers([t]))[0] for t in texts], want, atol=1e-3)
+
+
 def test_units():
     chars, first, row = toxicity.units(*buffers(["i d i o t", None, "I.d-i0T x", "", "a b cd"]))
     decoded = ["".join(chr(96 + c) if c < 27 else "^" if c == toxicity.START else "$" for c in chars[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]

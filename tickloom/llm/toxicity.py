@@ -1,13 +1,14 @@
 """Toxicity by a subsequence-kernel support vector machine with Nystroem landmarks.
 
-The unit is a word of a sentence: its letters in a row, other marks left out, with a mark of its start and
-end; single letters that stand in a row are one unit. The kernel of two units sums, over the subsequences of
-three characters that they share within a span, decay^gaps of both, divided by the units' norms (those of
-units whose characters all differ), so an inserted character or a gap only lowers a match. An SVM is
-trained on the Nystroem features of the units. Its decision, sum_m b_m K(unit, landmark_m), is linear in the
-kernel's own feature space, so the landmarks fold into one table with a weight for each three characters,
-and a text is scored by gathers from that table: the same sum, without comparing it to each landmark.
-A document's score is a logistic function of its highest units' decisions.
+A sentence is taken as its units: words, each as its letters in a row, other marks left out, with a mark of its start
+and end; single letters that stand in a row are one unit. The kernel of two units sums, over the subsequences of
+three characters that they share within a span, decay^gaps of both, divided by sqrt(K(x, x) K(y, y)), so an inserted
+character or a gap only lowers a match. Labels are of whole texts, of which most sentences are harmless, so the units
+that are trained on as toxic are those that toxic texts have far beyond their share (multiple-instance learning). An
+SVM is trained on the Nystroem features of the units. Its decision, sum_m b_m K(unit, landmark_m), is linear in the
+kernel's own feature space, so the landmarks fold into one table with a weight for each three characters, and a unit is
+scored by gathers from that table: the same sum, without comparing it to each landmark. A document's score is a
+logistic function of its highest units' decisions.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .encoding import _Hashes
 
-#: Most labelled documents of each class that are trained on; landmarks; units of each kind.
-DOCUMENTS, LANDMARKS, UNITS = 3000, 256, 6000
+#: Bounds of what is trained on: labelled documents of each class, bytes of a text, landmarks, units of each kind.
+DOCUMENTS, TEXT_BYTES, LANDMARKS, UNITS = 3000, 1 << 14, 256, 6000
 THRESHOLD, FOLDS = 0.5, 5
 DECAY, SPAN = 0.5, 6
 TOP = 3
@@ -64,47 +66,51 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return chars, first, row[heads]
 
 
-_norms: dict[int, np.ndarray] = {}
+def unit_hashes(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+    f, i = T._powers(max(len(chars), 1))
+    total = np.concatenate((np.zeros(1, T.U), np.cumsum((chars.astype(T.U) + T.U(1)) * f[: len(chars)])))
+    return T.mix((total[first[1:]] - total[first[:-1]]) * i[first[:-1]])
 
 
-def norm(size: np.ndarray) -> np.ndarray:
-    """Of units of so many characters that all differ: the root of their kernel with themselves."""
-    top = int(size.max()) if len(size) else 0
-    if not _norms or len(_norms[0]) <= top:
-        n = np.arange(max(top + 1, 256), dtype=float)
-        _norms[0] = np.sqrt(np.maximum(sum(np.maximum(n - k, 0) * x * x for _, k, x in _TRIPLES), 1e-9))
-        _norms[0][:3] = 1
-    return _norms[0][size]
+def _triples(chars: np.ndarray, first: np.ndarray):
+    """start, key, weight of every subsequence of three characters within a span of its unit."""
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(len(chars))  # characters from here to the unit's end
+    c = chars.astype(np.int32)
+    for j, k, x in _TRIPLES:
+        at = np.flatnonzero(left > k)
+        yield at, (c[at] * C + c[at + j]) * C + c[at + k], x
+
+
+def norm(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """sqrt(K(x, x)) of each unit."""
+    unit = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    parts = [(unit[at] * C**3 + key, np.full(len(at), x)) for at, key, x in _triples(chars, first)]
+    key, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(key)
+    key, x = key[order], x[order]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    square = np.add.reduceat(x, head) ** 2
+    return np.sqrt(np.bincount(key[head] // C**3, square, len(first) - 1))
 
 
 def decisions(chars: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The sum over each unit's subsequences of the table's weights, divided by the unit's norm."""
-    n = len(first) - 1
-    if not n:
+    if len(first) < 2:
         return np.zeros(0, np.float32)
-    unit_end = np.repeat(first[1:], np.diff(first))
-    left = unit_end - np.arange(len(chars))  # characters from here to the unit's end
-    c = chars.astype(np.int32)
-    at = np.zeros(len(chars), np.float32)
-    for j, k, x in _TRIPLES:
-        if len(c) <= k:
-            continue
-        got = table[(c[:-k] * C + c[j : len(c) - k + j]) * C + c[k:]] * np.float32(x)
-        at[:-k] += np.where(left[:-k] > k, got, np.float32(0))
-    return np.add.reduceat(at, first[:-1]) / norm(np.diff(first)).astype(np.float32)
+    at = np.zeros(len(chars))
+    for where, key, x in _triples(chars, first):
+        at[where] += table[key] * x
+    return (np.add.reduceat(at, first[:-1]) / norm(chars, first)).astype(np.float32)
 
 
 def feature(chars: np.ndarray) -> dict[int, float]:
     """One unit's place in the kernel's feature space, divided by its norm."""
     out: dict[int, float] = {}
-    c = [int(x) for x in chars]
-    size = float(norm(np.array([len(c)]))[0])
-    for i in range(len(c)):
-        for j, k, x in _TRIPLES:
-            if i + k < len(c):
-                key = (c[i] * C + c[i + j]) * C + c[i + k]
-                out[key] = out.get(key, 0.0) + x / size
-    return out
+    for _, keys, x in _triples(chars, np.array([0, len(chars)])):
+        for key in keys.tolist():
+            out[key] = out.get(key, 0.0) + x
+    size = sum(x * x for x in out.values()) ** 0.5
+    return {key: x / size for key, x in out.items()}
 
 
 def kernel(rows: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
@@ -142,24 +148,45 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1
 class Model:
     """table: a weight for each three characters; bias; the logistic function of the highest decisions."""
 
+    #: Units whose decisions are held.
+    HELD = 400_000
+
     def __init__(self, table: np.ndarray, bias: float, logit: np.ndarray):
         self.table, self.bias, self.logit = table.astype(np.float32), bias, logit
+        self.known, self.values = _Hashes(), np.zeros(0)
+
+    def decide(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each unit, equal for equal units, and its decision, cut at -3 and 3; each distinct unit is decided once."""
+        if self.known.n > self.HELD:
+            self.known, self.values = _Hashes(), np.zeros(0)
+        h = unit_hashes(chars, first)
+        number = self.known.find(h).astype(np.int64)
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            _, where = np.unique(h[missing], return_index=True)
+            where = missing[np.sort(where)]
+            size = first[where + 1] - first[where]
+            own = np.concatenate(([0], np.cumsum(size)))
+            d = decisions(T.ragged(chars, first[where], size), own, self.table) + self.bias
+            self.known.add(h[where])
+            self.values = np.concatenate([self.values, np.clip(np.round(d, 4), -3, 3)])
+            number[missing] = self.known.find(h[missing])
+        return number, self.values[number]
 
     def top(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of each text the TOP highest decisions of different units, cut at -3 and 3."""
+        """Of each text the TOP highest decisions of different units."""
         rows = len(offsets) - 1
         chars, first, row = units(buf, offsets)
         out = np.full((rows, TOP), -3.0)
         if not len(row):
             return out
-        d = np.clip(np.round(decisions(chars, first, self.table) + self.bias, 4), -3, 3)
+        number, d = self.decide(chars, first)
         high = np.flatnonzero(d > -1.5)
-        high = high[np.lexsort((-d[high], row[high]))]
-        r, v = row[high], d[high]
-        new = np.concatenate(([True], (r[1:] != r[:-1]) | (v[1:] != v[:-1]))) if len(r) else np.zeros(0, bool)
+        high = high[np.lexsort((number[high], -d[high], row[high]))]
+        r, v, u = row[high], d[high], number[high]
+        new = np.concatenate(([True], (r[1:] != r[:-1]) | (u[1:] != u[:-1]))) if len(r) else np.zeros(0, bool)
         r, v = r[new], v[new]
-        head = np.searchsorted(r, r)
-        rank = np.arange(len(r)) - head
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
         ok = rank < TOP
         out[r[ok], rank[ok]] = v[ok]
         return out
@@ -205,11 +232,11 @@ def fit(texts: list[str], toxic: list[int], units_each: int = UNITS, landmarks:
         ends = first.tolist()
         per_row: dict[int, set] = {}
         for k, r in enumerate(row.tolist()):
-            per_row.setdefault(r, set()).add(data[ends[k] : min(ends[k + 1], ends[k] + 64)])
+            per_row.setdefault(r, set()).add(data[ends[k] : ends[k + 1]])
         for r, of in per_row.items():
             seen[int(y[a + r])].update(of)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    odds = {u: (n / n1) / ((seen[0][u] + 0.5) / n0) for u, n in seen[1].items() if n >= 3 and len(u) >= 5}
+    odds = {u: (n / n1) / ((seen[0][u] + 0.5) / n0) for u, n in seen[1].items() if n >= 3}
     bad = sorted((u for u, o in odds.items() if o >= 10), key=lambda u: (-seen[1][u], u))[:units_each]
     if not bad or n0 < 2:
         share = y.mean() if len(y) else 0.0
@@ -252,16 +279,18 @@ def fit(texts: list[str], toxic: list[int], units_each: int = UNITS, landmarks:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", documents: int = DOCUMENTS) -> Model:
-    """Fit on at most `documents` labelled texts of each class, chosen by a hash of their ids; crc32(id) mod FOLDS = 0 is never used."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", documents: int = DOCUMENTS, text_bytes: int = TEXT_BYTES) -> Model:
+    """Fit on at most `documents` labelled texts of each class, chosen by a hash of their ids among those of at most text_bytes
+    bytes, so what comes to the driver is bounded; crc32(id) mod FOLDS = 0 is never used."""
     usable = labels.where((F.crc32(F.col(id_col).cast("string")) % FOLDS != 0) & F.col(label_col).isin(0, 1))
     ids = usable.groupBy(F.col(id_col).alias("k__")).agg(F.max(label_col).alias("y__"))
+    fits = docs.select(F.col(id_col).alias("k__"), F.col(text_col).alias("t__")).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= text_bytes)
+    able = ids.join(fits.select("k__").distinct(), "k__")
     chosen = None
     for y in (0, 1):
-        some = ids.where(F.col("y__") == y).orderBy(F.xxhash64("k__")).limit(documents)
+        some = able.where(F.col("y__") == y).orderBy(F.xxhash64("k__")).limit(documents)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select(F.col(id_col).alias("k__"), F.col(text_col).alias("t__")).join(F.broadcast(chosen), "k__")
-    got = rows.orderBy(F.xxhash64("k__")).limit(2 * documents).collect()
+    got = fits.join(F.broadcast(chosen), "k__").orderBy(F.xxhash64("k__"), "t__").limit(2 * documents).collect()
     return fit([r["t__"] for r in got], [r["y__"] for r in got])
 
 
