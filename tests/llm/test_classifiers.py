@@ -64,10 +64,38 @@ def test_quality_held_out(spark):
 def test_quality_learns_no_held_out_or_negative_label(spark):
     rows, labels = corpus(120)
     docs = frame(spark, rows)
-    flip = [(i, 1 - g if zlib.crc32(str(i).encode()) % 5 == 0 else g, t) for i, g, t in labels]
     schema = "doc_id bigint, quality int, toxic int"
-    a, b = (quality.train(docs, spark.createDataFrame(x, schema)) for x in (labels, flip))
-    assert all(np.array_equal(p, q) for p, q in zip(a.p, b.p, strict=True))
+    flip = [(i, 1 - g if zlib.crc32(str(i).encode()) % 5 == 0 else g, t) for i, g, t in labels]
+    good = [x for x in labels if x[1] == 1]  # poor texts' labels aren't needed at all
+    a, *others = (quality.train(docs, spark.createDataFrame(x, schema)) for x in (labels, flip, good))
+    assert all(np.array_equal(p, q) for b in others for p, q in zip(a.p, b.p, strict=True))
+
+
+def test_prior_is_found_from_positives_and_unlabelled():
+    rng = np.random.default_rng(0)
+    for prior in (0.2, 0.5, 0.8):
+        n = 6000
+        good = rng.random(n) < prior
+        unl = rng.normal(0, 1, (n, 4)) + np.where(good[:, None], 1.5, -1.5)
+        pos = rng.normal(0, 1, (3000, 4)) + 1.5
+        assert abs(quality.estimated_prior(pos, unl) - prior) < 0.06
+
+
+def test_network_and_risk_by_definition():
+    """Scores are those of the plain network, and fitting lowers the non-negative risk as it is written."""
+    rng = np.random.default_rng(1)
+    pos, unl = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    for prior in (0.3, 0.9):
+        model = quality.Model(3, hidden=4, seed=int(prior * 10))
+        z = lambda x: np.tanh(x @ model.p[0] + model.p[1]) @ model.p[2] + model.p[3][0]  # noqa: E731, B023
+        assert np.allclose(model._forward(pos)[1], z(pos))
+        assert np.allclose(model.score(pos), 1 / (1 + np.exp(-z(pos))))
+        fitted = quality.Model(3, hidden=4, seed=2).fit(pos, unl, prior, steps=400)
+        loss = lambda v: np.log1p(np.exp(-v))
+        risk = lambda m: prior * loss(m._forward(m._scaled(pos))[1]).mean() + max(0, loss(-m._forward(m._scaled(unl))[1]).mean() - prior * loss(-m._forward(m._scaled(pos))[1]).mean())  # noqa: E731, B023
+        start = quality.Model(3, hidden=4, seed=2)
+        start.mean, start.scale = fitted.mean, fitted.scale
+        assert risk(fitted) < risk(start)
 
 
 def test_classifiers_on_empty_tables(spark):

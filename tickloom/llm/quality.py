@@ -2,8 +2,10 @@
 
 A small network g is fitted to the non-negative unbiased risk: with trusted positives P, unlabelled web text
 U and a class prior pi, the negatives' risk is R_U(-g) - pi R_P(-g), and where that falls below zero its
-gradient is reversed (Kiryo et al., 2017). Labels of poor texts are never trained on: they only give, with the
-good ones, the estimate of pi. A document's features are counts of its bytes, words and lines.
+gradient is reversed (Kiryo et al., 2017). Labels of poor texts are never used: pi is estimated from P and U
+alone. A network that tells P from U ranks both; wherever a share q of the positives ranks above a threshold, at
+least pi q of the unlabelled texts does, so the least ratio of the two shares, each within its sampling error, bounds
+pi (Garg et al., 2021). A document's features are counts of its bytes, words and lines.
 """
 
 from __future__ import annotations
@@ -110,8 +112,8 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self._forward(self._scaled(x))[1])
 
-    def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11) -> Model:
-        """Stochastic descent on the non-negative risk (Adam); the same samples give the same model."""
+    def fit(self, pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int = 1500, batch: int = 512, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11) -> Model:
+        """Stochastic descent on the non-negative risk (Adam); the same samples give the same model. No prior: plain pos against unl."""
         both = np.concatenate([pos, unl])
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-6
         pos, unl, rng = self._scaled(pos), self._scaled(unl), np.random.default_rng(seed)
@@ -120,8 +122,9 @@ class Model:
             xp, xu = pos[rng.integers(len(pos), size=batch)], unl[rng.integers(len(unl), size=batch)]
             hp, zp = self._forward(xp)
             hu, zu = self._forward(xu)
-            negative = _loss(-zu).mean() - prior * _loss(-zp).mean()
-            if negative >= 0:
+            if prior is None:
+                gp, gu = -_sigmoid(-zp) / batch, _sigmoid(zu) / batch
+            elif _loss(-zu).mean() >= prior * _loss(-zp).mean():
                 gp = (-prior * _sigmoid(-zp) - prior * _sigmoid(zp)) / batch
                 gu = _sigmoid(zu) / batch
             else:  # below zero the fit has begun to memorise: step back along the negatives' risk
@@ -141,6 +144,20 @@ class Model:
         return self
 
 
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, sure: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, within 0.05 and 0.95: a network is fitted on half of both, and the
+    threshold of the least bound is sought on the other half."""
+    if min(len(pos), len(unl)) < 20:
+        return 0.5
+    net = Model(pos.shape[1]).fit(pos[::2], unl[::2], None, steps=500)
+    p, u = np.sort(net.score(pos[1::2])), np.sort(net.score(unl[1::2]))
+    above = lambda x: 1 - np.searchsorted(x, p) / len(x)
+    error = np.sqrt(np.log(4 / sure) / 2 / len(u)) + np.sqrt(np.log(4 / sure) / 2 / len(p))
+    share_p, share_u = above(p), above(u)
+    best = int(np.argmin((share_u + error) / share_p))
+    return float(min(0.95, max(0.05, share_u[best] / share_p[best])))
+
+
 def _featured(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -157,26 +174,25 @@ def _featured(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on at most `positives` trusted rows and `unlabelled` documents, chosen by a hash of their ids.
 
-    Labels whose crc32(id) mod FOLDS is 0 are never used. The prior is the good rows' share among labelled
-    rows, kept within 0.05 and 0.95. Without any good row every document scores the prior.
+    Labels whose crc32(id) mod FOLDS is 0, and those of poor texts, are never used; the prior is estimated from both
+    samples. Both come out of one pass over the texts. Without any good row every document scores 0.5.
     """
-    usable = labels.where((F.crc32(F.col(id_col).cast("string")) % FOLDS != 0) & F.col(label_col).isin(0, 1))
-    counts = {r[0]: r[1] for r in usable.groupBy(label_col).count().collect()}
-    good, total = counts.get(1, 0), sum(counts.values())
-    prior = min(0.95, max(0.05, good / total)) if total else 0.5
-    chosen = usable.where(F.col(label_col) == 1).select(F.col(id_col).alias("k__")).distinct().orderBy(F.xxhash64("k__")).limit(positives)
+    usable = labels.where((F.crc32(F.col(id_col).cast("string")) % FOLDS != 0) & (F.col(label_col) == 1))
+    chosen = usable.select(F.col(id_col).alias("k__")).distinct().orderBy(F.xxhash64("k__")).limit(positives).withColumn("good__", F.lit(True))
     rows = docs.select(F.col(id_col).alias("k__"), F.col(text_col).alias("t__"))
-    pos = _featured(rows.join(F.broadcast(chosen), "k__"), "t__", ["k__"]).orderBy(F.xxhash64("k__")).limit(positives).collect()
     # a bounded share of the documents at random, by hash: about 1.2 times the bound, then cut to it
     share = min(1.0, 1.2 * unlabelled / max(1, docs.count()))
-    part = rows.where(F.pmod(F.xxhash64("k__", F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40)))
-    unl = _featured(part, "t__", ["k__"]).orderBy(F.xxhash64("k__", F.lit(2))).limit(unlabelled).collect()
+    drawn = F.pmod(F.xxhash64("k__", F.lit(1)), F.lit(1 << 40)) < int(share * (1 << 40))
+    part = rows.withColumn("drawn__", drawn).join(F.broadcast(chosen), "k__", "left").where("drawn__ or good__")
+    got = _featured(part, "t__", ["k__", "drawn__", "good__"]).withColumn("order__", F.xxhash64("k__", F.lit(2)))
+    got = sorted(got.limit(2 * (positives + 2 * unlabelled)).collect(), key=lambda r: (r.order__, r.x))
+    pos, unl = [r for r in got if r.good__][:positives], [r for r in got if r.drawn__][:unlabelled]
     model = Model(N_FEATURES)
     if not pos or not unl:
         model.p = [np.zeros_like(a) for a in model.p]
-        model.p[3][0] = np.log(prior / (1 - prior))
         return model
-    return model.fit(np.array([r.x for r in pos]), np.array([r.x for r in unl]), prior)
+    p, u = (np.array([r.x for r in rows]) for rows in (pos, unl))
+    return model.fit(p, u, estimated_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
