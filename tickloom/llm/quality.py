@@ -149,6 +149,8 @@ def estimated_prior(pos: np.ndarray, unl: np.ndarray, sure: float = 0.1) -> floa
     threshold of the least bound is sought on the other half."""
     if min(len(pos), len(unl)) < 20:
         return 0.5
+    rng = np.random.default_rng(3)
+    pos, unl = rng.permutation(pos), rng.permutation(unl)
     net = Model(pos.shape[1]).fit(pos[::2], unl[::2], None, steps=500)
     p, u = np.sort(net.score(pos[1::2])), np.sort(net.score(unl[1::2]))
     above = lambda x: 1 - np.searchsorted(x, p) / len(x)
