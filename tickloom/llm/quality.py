@@ -146,18 +146,21 @@ class Model:
 
 def estimated_prior(pos: np.ndarray, unl: np.ndarray, sure: float = 0.1) -> float:
     """The share of positives among unlabelled rows, within 0.05 and 0.95: a network is fitted on half of both, and the
-    threshold of the least bound is sought on the other half."""
+    threshold of the least bound is sought on the other half; then the other way round, and the mean is taken."""
     if min(len(pos), len(unl)) < 20:
         return 0.5
     rng = np.random.default_rng(3)
     pos, unl = rng.permutation(pos), rng.permutation(unl)
-    net = Model(pos.shape[1]).fit(pos[::2], unl[::2], None, steps=500)
-    p, u = np.sort(net.score(pos[1::2])), np.sort(net.score(unl[1::2]))
-    above = lambda x: 1 - np.searchsorted(x, p) / len(x)
-    error = np.sqrt(np.log(4 / sure) / 2 / len(u)) + np.sqrt(np.log(4 / sure) / 2 / len(p))
-    share_p, share_u = above(p), above(u)
-    best = int(np.argmin((share_u + error) / share_p))
-    return float(min(0.95, max(0.05, share_u[best] / share_p[best])))
+    bounds = []
+    for a, b in ((0, 1), (1, 0)):
+        net = Model(pos.shape[1]).fit(pos[a::2], unl[a::2], None, steps=500)
+        p, u = np.sort(net.score(pos[b::2])), np.sort(net.score(unl[b::2]))
+        above = lambda x: 1 - np.searchsorted(x, p) / len(x)  # noqa: B023, E731
+        error = np.sqrt(np.log(4 / sure) / 2 / len(u)) + np.sqrt(np.log(4 / sure) / 2 / len(p))
+        share_p, share_u = above(p), above(u)
+        best = int(np.argmin((share_u + error) / share_p))
+        bounds.append(share_u[best] / share_p[best])
+    return float(min(0.95, max(0.05, np.mean(bounds))))
 
 
 def _featured(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
