@@ -117,12 +117,17 @@ def quotes(changes: DataFrame) -> DataFrame:
 
 
 def percentiles(values: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Per key the element of rank floor(p / 100 * (n - 1)) of the sorted values, for each named p."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = values.select(*keys, value, (F.row_number().over(order) - 1).alias("rank__"), n.alias("n__"))
+    """Per key the element of rank floor(p / 100 * (n - 1)) of the sorted values, for each named p.
+
+    Equal values are counted first, before they move, so what is ranked are a key's distinct values.
+    """
+    counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c__"))
+    upto = F.sum("c__").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum("c__").over(Window.partitionBy(*keys))
+    ranked = counts.select(*keys, value, "c__", upto.alias("upto__"), n.alias("n__"))
     at = lambda p: F.floor(F.lit(p) / 100 * (F.col("n__") - 1))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.max(F.when(F.col("rank__") == at(p), F.col(value))).alias(name) for name, p in points.items()), F.max(value).alias("mx"))
+    here = lambda p: (at(p) < F.col("upto__")) & (at(p) >= F.col("upto__") - F.col("c__"))
+    return ranked.groupBy(*keys).agg(F.max("n__").alias("n"), *(F.max(F.when(here(p), F.col(value))).alias(name) for name, p in points.items()), F.max(value).alias("mx"))
 
 
 def block_averages(values: DataFrame, keys: list[str], order: str, value: str, size: int = 64) -> DataFrame:

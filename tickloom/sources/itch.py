@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -168,46 +168,59 @@ def write_wire(frames: DataFrame, folder: str, key: str = "sym", order: str = "s
     """A file of frames for each key, in order; a row for each: path, committed, dropped.
 
     With journal_capacity the file is a journal: a header page, then the frames while they fit; from the first that
-    doesn't, all are dropped and counted. A file is written under another name and renamed when it is whole.
+    doesn't, all are dropped and counted. A file is written under another name and renamed when it is whole. Frames
+    are written as they come: what a task holds is a batch.
     """
     capacity = journal_capacity
 
     def write(batches):
         from pyspark import TaskContext
 
-        system, base, out, now, said = None, None, None, None, []
+        system = base = out = now = None
+        said, held = [], []
+
+        def flush():
+            out.write(b"".join(held))
+            held.clear()
 
         def close():
-            if out is None:
-                return
-            data = b"".join(out["parts"])
-            head = b""
-            if capacity is not None:
-                head = struct.pack(JOURNAL_HEADER, JOURNAL_MAGIC, capacity, len(data), out["dropped"]).ljust(JOURNAL_DATA, b"\0")
-            temp = f"{base}/.{now}-{TaskContext.get().taskAttemptId()}.tmp"
-            with system.open_output_stream(temp) as f:
-                f.write(head + data)
-            system.move(temp, f"{base}/{now}.bin")
-            said.append((f"{folder}/{now}.bin", len(data), out["dropped"]))
+            if out is not None:
+                flush()
+                out.close()
+                system.move(temp(), f"{base}/{now}.bin")
+
+        def temp():
+            return f"{base}/.{now}-{TaskContext.get().taskAttemptId()}.tmp"
 
         for batch in batches:
-            for k, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            waiting = 0
+            for k, frame, upto, committed, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or k != now:
                     close()
                     if system is None:
                         system, base = open_fs(folder)
                         system.create_dir(base)
-                    now, out = k, {"parts": [], "size": 0, "dropped": 0}
-                if out["dropped"] or (capacity is not None and out["size"] + len(frame) > capacity):
-                    out["dropped"] += len(frame)
-                else:
-                    out["parts"].append(frame)
-                    out["size"] += len(frame)
+                    now = k
+                    out = system.open_output_stream(temp())
+                    said.append((f"{folder}/{now}.bin", committed, total - committed))
+                    if capacity is not None:
+                        held.append(struct.pack(JOURNAL_HEADER, JOURNAL_MAGIC, capacity, committed, total - committed).ljust(JOURNAL_DATA, b"\0"))
+                if upto <= committed:
+                    held.append(frame)
+                    waiting += len(frame)
+                    if waiting > 1 << 20:
+                        flush()
+                        waiting = 0
         close()
         if said:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*said, strict=True)], ["path", "committed", "dropped"])
 
-    rows = frames.repartition(key).sortWithinPartitions(key, order).select(key, "frame")
+    of = Window.partitionBy(key)
+    upto = F.sum(F.octet_length("frame")).over(of.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = frames.select(key, order, "frame").repartition(key).sortWithinPartitions(key, order).withColumn("upto", upto)
+    fits = F.col("upto") if capacity is None else F.when(F.col("upto") <= capacity, F.col("upto"))
+    rows = rows.withColumn("committed", F.coalesce(F.max(fits).over(of), F.lit(0).cast("bigint"))).withColumn("total", F.max("upto").over(of))
+    rows = rows.sortWithinPartitions(key, order).select(key, "frame", "upto", "committed", "total")
     return rows.mapInArrow(write, "path string, committed bigint, dropped bigint")
 
 
