@@ -5,8 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.sources.scratch import staged
+
 #: Messages' seq are cut into ranges of so many when levels are joined to the messages that they last for.
 SEQ_RANGE = 2048
+#: What runs on over a sym's messages does so within ranges of so many seq, each a task's, and from range to range.
+RUN_RANGE = 65_536
+
+
+def running(rows: DataFrame, sums: dict[str, Column], key: str = "sym", order: str = "seq", width: int | None = None) -> DataFrame:
+    """rows with the sum of each of `sums` over the key's rows up to and with each row, in order.
+
+    Ranges of order are summed first; those sums run on over a table of one row a range, and rows within their range. So
+    a key of any length is shared by many tasks. rows is read twice.
+    """
+    part = F.expr(f"{order} div {width or RUN_RANGE}")
+    rows = rows.withColumns({"part__": part} | {f"{c}__": x for c, x in sums.items()})
+    total = rows.groupBy(key, "part__").agg(*(F.sum(f"{c}__").alias(c) for c in sums))
+    earlier = Window.partitionBy(key).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    start = total.select(key, "part__", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}__from") for c in sums))
+    within = Window.partitionBy(key, "part__").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({c: F.sum(f"{c}__").over(within) for c in sums}).join(start, [key, "part__"])
+    return placed.withColumns({c: (F.col(c) + F.col(f"{c}__from")).cast("bigint") for c in sums}).drop("part__", *(f"{c}__" for c in sums), *(f"{c}__from" for c in sums))
+
+
+def before(rows: DataFrame, columns: dict[str, str], key: str = "sym", order: str = "seq", skip_nulls: bool = False, width: int | None = None) -> DataFrame:
+    """rows with the value that each of `columns` (name -> source) had in the key's row before, or in the last one where
+    it wasn't null; null at first. By ranges, like running(); rows is read twice."""
+    rows = rows.withColumn("part__", F.expr(f"{order} div {width or RUN_RANGE}"))
+    value = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))) if skip_nulls else F.struct(F.col(c).alias("v"))
+    last = rows.groupBy(key, "part__").agg(*(F.max_by(value(c), F.when(value(c).isNotNull(), F.col(order))).alias(out) for out, c in columns.items()))
+    parts = Window.partitionBy(key).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(key, "part__", *(F.last(out, ignorenulls=True).over(parts).alias(f"{out}__") for out in columns))
+    here = Window.partitionBy(key, "part__").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumns({out: F.last(value(c), ignorenulls=True).over(here) for out, c in columns.items()}).join(carry, [key, "part__"])
+    return found.withColumns({out: F.coalesce(out, f"{out}__")["v"] for out in columns}).drop("part__", *(f"{out}__" for out in columns))
 
 
 def remaining(tape: DataFrame) -> DataFrame:
@@ -71,22 +104,23 @@ EMPTY = {"bid_px": -1, "bid_qty": 0, "ask_px": -1, "ask_qty": 0}
 
 
 def top_changes(top: DataFrame) -> DataFrame:
-    """Rows where the top differs from the one before, with those before (last_*) and a running number pub_seq."""
-    order = Window.partitionBy("sym").orderBy("seq")
-    rows = top.select("*", *(F.lag(c, 1, EMPTY[c]).over(order).cast("bigint").alias(f"last_{c}") for c in TOP))
-    changed = rows.where(~(F.struct(*TOP) == F.struct(*(F.col(f"last_{c}").alias(c) for c in TOP))))
-    return changed.withColumn("pub_seq", F.row_number().over(order).cast("bigint"))
-
-
-def signals(changes: DataFrame) -> DataFrame:
-    """sym, seq, pub_seq, top, ofi (running), micro_px (1/256 tick, truncated toward zero)."""
+    """Rows where the top differs from the one before, with those before (last_*), a running number pub_seq and the running
+    order-flow imbalance ofi. The tops are staged, since they are read again for what runs on from range to range."""
+    rows = before(staged(top.select("sym", "seq", F.struct(*TOP).alias("top")), "tops"), {"was": "top"})
+    empty = F.struct(*(F.lit(EMPTY[c]).cast("bigint").alias(c) for c in TOP))
+    rows = staged(rows.withColumn("was", F.coalesce("was", empty)).where("top <> was"), "changes")
+    rows = rows.select("sym", "seq", "top.*", *(F.col(f"was.{c}").alias(f"last_{c}") for c in TOP))
     on = lambda c, x: c.cast("int").cast("bigint") * x
     bp, bq, ap, aq = (F.col(c) for c in TOP)
     lbp, lbq, lap, laq = (F.col(f"last_{c}") for c in TOP)
     flow = on(bp >= lbp, bq) - on(bp <= lbp, lbq) - on(ap <= lap, aq) + on(ap >= lap, laq)
-    running = Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return running(rows, {"pub_seq": F.lit(1), "ofi": flow})
+
+
+def signals(changes: DataFrame) -> DataFrame:
+    """sym, seq, pub_seq, top, ofi (running), micro_px (1/256 tick, truncated toward zero)."""
     micro = F.expr("((bid_px * ask_qty + ask_px * bid_qty) * 256) div (bid_qty + ask_qty + if(bid_qty + ask_qty = 0, 1, 0))")
-    return changes.select("sym", "seq", "pub_seq", *TOP, F.sum(flow).over(running).alias("ofi"), micro.alias("micro_px"))
+    return changes.select("sym", "seq", "pub_seq", *TOP, "ofi", micro.alias("micro_px"))
 
 
 def conflate(updates: DataFrame, every: int) -> DataFrame:
@@ -109,9 +143,8 @@ def quotes(changes: DataFrame) -> DataFrame:
         "B": F.when(F.col("bid_px") >= 0, F.when(pressure, F.col("bid_px")).otherwise(F.col("bid_px") - 1)),
         "S": F.when(F.col("ask_px") >= 0, F.when(pressure, F.col("ask_px") + 1).otherwise(F.col("ask_px"))),
     }
-    before = Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     wide = changes.select("sym", "seq", *(w.alias(s) for s, w in want.items()))
-    wide = wide.select("*", *(F.last(s, ignorenulls=True).over(before).alias(f"last_{s}") for s in want))
+    wide = before(wide, {f"last_{s}": s for s in want}, skip_nulls=True)
     sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("price"), F.col(f"last_{s}").alias("last")) for s in want))).alias("q")
     return wide.select("sym", "seq", sides).select("sym", "seq", "q.*").where("price is not null and not (price <=> last)").drop("last")
 
@@ -132,8 +165,8 @@ def percentiles(values: DataFrame, keys: list[str], value: str, points: dict[str
 
 def block_averages(values: DataFrame, keys: list[str], order: str, value: str, size: int = 64) -> DataFrame:
     """Per key and block of `size` rows in order: the sum divided by size, whole blocks only."""
-    numbered = values.withColumn("i__", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    return numbered.groupBy(*keys, F.expr(f"i__ div {size}").alias("block")).agg(F.count(F.lit(1)).alias("n__"), F.sum(value).alias("s__")).where(f"n__ = {size}").select(*keys, F.col("block").cast("bigint"), F.expr(f"s__ div {size}").alias("average"))
+    numbered = running(values, {"i__": F.lit(1)}, keys[0], order) if len(keys) == 1 else values.withColumn("i__", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return numbered.groupBy(*keys, F.expr(f"(i__ - 1) div {size}").alias("block")).agg(F.count(F.lit(1)).alias("n__"), F.sum(value).alias("s__")).where(f"n__ = {size}").select(*keys, F.col("block").cast("bigint"), F.expr(f"s__ div {size}").alias("average"))
 
 
 def neighbour_levels(probes: DataFrame, levels: DataFrame) -> DataFrame:
@@ -162,20 +195,19 @@ def ref_lookups(tape: DataFrame) -> DataFrame:
     gone = F.coalesce(F.max((F.col("type") == "D").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = tape.select("sym", "seq", "type", "ref", F.first("qty").over(order).alias("shares"), gone.alias("gone"))
     change = F.when(F.col("type") == "A", 1).when((F.col("type") == "D") & (F.col("gone") == 0), -1).otherwise(0).cast("bigint")
-    live = F.sum(change).over(Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("sym", "seq", "type", "ref", F.when(F.col("gone") == 0, F.col("shares")).otherwise(0).cast("bigint").alias("value"), live.alias("live")).where("type <> 'A'").drop("type")
+    rows = running(rows, {"live": change})
+    return rows.select("sym", "seq", "type", "ref", F.when(F.col("gone") == 0, F.col("shares")).otherwise(0).cast("bigint").alias("value"), "live").where("type <> 'A'").drop("type")
 
 
 def map_history(tape: DataFrame) -> DataFrame:
     """sym, seq, key, value, size: what each message finds under its key in its sym's map (0 if nothing), and the map's size
     after it. A puts its qty, over what is there; D erases; others only look."""
-    before = Window.partitionBy("sym", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.last(F.when(F.col("type").isin("A", "D"), F.struct("type", "qty")), ignorenulls=True).over(before)
+    earlier = Window.partitionBy("sym", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last(F.when(F.col("type").isin("A", "D"), F.struct("type", "qty")), ignorenulls=True).over(earlier)
     rows = tape.select("sym", "seq", "type", "key", held.alias("held"))
     there = F.coalesce(F.col("held.type") == "A", F.lit(False))
     change = F.when((F.col("type") == "A") & ~there, 1).when((F.col("type") == "D") & there, -1).otherwise(0).cast("bigint")
-    size = F.sum(change).over(Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("sym", "seq", "key", F.when(there, F.col("held.qty")).otherwise(0).cast("bigint").alias("value"), size.alias("size"))
+    return running(rows, {"size": change}).select("sym", "seq", "key", F.when(there, F.col("held.qty")).otherwise(0).cast("bigint").alias("value"), "size")
 
 
 def risk_mask(price: Column, qty: Column, max_qty: int, low: int, high: int) -> Column:

@@ -158,9 +158,8 @@ def w8_quotes(spark, sf_dir):
 
 
 def _gaps(spark, sf_dir):
-    order = Window.partitionBy("sym").orderBy("seq")
     tape = events(spark, sf_dir).select((F.col("user_id") % 4).cast("int").alias("sym"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return tape.withColumn("gap", F.col("us") - F.lag("us").over(order)).where("gap is not null").select("sym", "seq", "gap")
+    return S.before(tape, {"was": "us"}).withColumn("gap", F.col("us") - F.col("was")).where("gap is not null").select("sym", "seq", "gap")
 
 
 GAPS = "WITH g AS (SELECT CAST(user_id % 4 AS INTEGER) AS sym, event_id AS seq, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS gap FROM events)"

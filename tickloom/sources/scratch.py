@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{path}/{name}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once, and nothing to compute again when an executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _delete(path: str) -> None:
     try:
         fs, place = open_fs(path)

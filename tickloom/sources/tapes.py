@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tickloom.operators.set_based import running
 
 MID = 1_032_768
 BASE = 1_000_000
@@ -26,11 +27,9 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _with_targets(typed: DataFrame) -> DataFrame:
     """Each row with c, the adds of its sym so far, and the ref of the add it aims at (its own for an add).
 
-    The aim is the add of ordinal c - k % 16, at least the first. One hash partitioning by sym serves the count
-    and the join.
+    The aim is the add of ordinal c - k % 16, at least the first.
     """
-    so_far = Window.partitionBy("sym").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    counted = typed.withColumn("c", F.sum((F.col("type") == "A").cast("bigint")).over(so_far))
+    counted = running(typed, {"c": (F.col("type") == "A").cast("bigint")})
     adds = counted.where(F.col("type") == "A").select("sym", F.col("c").alias("aim"), (F.col("seq") + 1).alias("ref"))
     aim = F.when(F.col("type") == "A", F.col("c")).otherwise(F.greatest(F.lit(1).cast("bigint"), F.col("c") - F.col("k") % 16))
     return counted.where("c > 0").withColumn("aim", aim).join(adds, ["sym", "aim"])
