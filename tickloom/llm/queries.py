@@ -10,18 +10,21 @@ from .common import documents
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents; a row for each pair, none for tables that are empty."""
     from .decontam import find_leaks
 
     return find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and near-duplicate component."""
     from .jaccard import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, by a model fitted on rows that aren't held out."""
     from .quality import score, train
 
     docs = documents(spark, sf_dir)
@@ -29,18 +32,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of repeated runs of lines, and how many lines went."""
     from .line_dedup import line_dedup
 
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_deleted")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 ids."""
     from .packing import pack
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40, its slot there, and its shard of 41, by the law `key`."""
     from .sharding import grown, shard_rows, uniform_tree
 
     tree = uniform_tree(40)
@@ -49,12 +55,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and a digest of the base matches, and all spans."""
     from .pii import find
 
     return find(documents(spark, sf_dir))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score, by a model fitted on rows that aren't held out."""
     from .toxicity import score, train
 
     docs = documents(spark, sf_dir)
@@ -62,12 +70,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum of ids, read back from bit-packed files."""
     from .token_file import round_trip
 
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's exact-duplicate group: which row stays, and the group's size."""
     from .exact_dedup import exact_dedup
 
     return exact_dedup(documents(spark, sf_dir))

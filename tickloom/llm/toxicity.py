@@ -285,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where((F.crc32(F.col(id_col).cast("string")) % FOLDS != 0) & F.col(label_col).isin(0, 1))
     ids = usable.groupBy(F.col(id_col).alias("k__")).agg(F.max(label_col).alias("y__"))
     fits = docs.select(F.col(id_col).alias("k__"), F.col(text_col).alias("t__")).where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= text_bytes)
-    able = ids.join(fits.select("k__").distinct(), "k__")
+    able = ids.join(fits.select("k__"), "k__", "left_semi")
     chosen = None
     for y in (0, 1):
         some = able.where(F.col("y__") == y).orderBy(F.xxhash64("k__")).limit(documents)
