@@ -32,7 +32,7 @@ SHINGLE, PERCENT = 5, 80
 #: Shared shingles a class in the first round; shingles in one bucket of the search for shared ones.
 FIRST, BUCKET_TOKENS = 6, 500_000
 #: Rows and shingles of the sets (16 MB) of a block, and the most blocks that a group is cut into for its rows; a cell holds two.
-CELL_ROWS, CELL_TOKENS, MOST_BLOCKS = 256, 2_000_000, 64
+CELL_ROWS, CELL_TOKENS, MOST_BLOCKS = 128, 2_000_000, 64
 #: So many possible pairs a row of a cell, at most, are taken out of it.
 FEW = 2
 #: Rows of a group that are compared by their exact sizes; classes of a shingle that is put last as well.
@@ -85,6 +85,8 @@ def _described(rows: DataFrame, shingle: int) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(cid, pa.int64()), blank, blank], names)
         if held:
             yield counted(held)
+        held = None
+        T.settle()
 
     names = ["id", "th", "n", "cid", "t", "c"]
     both = staged(rows.mapInArrow(run, ", ".join(f"{x} bigint" for x in names)), "described")
@@ -230,6 +232,8 @@ def _sets_of(asked: DataFrame, rows: DataFrame, described: DataFrame, shingle: i
                     out, size = [], 0
             if out:
                 yield packed(out)
+        batch = out = None
+        T.settle()
 
     def packed(out: list[tuple]):
         return pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["cid", "s"])
@@ -266,6 +270,8 @@ def _linked(cells: DataFrame, rows: DataFrame, described: DataFrame, shingle: in
             if got:
                 i, j = np.array(got).T
                 yield pa.RecordBatch.from_arrays([pa.array(cid[i]), pa.array(cid[j])], ["a", "b"])
+        cell = sets = None
+        T.settle()
 
     return staged(_by_cell(full, "s").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 

@@ -53,6 +53,7 @@ def _document_lines(docs: DataFrame) -> DataFrame:
                 cut = pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32())
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.ListArray.from_arrays(cut, pa.array(ids)), pa.ListArray.from_arrays(cut, pa.array(words))], ["id", "th", "ids", "words"])
+        T.settle()
 
     lines = docs.select("id", "th", "text").mapInArrow(run, "id bigint, th bigint, ids array<bigint>, words array<int>").where("size(ids) > 0")
     once = lines.groupBy("id", "th").agg(F.first("ids").alias("ids"), F.first("words").alias("words"))

@@ -215,6 +215,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for a, b in T.slices(off):
                 out[a:b] = held.score(features(buf[off[a] : off[b]], off[a : b + 1] - off[a]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["id", "score", "predicted"])
+        T.settle()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, "id bigint, score double, predicted int")
@@ -238,5 +239,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             for a, b in T.slices(off):
                 keep[a:b] = held.score(features(buf[off[a] : off[b]], off[a : b + 1] - off[a])) >= threshold
             yield batch.filter(pa.array(keep))
+        T.settle()
 
     return docs.mapInArrow(run, docs.schema)

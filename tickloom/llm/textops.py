@@ -35,6 +35,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["f"][:n], _pow["i"][:n]
 
 
+def settle() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on, and their peaks would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U(33))
     h = h * U(0xFF51AFD7ED558CCD)
