@@ -93,14 +93,20 @@ def norm(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(key[head] // C**3, square, len(first) - 1))
 
 
+#: Characters whose subsequences are worked on at once: about 100 MB.
+CHARS = 1 << 17
+
+
 def decisions(chars: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The sum over each unit's subsequences of the table's weights, divided by the unit's norm."""
-    if len(first) < 2:
-        return np.zeros(0, np.float32)
-    at = np.zeros(len(chars))
-    for where, key, x in _triples(chars, first):
-        at[where] += table[key] * x
-    return (np.add.reduceat(at, first[:-1]) / norm(chars, first)).astype(np.float32)
+    """The sum over each unit's subsequences of the table's weights, divided by the unit's norm; some units at a time."""
+    out = [np.zeros(0, np.float32)]
+    for a, b in T.slices(first, CHARS):
+        part, own = chars[first[a] : first[b]], first[a : b + 1] - first[a]
+        at = np.zeros(len(part))
+        for where, key, x in _triples(part, own):
+            at[where] += table[key] * x
+        out.append((np.add.reduceat(at, own[:-1]) / norm(part, own)).astype(np.float32))
+    return np.concatenate(out)
 
 
 def feature(chars: np.ndarray) -> dict[int, float]:
