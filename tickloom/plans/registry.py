@@ -9,7 +9,7 @@ from tickloom.functions import scalars
 from tickloom.operators import kernel
 from tickloom.operators import set_based as S
 from tickloom.sources import itch
-from tickloom.sources.scratch import scratch
+from tickloom.sources.scratch import scratch, staged
 from tickloom.sources.tapes import BASE, CROSS_SQL, MID, WIRE_SQL, cross_tape, events, wire_tape
 
 QUERIES: dict = {}
@@ -353,9 +353,9 @@ def t1_stream_signals(spark, sf_dir):
     """The same from micro-batches, with each sym's book as state."""
     from tickloom.streaming.book_stream import run_available
 
-    tape = wire_tape(spark, sf_dir)
+    tape = staged(wire_tape(spark, sf_dir), "whole")
     source = scratch(spark, "tape")
-    first = tape.agg(F.max("seq")).first()[0] // 2
+    first = (tape.agg(F.max("seq")).first()[0] or 0) // 2
     for part in (tape.where(F.col("seq") <= first), tape.where(F.col("seq") > first)):  # two micro-batches, in order
         part.coalesce(1).write.mode("append").parquet(source)
     return run_available(spark, source, scratch(spark, "signals"), tape.schema)
