@@ -3,8 +3,10 @@
 import pickle
 import random
 
+import pytest
 from tickloom.operators.book import Book, signals
-from tickloom.streaming.book_stream import stream_signals
+from tickloom.plans.registry import QUERIES
+from tickloom.streaming.book_stream import drain, stream_signals
 
 TAPE = "sym int, seq bigint, type string, ref bigint, side string, price bigint, qty bigint"
 
@@ -66,3 +68,37 @@ def test_messages_of_a_stream_keep_64_bits(spark, tmp_path):
     for sym, at, tops in ((0, [0, 1, 3], [(far, 7, -1, 0), (far, 5, -1, 0), (-1, 0, -1, 0)]), (1, [2], [(-1, 0, far + 2, 4)])):
         want += [(sym, seq, s[6], *s[:6]) for seq, s in zip(at, signals(tops), strict=True)]
     assert got == want
+
+
+def test_drain_folds_each_message_once(spark, tmp_path):
+    """Whatever tap and consumer do with a batch: rows are counted where they come out of the fold."""
+    for low in (0, 500):
+        rows = [(n % 2, n, "A", n + 1, "B", 1000 + n, 5) for n in range(low, low + 500)]
+        spark.createDataFrame(rows, TAPE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/tape")
+    log = f"{tmp_path}/folded"
+
+    def counted(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    updates = stream_signals(spark.readStream.schema(TAPE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/tape"))
+    consumed, tapped = [], []
+    drain(updates.mapInArrow(counted, updates.schema), lambda b, n: consumed.append((n, [tuple(r) for r in b.collect()])), f"{tmp_path}/state", lambda b, n: tapped.append((n, b.count(), len(b.collect())))).awaitTermination()
+    assert tapped == [(0, 500, 500), (1, 500, 500)]
+    assert [n for n, _ in consumed] == [0, 1] and all([(r[0], r[2]) for r in b] == [(s, p) for s in (0, 1) for p in range(250 * n + 1, 250 * n + 251)] for n, b in consumed)
+    with open(log) as f:
+        assert len(f.read()) == 1000
+
+
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_stream_queries_on_odd_ids(spark, tmp_path, n):
+    """No event at all, one, and ids below zero."""
+    rows = [(k - 20, 4 * k + k % 2, ["view", "click", "error", "signup", "view"][k % 5], 1.5 + k, f'{{"k": {k}}}') for k in range(n)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string")
+    df.selectExpr("event_id", "timestamp_ntz '2024-01-01' ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    want = {tuple(r) for r in QUERIES["m10_kernel_signals"](spark, str(tmp_path)).collect()}
+    assert {tuple(r) for r in QUERIES["t1_stream_signals"](spark, str(tmp_path)).collect()} == want and bool(want) == bool(n)
+    got = {r.sym: (r.updates, r.journalled, r.last_pub) for r in QUERIES["t5_drain_and_tap"](spark, str(tmp_path)).collect()}
+    assert got == {s: (k, k, k) for s in {r[0] for r in want} for k in [sum(r[0] == s for r in want)]}

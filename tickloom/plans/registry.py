@@ -654,10 +654,11 @@ def t5_drain_and_tap(spark, sf_dir):
     """A stream of updates drained by a consumer, and a tap that journals each batch before it; both complete and in order."""
     from tickloom.streaming.book_stream import drain, stream_signals
 
-    tape, source, got = wire_tape(spark, sf_dir), scratch(spark, "tape"), scratch(spark, "drained")
-    cuts = [r.q for r in tape.agg(F.expr("explode(percentile_approx(seq, array(0.3, 0.6, 1.0)))").alias("q")).collect()]
-    for low, high in zip([-1, *cuts[:-1]], cuts, strict=True):  # micro-batches, in order
-        tape.where(F.col("seq").between(low + 1, high)).coalesce(1).write.mode("append").parquet(source)
+    tape, source, got = staged(wire_tape(spark, sf_dir), "whole"), scratch(spark, "tape"), scratch(spark, "drained")
+    cuts = [r.q for r in tape.agg(F.expr("explode(percentile_approx(seq, array(0.3, 0.6)))").alias("q")).collect()]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):  # micro-batches, in order
+        inside = (F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high)
+        tape.where(inside).coalesce(1).write.mode("append").parquet(source)
     updates = stream_signals(spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", 1).parquet(source))
     write = lambda kind: lambda batch, number: batch.write.mode("overwrite").parquet(f"{got}/{kind}/batch={number}")
     drain(updates, write("consumed"), f"{got}-checkpoint", write("journal")).awaitTermination()

@@ -104,12 +104,17 @@ def paced(spark: SparkSession, messages_a_second: int, burst: int | None = None)
 
 def drain(updates: DataFrame, consume, checkpoint: str, tap=None):
     """Start a consumer of every update: consume(batch in order of sym and pub_seq, number); tap gets the batch first
-    (a journal, say). A batch comes again after a failure with the same number, so consumers can tell."""
+    (a journal, say). A batch comes again after a failure with the same number, so consumers can tell. It is kept while
+    both use it, since each use (sorting counts as one) would fold its messages anew."""
 
     def each(batch: DataFrame, number: int) -> None:
-        if tap is not None:
-            tap(batch, number)
-        consume(batch.orderBy("sym", "pub_seq"), number)
+        batch.persist()
+        try:
+            if tap is not None:
+                tap(batch, number)
+            consume(batch.orderBy("sym", "pub_seq"), number)
+        finally:
+            batch.unpersist()
 
     return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
