@@ -175,3 +175,71 @@ def bitmap_at(tokens, bits):
     out = np.zeros(bits, np.uint8)
     out[(tokens & np.uint64(bits - 1)).astype(int)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def test_second_round_sends_whole_sets_of_likely_pairs_only(spark, monkeypatch):
+    """Sets that share a little less than asked go no further than their digests, and tables read for the last time go."""
+    rng = random.Random(3)
+    rows = []
+    for f in range(30):
+        base = [f"f{f}w{k}" for k in range(300)]
+        for _ in range(2):
+            now = list(base)
+            at = rng.randrange(60, 100)
+            now[at : at + 40] = [f"x{rng.getrandbits(40)}" for _ in range(40)]  # 252 of 340 shingles in common, or a few more
+            rows.append((len(rows), " ".join(now)))
+        if f % 10 == 0:
+            rows.append((len(rows), " ".join([*base[:-1], "other"])))
+            rows.append((len(rows), " ".join(base)))
+    sent, tables, linked, staged = [], [], jaccard._linked, jaccard.staged
+
+    def counted(cells, *more):
+        sent.append(cells.count())
+        return linked(cells, *more)
+
+    def noted(df, name):
+        tables.append((name, out := staged(df, name)))
+        return out
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    monkeypatch.setattr(jaccard, "staged", noted)
+    monkeypatch.setattr(jaccard, "FIRST", 0)
+    got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
+    assert got == brute(rows)
+    sets = [shingle_set(t) for _, t in rows]
+    near = sum(100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert sent[0] == 0
+    assert 0 < sent[1] <= 2 * near
+    for name, table in tables:
+        if name in ("wide", "token_rows", "placed"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+            assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path), name
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([(1, 1), (5, 30), (300, 310), (40, 300), (5000, 5200)]), st.integers(0, 100))
+def test_digests_never_show_less_than_sets_share(seed, sizes, percent):
+    rng = random.Random(seed)
+    few = [rng.getrandbits(64) for _ in range(sizes[1] * 2)]
+    few += [x ^ rng.getrandbits(40) << 24 for x in few[: len(few) // 3]]  # alike in their lowest bits
+    a, b = (np.sort(np.array(sorted({*few[: n * percent // 100], *rng.sample(few, n)})[:n], np.uint64)) for n in sizes)
+    shared = jaccard.in_common(a, b)
+    assert shared == len(set(a.tolist()) & set(b.tolist()))
+    for wide in (1, 100, 10**6):
+        x, y = jaccard.digest(a, wide), jaccard.digest(b, wide)
+        assert (len(x), len(y)) == (len(a), len(b))
+        assert np.array_equal(bitmap(x.astype(np.uint64)), bitmap(a))
+        if x.dtype != y.dtype:
+            x, y = (np.sort(z.astype(np.uint16)) for z in (x, y))
+        assert len(np.unique(jaccard.ranked(x))) == len(x)
+        got = jaccard.in_common(jaccard.ranked(x), jaccard.ranked(y))
+        assert shared <= got <= min(len(a), len(b))
+
+
+def test_digests_of_all_kinds_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FIRST", 0)
+    monkeypatch.setattr(jaccard, "WIDE", 60)
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    rows = corpus(11)
+    got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in jaccard.jaccard_components(frame(spark, rows)).collect())
+    assert got == brute(rows)

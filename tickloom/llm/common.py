@@ -54,7 +54,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     bounded_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table, as staged() gave it, that nothing will read again."""
+    _delete(table.sparkSession, table.staged_at)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -86,17 +93,24 @@ def meet_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFram
     Hot groups are broadcast, fewer than HOT_SHARE rows by their definition, so their rows stay where they are;
     the others meet their rows by a shuffle of small groups.
     """
+    in_hot, others = met_apart(rows, groups, keys)
+    return in_hot.unionByName(others)
+
+
+def met_apart(rows: DataFrame, groups: DataFrame, keys: list[str], nulls: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of meet_groups in two parts, hot groups and others. Without nulls among the keys, the others may stay where
+    their keys brought them: a repartition by the same keys moves nothing."""
     total = groups.agg(F.sum("n__")).first()[0] or 0
     hot_from = int(total) // HOT_SHARE + 1
     hot = groups.where(F.col("n__") > hot_from)
     extra = [c for c in groups.columns if c not in keys]
     names = {k: f"{k}__key" for k in keys}
-    match = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    match = [F.col(k).eqNullSafe(F.col(names[k])) if nulls else F.col(k) == F.col(names[k]) for k in keys]
     marked = rows.join(F.broadcast(hot.withColumnsRenamed(names)), match, "left")
     in_hot = marked.where("n__ is not null").select(*rows.columns, *extra)
     rest = marked.where("n__ is null").select(*rows.columns)
     cold = groups.where(F.col("n__") <= hot_from).withColumnsRenamed(names)
-    return in_hot.unionByName(rest.join(cold, match).select(*rows.columns, *extra))
+    return in_hot, rest.join(cold, match).select(*rows.columns, *extra)
 
 
 def fresh(columns: list[str], *bases: str) -> list[str]:

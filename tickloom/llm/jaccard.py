@@ -10,12 +10,14 @@ first, and gives a link where it joins two components of the cell: never more li
 Two rounds keep large groups of near copies linear. The first takes a few shared shingles a class, and a group's
 blocks each for itself; its links make components. The second takes all shingles that classes of different
 components share and all pairs of blocks that aren't of one component, so no link between components is missed.
+Few of its possible pairs are links, so digests of the sets go to the cells first, and whole sets for what they leave.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import fresh, meet_groups, partitions_for, staged, with_groups, with_maybe
+from .common import discard, fresh, meet_groups, met_apart, partitions_for, staged, with_groups, with_maybe
 from .components import components
 from .signature_tree import Tree, bitmap, needed
 
@@ -35,6 +37,8 @@ FIRST, BUCKET_TOKENS = 6, 500_000
 CELL_ROWS, CELL_TOKENS, MOST_BLOCKS = 128, 2_000_000, 64
 #: So many possible pairs a row of a cell, at most, are taken out of it.
 FEW = 2
+#: A digest has 16 bits of each shingle of a set of fewer shingles, 32 of others.
+WIDE = 4096
 #: Rows of a group that are compared by their exact sizes; classes of a shingle that is put last as well.
 COMPARED, VERY_COMMON = 500, 2000
 #: Bits of the filter of shared shingles: so many each, and 32 MB at most; beyond, more unshared ones pass it for a while.
@@ -156,40 +160,29 @@ def _by_cell(rows: DataFrame, more: str) -> DataFrame:
     return rows.select(*CELL_COLUMNS, more).repartition("g", "cell_i", "cell_j").sortWithinPartitions("g", "cell_i", "cell_j", "side", "n", "cid")
 
 
-def _paired(cells: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """Staged rows of cells that are left to be verified, by a tree of bitmaps for each cell (two if it has two sides).
+FOUND = f"{CELL}, cid2 bigint, comp2 bigint, n2 bigint"
+FOUND_COLUMNS = [x.split()[0] for x in FOUND.split(", ")]
 
-    left is how many shingles a class has from the one that brought it here. Two classes alike meet at the first
-    shingle that they share, and from there on neither can share more: that caps what the tree lets pass. Where a
-    cell's possible pairs are few for its rows, they are taken out of it, each once however many cells have it, and make
-    cells of their own: a class and those that it may be alike. Other cells keep the rows that are in a pair.
-    """
-    cells = staged(cells, "cells")
-    need = staged(cells.select("cid").distinct(), "needed")
-    bits = wide.select("cid", "bits").join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "cid", "left_semi").groupBy("cid").agg(F.first("bits").alias("bits"))
 
-    def run(batches):
-        for cell in _cells(batches):
-            if cell.num_rows < 2:
-                continue
-            side, cid, comp, n, left = _columns(cell)
-            cut = int(np.searchsorted(side, 1))
-            maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column(8)]
-            pairs = Tree(n, maps, comp, percent, left, cut if cut < len(side) else None).pairs()
-            if not len(pairs):
-                continue
-            rows = np.unique(pairs)
-            if len(pairs) <= FEW * len(rows):
-                i, j = pairs.T
-                none = pa.nulls(len(pairs), pa.int64())
-                ends = [pa.array(x) for x in (cid[i], comp[i], n[i])], [pa.array(x) for x in (cid[j], comp[j], n[j])]
-                yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int32()), *ends[0], none, *ends[1]], names)
-            else:
-                kept = cell.select(CELL_COLUMNS).take(pa.array(rows)).combine_chunks()
-                yield from pa.table([*kept.columns, *[pa.nulls(len(rows), pa.int64())] * 3], names).to_batches()
-
-    names = [*CELL_COLUMNS, "cid2", "comp2", "n2"]
-    found = staged(_by_cell(cells.join(bits, "cid"), "bits").mapInArrow(run, f"{CELL}, cid2 bigint, comp2 bigint, n2 bigint"), "possible")
+def _kept(cell: pa.Table, pairs: np.ndarray, few: int) -> Iterator[pa.RecordBatch]:
+    """What goes on of a cell, given its possible pairs: those pairs where they are few for its rows, else the rows in one."""
+    if not len(pairs):
+        return
+    _, cid, comp, n, _ = _columns(cell)
+    rows = np.unique(pairs)
+    if len(pairs) <= few * len(rows):
+        i, j = pairs.T
+        none = pa.nulls(len(pairs), pa.int64())
+        ends = [pa.array(x) for x in (cid[i], comp[i], n[i])], [pa.array(x) for x in (cid[j], comp[j], n[j])]
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int32()), *ends[0], none, *ends[1]], FOUND_COLUMNS)
+    else:
+        kept = cell.select(CELL_COLUMNS).take(pa.array(rows)).combine_chunks()
+        yield from pa.table([*kept.columns, *[pa.nulls(len(rows), pa.int64())] * 3], FOUND_COLUMNS).to_batches()
+
+
+def _regrouped(found: DataFrame) -> DataFrame:
+    """Staged rows of cells out of what was kept (staged): pairs, each once however many cells had it, make cells of their
+    own, a class and those that it may be alike; the other cells keep their rows."""
     dense = found.where("cid2 is null").select(*CELL_COLUMNS)
     end = lambda k: F.struct(F.col(f"cid{k}").alias("cid"), F.col(f"comp{k}").alias("comp"), F.col(f"n{k}").alias("n"))
     ends = found.where("cid2 is not null").select(F.least(end(""), end("2")).alias("a"), F.greatest(end(""), end("2")).alias("b")).distinct()
@@ -212,8 +205,71 @@ def _paired(cells: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
     return staged(dense.unionByName(sparse), "paired")
 
 
-def _sets_of(asked: DataFrame, rows: DataFrame, described: DataFrame, shingle: int) -> DataFrame:
-    """cid, s (bytes of the whole set) of the classes asked for (cid, distinct), out of a text of each."""
+def _paired(cells: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Staged rows of cells that are left to be verified, by a tree of bitmaps for each cell (two if it has two sides).
+
+    left is how many shingles a class has from the one that brought it here. Two classes alike meet at the first
+    shingle that they share, and from there on neither can share more: that caps what the tree lets pass.
+    """
+    cells = staged(cells, "cells")
+    need = staged(cells.select("cid").distinct(), "needed")
+    bits = bits.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "cid", "left_semi")
+
+    def run(batches):
+        for cell in _cells(batches):
+            if cell.num_rows < 2:
+                continue
+            side, _, comp, n, left = _columns(cell)
+            cut = int(np.searchsorted(side, 1))
+            maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column(8)]
+            yield from _kept(cell, Tree(n, maps, comp, percent, left, cut if cut < len(side) else None).pairs(), FEW)
+
+    return _regrouped(staged(_by_cell(cells.join(bits, "cid"), "bits").mapInArrow(run, FOUND), "possible"))
+
+
+def digest(tokens: np.ndarray, wide: int) -> np.ndarray:
+    """The lowest bits of the tokens of a set, in order. Two sets share at most as many tokens as their digests numbers."""
+    return np.sort(tokens.astype(np.uint16 if len(tokens) < wide else np.uint32))
+
+
+def ranked(numbers: np.ndarray) -> np.ndarray:
+    """Numbers in order made distinct: each with how many equal ones stand before it."""
+    return numbers.astype(T.U) << T.U(32) | (np.arange(len(numbers)) - np.searchsorted(numbers, numbers)).astype(T.U)
+
+
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two arrays of distinct ones, in order, have in common."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _sharpened(cells: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Staged rows of cells that are left of staged ones, by digests of the sets: a quarter of their bytes, and hardly a
+    pair that isn't alike passes. None that is alike is lost."""
+
+    def run(batches):
+        for cell in _cells(batches):
+            first, (side, _, comp, n, left) = _once(cell)
+            if len(first) < 2:
+                continue
+            # a digest of 16 bits is met by 16 bits of a larger set's
+            held = [cell.column(8)[k].as_buffer() for k in first.tolist()]
+            raw = [np.frombuffer(x, np.uint16 if x.size == 2 * size else np.uint32) for x, size in zip(held, n.tolist(), strict=True)]
+            low = [ranked(x if x.dtype == np.uint16 else np.sort(x.astype(np.uint16))) for x in raw]
+            full = [ranked(x) if x.dtype == np.uint32 else None for x in raw]
+            cut = int(np.searchsorted(side, 1))
+            pairs = Tree(n, [bitmap(x.astype(T.U)) for x in raw], comp, percent, left, cut if cut < len(side) else None).pairs()
+            shared = [in_common(low[i], low[j]) if full[i] is None or full[j] is None else in_common(full[i], full[j]) for i, j in pairs.tolist()]
+            pairs = pairs[np.array(shared, np.int64) >= needed(n[pairs[:, 0]], n[pairs[:, 1]], percent)]
+            yield from _kept(cell.select(CELL_COLUMNS).take(pa.array(first)), pairs, FEW)
+        cell = held = raw = low = full = None
+        T.settle()
+
+    return _regrouped(staged(_with_sets(cells, rows, described, shingle, functools.partial(digest, wide=WIDE)).mapInArrow(run, FOUND), "likely"))
+
+
+def _sets_of(asked: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, form: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """cid, s (bytes of the whole set in a form) of the classes asked for (cid, distinct), out of a text of each."""
     known = described.where("cid is not null").groupBy("cid").agg(F.min(F.struct("id", "th")).alias("d"))
     named = staged(known.join(asked, "cid").select("cid", F.col("d.id").alias("i__"), F.col("d.th").alias("h__")), "asked")
     if named.count() <= BROADCAST_ROWS:
@@ -225,7 +281,7 @@ def _sets_of(asked: DataFrame, rows: DataFrame, described: DataFrame, shingle: i
         for batch in batches:
             out, size = [], 0
             for k, s in _sets(batch.column(1), shingle):
-                out.append((batch.column(0)[k].as_py(), s.tobytes()))
+                out.append((batch.column(0)[k].as_py(), form(s).tobytes()))
                 size += 8 * len(s)
                 if size > 4 << 20:
                     yield packed(out)
@@ -241,29 +297,36 @@ def _sets_of(asked: DataFrame, rows: DataFrame, described: DataFrame, shingle: i
     return texts.mapInArrow(run, "cid bigint, s binary")
 
 
+def _with_sets(cells: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, form: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Staged rows of cells with s, the class's set in a form, dealt by cell."""
+    sets = _sets_of(cells.select("cid").distinct(), rows, described, shingle, form)
+    return _by_cell(sets.join(F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells, "cid"), "s")
+
+
+def _once(cell: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows of a cell with sets that count, and their columns: two rows equal in id and text give a class's set twice."""
+    side, cid, *_ = columns = _columns(cell)
+    first = np.flatnonzero(np.concatenate(([True], (cid[1:] != cid[:-1]) | (side[1:] != side[:-1]))))
+    return first, [x[first] for x in columns]
+
+
 def _linked(cells: DataFrame, rows: DataFrame, described: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Staged links (a, b) out of staged rows of cells: pairs whose whole sets, sent to the cell, reach the threshold.
 
     A cell gives a link only where it joins two components of what it holds, so at most one less than its rows; classes
     of it that it leaves in different components have no link there.
     """
-    sets = _sets_of(cells.select("cid").distinct(), rows, described, shingle)
-    # two rows equal in id and text give a class's set twice: one is kept in the cell
-    full = sets.join(F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells, "cid")
 
     def run(batches):
         for cell in _cells(batches):
-            side, cid, comp, n, left = _columns(cell)
-            first = np.flatnonzero(np.concatenate(([True], (cid[1:] != cid[:-1]) | (side[1:] != side[:-1]))))
-            side, cid, comp, n, left = (x[first] for x in (side, cid, comp, n, left))
+            first, (side, cid, comp, n, left) = _once(cell)
             if len(cid) < 2:
                 continue
             sets = [np.frombuffer(cell.column(8)[k].as_buffer(), T.U) for k in first.tolist()]
 
             def alike(i: int, j: int) -> bool:
-                a, b = (sets[i], sets[j]) if n[i] <= n[j] else (sets[j], sets[i])
-                shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                return 100 * shared >= percent * (len(a) + len(b) - shared)
+                shared = in_common(sets[i], sets[j])
+                return 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared)
 
             cut = int(np.searchsorted(side, 1))
             got = list(Tree(n, [bitmap(s) for s in sets], comp, percent, left, cut if cut < len(side) else None).links(alike))
@@ -273,14 +336,15 @@ def _linked(cells: DataFrame, rows: DataFrame, described: DataFrame, shingle: in
         cell = sets = None
         T.settle()
 
-    return staged(_by_cell(full, "s").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    return staged(_with_sets(cells, rows, described, shingle, np.asarray).mapInArrow(run, "a bigint, b bigint").distinct(), "links")
 
 
 def _shared_filter(wide: DataFrame) -> np.ndarray:
     """Bits of a filter that every shingle passes which stands in the prefixes of two classes or more.
 
     Each batch gives a shingle's least and greatest class; those meet, in bulk, by buckets of shingles. A shingle of
-    very many classes comes twice a batch at most, so no bucket holds it more often.
+    very many classes comes twice a batch at most, so no bucket holds it more often. Of a shingle go its lowest 32 bits,
+    more than the filter has places; within a bucket hardly two agree in them, and what does passes as if it were shared.
     """
     tokens = int(wide.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 8
     buckets = partitions_for(tokens, BUCKET_TOKENS, least=8)
@@ -297,14 +361,14 @@ def _shared_filter(wide: DataFrame) -> np.ndarray:
             bucket = ((t.view(T.U) * T.U(0x9E3779B97F4A7C15 | 1)) >> T.U(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(k, *(x[order[cut[k] : cut[k + 1]]].tobytes() for x in (t, cid))) for k in range(buckets) if cut[k + 1] > cut[k]]
+            rows = [(k, *(x[order[cut[k] : cut[k + 1]]].tobytes() for x in (t.astype(np.uint32), cid))) for k in range(buckets) if cut[k + 1] > cut[k]]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "t", "cid"])
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t, cid = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("t", "cid"))
+        t, cid = (np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("t", np.uint32), ("cid", np.int64)))
         order = np.argsort(t, kind="stable")
         t, cid = t[order], cid[order]
-        return pd.DataFrame({"t": np.unique(t[1:][(t[1:] == t[:-1]) & (cid[1:] != cid[:-1])])})
+        return pd.DataFrame({"t": np.unique(t[1:][(t[1:] == t[:-1]) & (cid[1:] != cid[:-1])]).astype(np.int64)})
 
     shared = staged(wide.select("cid", "prefix").mapInArrow(run, "bucket int, t binary, cid binary").groupBy("bucket").applyInPandas(merge, "t bigint"), "shared")
     size = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * max(1, shared.count()) - 1).bit_length()))
@@ -316,8 +380,16 @@ def _shared_filter(wide: DataFrame) -> np.ndarray:
     return bits.ravel()
 
 
-def _token_rows(wide: DataFrame) -> DataFrame:
-    """Staged t, cid, n, pos, k: the shingles of prefixes that pass the filter, and the how-manieth of its class each is."""
+def _single(wide: DataFrame) -> DataFrame:
+    """wide with each class once: only classes that come more than once, and the few on their bits of a filter, are shuffled."""
+    twice = staged(wide.groupBy("cid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("cid").alias("h")), "twice")
+    tested = with_maybe(wide, F.col("cid"), twice, "maybe")
+    return tested.where(~F.col("maybe")).drop("maybe").unionByName(tested.where(F.col("maybe")).drop("maybe").dropDuplicates(["cid"]))
+
+
+def _token_rows(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged t, cid, n, pos, k: the shingles of prefixes that pass the filter, and the how-manieth of its class each is; and
+    staged cid and bits of each class. The table wide is deleted."""
     bits = _shared_filter(wide)
 
     def run(batches):
@@ -334,13 +406,17 @@ def _token_rows(wide: DataFrame) -> DataFrame:
             columns = t[ok], np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row], pos, rank
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["t", "cid", "n", "pos", "k"])
 
-    rows = wide.select("cid", "n", "prefix").mapInArrow(run, "t bigint, cid bigint, n bigint, pos bigint, k bigint")
-    return staged(rows.distinct(), "token_rows")
+    single = _single(wide)
+    rows = staged(single.select("cid", "n", "prefix").mapInArrow(run, "t bigint, cid bigint, n bigint, pos bigint, k bigint"), "token_rows")
+    maps = staged(single.select("cid", "bits"), "maps")
+    discard(wide)
+    return rows, maps
 
 
-def _viable(rows: DataFrame, percent: int) -> DataFrame:
+def _viable(parts: tuple[DataFrame, ...], percent: int) -> DataFrame:
     """Staged g, cid, comp, n, left, n__, tokens__ out of rows (t, cid, comp, n, pos, n__): rows with a possible partner by
-    sizes and what is left; n__ and tokens__ are the rows of the group g and the shingles of their sets.
+    sizes and what is left; n__ and tokens__ are the rows of the group g and the shingles of their sets. The rows come in
+    parts, each with whole groups: those that met their groups by a shuffle are where they must be, and stay there.
 
     Shingles with the same members make one group, with the most left of each. In groups of more than COMPARED rows
     sizes are compared by steps of a thirtieth, so a few rows more pass.
@@ -380,9 +456,10 @@ def _viable(rows: DataFrame, percent: int) -> DataFrame:
             yield tested(*rest)
 
     names = "g bigint, cid bigint, comp bigint, n bigint, left bigint, n__ bigint, tokens__ bigint"
-    each = rows.select("t", "cid", "comp", "n", (F.col("n") - F.col("pos")).alias("left"), "n__")
-    small = each.where(F.col("n__") <= COMPARED).drop("n__")
-    small = small.repartition("t").sortWithinPartitions("t", "n", "cid").mapInArrow(run, names)
+    parts = [x.select("t", "cid", "comp", "n", (F.col("n") - F.col("pos")).alias("left"), "n__") for x in parts]
+    small, each = (functools.reduce(DataFrame.unionByName, x) for x in ([
+        x.where(F.col("n__") <= COMPARED).drop("n__").repartition("t").sortWithinPartitions("t", "n", "cid").mapInArrow(run, names) for x in parts
+    ], parts))
 
     # the largest `left` of each step of sizes, seen from the steps around it
     ratio, reach = np.log1p(1 / 30), int(np.ceil(np.log(100 / percent) / np.log1p(1 / 30))) + 1
@@ -437,19 +514,21 @@ def _dealt(viable: DataFrame, spanning: bool) -> DataFrame:
     return whole.unionByName(cells)
 
 
-def _mixed(rows: DataFrame, key: str, comps: DataFrame) -> DataFrame:
-    """rows with comp, the component of their class, without groups (of key) of one component."""
+def _placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Staged rows with comp, the component of their class."""
     named = F.broadcast(comps) if comps.count() <= BROADCAST_ROWS else comps
-    kept = [c for c in rows.columns if c not in ("comp", "n__")]
-    placed = staged(rows.select(*kept).join(named, F.col("cid") == F.col("v"), "left").select(*kept, F.coalesce("comp", "cid").alias("comp")), "placed")
-    groups = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n__"), F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ < hi__")
-    return meet_groups(placed, staged(groups, "mixed"), [key]).drop("lo__", "hi__")
+    return staged(rows.join(named, F.col("cid") == F.col("v"), "left").select(*rows.columns, F.coalesce("comp", "cid").alias("comp")), "placed")
+
+
+def _grouped(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Parts of rows (t, comp and others) with n__, their shingle's rows, without shingles of one component."""
+    groups = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n__"), F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ < hi__").drop("lo__", "hi__")
+    return met_apart(rows, staged(groups, name), ["t"], nulls=False)
 
 
 def link_classes(rows: DataFrame, described: DataFrame, common: np.ndarray, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Staged links between classes, and (v, comp) of every class that has one."""
-    wide = _wide(rows, common, shingle, percent)
-    every = _token_rows(wide)
+    every, maps = _token_rows(_wide(rows, common, shingle, percent))
     for _ in range(3):
         # shingles of very many classes, which no part had shown to be common, are put last as well
         more = every.groupBy("t").count().where(F.col("count") > VERY_COMMON).select("t").limit(COMMON).collect()
@@ -457,16 +536,21 @@ def link_classes(rows: DataFrame, described: DataFrame, common: np.ndarray, shin
         if not len(new):
             break
         common = np.union1d(common, new)
-        wide = _wide(rows, common, shingle, percent)
-        every = _token_rows(wide)
-
-    def links(viable: DataFrame, spanning: bool) -> DataFrame:
-        return _linked(_paired(_dealt(viable, spanning), wide, percent), rows, described, shingle, percent)
+        discard(every)
+        discard(maps)
+        every, maps = _token_rows(_wide(rows, common, shingle, percent))
 
     few = every.where(F.col("k") < FIRST).drop("k").withColumn("comp", F.col("cid"))
-    found = links(_viable(with_groups(few, ["t"], least=2), percent), True)
+    viable = _viable(_grouped(few, "groups"), percent)
+    found = _linked(_paired(_dealt(viable, True), maps, percent), rows, described, shingle, percent)
     comps = components(found)
-    more = links(_viable(_mixed(every.drop("k"), "t", comps), percent), False)
+    placed = _placed(every.drop("k"), comps)
+    discard(every)
+    viable = _viable(_grouped(placed, "mixed"), percent)
+    discard(placed)
+    cells = _paired(_dealt(viable, False), maps, percent)
+    discard(maps)
+    more = _linked(_sharpened(cells, rows, described, shingle, percent), rows, described, shingle, percent)
     if more.isEmpty():
         return found, comps
     found = staged(found.unionByName(more), "all_links")
